@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding, simhash
+from . import decontam, langid, packing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,11 +28,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_register
+def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
 
+@_register
+def op3_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_register
+def op5_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op6_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_register
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(_table(spark, sf_dir, "documents"), 8)
@@ -42,3 +62,8 @@ def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_register
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))

@@ -169,7 +169,9 @@ def near_links(distinct: DataFrame, *, radius: int = 4, tile_rows: int = 32768)
         a, b = link_tiles(left, None if same else right, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return placed.groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    # comparing costs more than its bytes suggest: as many tasks as pairs, up to a limit
+    spread = placed.repartition(min(2000, max(1, pairs.count())), "i", "j")
+    return spread.groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
