@@ -1,0 +1,138 @@
+"""Readers and writers of snippet, feature and result tables with JSON sidecars."""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file through Spark's file system, so that any store works."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Results as JSON; numbers of other types become floats, anything else text."""
+
+    def fallback(x):
+        try:
+            return float(x)
+        except (TypeError, ValueError):
+            return str(x)
+
+    _write_text(spark, path, json.dumps(value, indent=2, sort_keys=True, default=fallback))
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(_read_text(spark, path))
+
+
+def save_snippets(df: DataFrame, path: str, metadata: dict | None = None) -> dict:
+    """Snippets as Parquet, and a sidecar with counts, length, columns and ``metadata``."""
+    df.write.mode("overwrite").parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    r = back.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class_label") == 1).alias("spikes"), F.count_if(F.col("class_label") == 0).alias("noise"), F.max(F.size("w")).alias("t")).first()
+    side = {"n_snippets": r["n"], "n_samples": r["t"], "n_spikes": r["spikes"], "n_noise": r["noise"], "columns": dict(back.dtypes), "created": datetime.now(timezone.utc).isoformat(), "metadata": metadata or {}}
+    write_json(df.sparkSession, f"{path}.json", side)
+    return side
+
+
+def load_snippets(spark: SparkSession, path: str) -> DataFrame:
+    """Snippets with missing labels filled: class 1 and unit 0."""
+    df = spark.read.parquet(path)
+    for name, default in (("class_label", 1), ("unit_id", 0)):
+        df = df.withColumn(name, F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default))
+    return df
+
+
+def save_features(df: DataFrame, path: str, metadata: dict | None = None) -> None:
+    df.write.mode("overwrite").parquet(path)
+    write_json(df.sparkSession, f"{path}.json", {"columns": df.columns, "created": datetime.now(timezone.utc).isoformat(), "metadata": metadata or {}})
+
+
+def load_features(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_canonical(df: DataFrame, path: str, session: dict) -> None:
+    """Snippets partitioned by class, the label table without samples, and the session's JSON."""
+    df.write.mode("overwrite").partitionBy("class_label").parquet(f"{path}/snippets")
+    df.drop("w").write.mode("overwrite").parquet(f"{path}/labels")
+    write_json(df.sparkSession, f"{path}/session.json", session)
+
+
+def run_id(now: datetime | None = None) -> str:
+    return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+
+
+def make_run_dir(base: str, now: datetime | None = None) -> str:
+    return f"{base.rstrip('/')}/run_{run_id(now)}"
+
+
+def list_runs(spark: SparkSession, base: str) -> list[str]:
+    """Names of the run folders under ``base``, newest first."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted((n for n in names if n.startswith("run_")), reverse=True)
+
+
+def export_csv(value, spark: SparkSession, path: str) -> None:
+    """CSV of a table, a list of rows, a mapping (key, value; nested values as JSON) or one value."""
+    if isinstance(value, DataFrame):
+        nested = [f.name for f in value.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+        df = value.withColumns({c: F.to_json(c) for c in nested})
+    elif isinstance(value, list) and value and isinstance(value[0], dict):
+        df = spark.createDataFrame([{k: json.dumps(v) if isinstance(v, (dict, list)) else v for k, v in r.items()} for r in value])
+    elif isinstance(value, dict):
+        df = spark.createDataFrame([(k, json.dumps(v) if isinstance(v, (dict, list)) else str(v)) for k, v in value.items()], "key string, value string")
+    else:
+        df = spark.createDataFrame([(str(value),)], "value string")
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def export_scoreboard(df: DataFrame, path: str) -> None:
+    """Parquet as it is, and CSV with list columns joined by a pipe."""
+    df.write.mode("overwrite").parquet(f"{path}/parquet")
+    lists = [f.name for f in df.schema.fields if f.dataType.typeName() == "array"]
+    df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in lists}).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """The label sidecar: source_file, cluster_id, label, unit_id, timestamp_s."""
+    return spark.read.schema("source_file string, cluster_id int, label string, unit_id int, timestamp_s double").option("header", True).csv(path)
+
+
+def merge_configs(*configs: dict) -> dict:
+    """Deep merge; later values win, mappings are merged."""
+    out: dict = {}
+    for config in configs:
+        for k, v in config.items():
+            out[k] = merge_configs(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
+
+
+def load_config(path: str, *overrides: dict) -> dict:
+    """Configuration from JSON, or YAML where a YAML parser is installed, with overrides merged in."""
+    with open(path) as f:
+        text = f.read()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        base = yaml.safe_load(text) or {}
+    else:
+        base = json.loads(text)
+    return merge_configs(base, *overrides)
