@@ -110,24 +110,58 @@ def qda(train: DataFrame, names: list[str], label: str) -> Column:
     return 1 / (1 + F.exp(log_density(0) - log_density(1)))
 
 
-def logistic(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 1000) -> Column:
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    data = train.select(array_to_vector(_vector(names)).alias("features"), F.col(label).cast("double").alias("label")).cache()
-    model = LogisticRegression(regParam=1.0 / (c * max(1, data.count())), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(data)
-    data.unpersist()
-    return _linear(names, model.coefficients.toArray(), model.intercept)
-
-
-def linear_svm(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 200) -> Column:
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-
-    data = train.select(array_to_vector(_vector(names)).alias("features"), F.col(label).cast("double").alias("label")).cache()
-    model = LinearSVC(regParam=1.0 / (c * max(1, data.count())), standardization=False, maxIter=max_iter).fit(data)
-    data.unpersist()
-    return _linear(names, model.coefficients.toArray(), model.intercept)
+def _weighted_sums(train: DataFrame, names: list[str], weight: Column, target: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weight * x x' and weight * target * x over all rows, x with a constant 1 at the end: one aggregate."""
+    x = [F.col(c) for c in names] + [F.lit(1.0)]
+    n = len(x)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    r = train.select(*names, weight.alias("__w"), target.alias("__t")).agg(
+        *[F.coalesce(F.sum(F.col("__w") * x[i] * x[j]), F.lit(0.0)) for i, j in pairs], *[F.coalesce(F.sum(F.col("__w") * F.col("__t") * x[i]), F.lit(0.0)) for i in range(n)]
+    ).first()
+    h = np.zeros((n, n))
+    for (i, j), v in zip(pairs, r):
+        h[i, j] = h[j, i] = v
+    return h, np.array(r[len(pairs) :])
+
+
+def _margin(names: list[str], w: np.ndarray) -> Column:
+    z = F.lit(float(w[-1]))
+    for c, v in zip(names, w):
+        z = z + F.col(c) * float(v)
+    return z
+
+
+def logistic(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 25) -> Column:
+    """Logistic regression with an L2 penalty on all but the intercept, by Newton steps of one aggregate each."""
+    w, ridge = np.zeros(len(names) + 1), np.diag([1.0] * len(names) + [0.0])
+    train = train.select(*names, label).persist()  # read once per step
+    for _ in range(max_iter):
+        z = _margin(names, w)
+        p = 1 / (1 + F.exp(-z))
+        weight = F.greatest(p * (1 - p), F.lit(1e-9))
+        h, g = _weighted_sums(train, names, weight, z + (F.col(label) - p) / weight)
+        new = np.linalg.lstsq(c * h + ridge, c * g, rcond=None)[0]
+        step, w = np.abs(new - w).max(), new
+        if step < 1e-6:
+            break
+    train.unpersist()
+    return _linear(names, w[:-1], w[-1])
+
+
+def linear_svm(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 50) -> Column:
+    """Linear machine with squared hinge loss and L2 penalty: each step solves for the rows inside the margin."""
+    w = np.zeros(len(names) + 1)
+    y = 2.0 * F.col(label) - 1
+    train = train.select(*names, label).persist()
+    for _ in range(max_iter):
+        inside = F.when(y * _margin(names, w) < 1, F.lit(1.0)).otherwise(F.lit(0.0))
+        h, g = _weighted_sums(train, names, inside, y)
+        new = np.linalg.lstsq(2 * c * h + np.eye(len(w)), 2 * c * g, rcond=None)[0]
+        step, w = np.abs(new - w).max(), new
+        if step < 1e-6:
+            break
+    train.unpersist()
+    return _linear(names, w[:-1], w[-1])
 
 
 def code_bank(train: DataFrame, names: list[str], label: str) -> Column:
