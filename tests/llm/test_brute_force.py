@@ -1,0 +1,368 @@
+"""Operators against plain reference computations on small inputs."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from wavemill.llm import decontam, langid, packing, pii, quality, secrets, sharding, simhash, warc
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def test_secrets(docs, rows):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in secrets.scan(docs).collect():
+        t = rows[r["doc_id"]] or ""
+        s = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        s += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        s += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(s))
+        assert (r["spans"], r["base_sha256"]) == (want, hashlib.sha256(want.encode()).hexdigest())
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query("[0-9a-f]{16,}") == [frozenset()]
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
+    assert set(secrets.trigram_query("(abcd|bcde)x?")) == {frozenset({"abc", "bcd"}), frozenset({"bcd", "cde"})}
+    assert secrets.trigram_query("ab") == [frozenset()]
+
+
+def test_full_index_holds_every_trigram(spark):
+    d = spark.createDataFrame([(1, "Abcab"), (2, "é😀zz"), (3, None)], "doc_id long, text string")
+    got = {r["trigram"] for r in secrets.build_postings(d).collect()}
+    # a character outside the basic plane may add a gram that begins in its middle: only one candidate more
+    assert got - {"?zz"} == {"abc", "bca", "cab", "é😀z", "😀zz"}
+
+
+def test_tokens_match_the_tokenizer_and_packing_is_whole(docs, rows):
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    got: dict = {}
+    for r in packing.pack_documents(docs, PATH).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for d, t in rows.items():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        parts = sorted(got[d], key=lambda r: r["piece"])
+        assert sum(p["length"] for p in parts) == len(ids) and (len(ids) > 2048 or len(parts) == 1)
+        for p in parts:
+            raw = np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()
+            assert zlib.crc32(raw) == p["ids_crc32"]
+    bins: dict = {}
+    for parts in got.values():
+        for p in parts:
+            bins.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for items in bins.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(x for b in bins.values() for _, x in b)
+    assert len(bins) <= math.ceil(total / 2048) * 1.03 + 1
+
+
+def test_chunks_are_tokenised_as_in_the_whole_text():
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    rng = random.Random(3)
+    alphabet = list("abcXYZ  \n\t.,;:!?'\"-_0123éß²ñ€ā中\x85\xa0\x1c|%…") + [" the", " don't", "'s", "<|endoftext|>", " 12", "  "]
+    ours = packing.ChunkTokenizer(PATH)
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+        assert ours.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_best_fit_never_overfills():
+    sizes = np.random.default_rng(0).integers(1, 2049, 5000)
+    bins, offsets, fill = packing.best_fit(sizes, 2048)
+    assert (np.bincount(bins, weights=sizes) == fill).all() and fill.max() <= 2048
+    assert (offsets + sizes <= fill[bins]).all()
+
+
+def test_packing_over_several_rounds(spark):
+    pieces = spark.range(4000).select(F.col("id").alias("doc_id"), (1 + F.pmod(F.xxhash64("id"), F.lit(2048))).alias("length")).repartition(8)
+    out = packing.pack(pieces, block_rows=200, group_rows=100).toPandas()
+    assert sorted(out.doc_id) == list(range(4000))
+    g = out.sort_values(["sequence_id", "offset"])
+    assert (g.groupby("sequence_id").length.cumsum() - g.length == g.offset).all() and g.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def _metrics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows: dict = {}
+    for i in range(len(words) - 4):
+        windows.setdefault(tuple(words[i : i + 5]), []).append(i)
+    hit = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_quality_counts(spark, docs, rows, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for r in quality.judge(docs, labels).collect():
+        want = _metrics(rows[r["doc_id"]])
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+
+
+def test_quality_metrics_on_odd_texts():
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice(["a ", "b ", "c\n", "é ", "\x0b", "# ", "\n", "a b c d e "]) for _ in range(rng.randint(0, 60)))
+        assert quality.text_metrics(t.encode())[:5] == _metrics(t)
+
+
+def test_cutoffs_need_certification():
+    rules = quality.default_rules()[:1]
+    grid = len(rules[0].grid)
+    good = [("en", 0, 0, True, h, 3000) for h in (False, True)]
+    bad = [("en", 0, grid, False, h, 500) for h in (False, True)]
+    cut = quality.choose_cutoffs(good + bad, rules, share=0.05, level=0.05)
+    assert cut == {"en": {0: rules[0].grid[-1]}}
+    few = [("en", 0, 0, True, h, 30) for h in (False, True)] + bad
+    assert quality.choose_cutoffs(few, rules, share=0.05, level=0.05) == {}
+    spoiled = [("en", 0, 0, True, False, 3000), ("en", 0, grid, True, True, 300), ("en", 0, 0, True, True, 2700)] + bad
+    assert quality.choose_cutoffs(spoiled, rules, share=0.05, level=0.05) == {}
+
+
+def test_binomial_bound():
+    exact = sum(math.comb(50, i) * 0.1**i * 0.9 ** (50 - i) for i in range(4))
+    assert quality.binomial_cdf(3, 50, 0.1) == pytest.approx(exact)
+    assert quality.certified(0, 100, 0.05, 0.05) and not quality.certified(0, 40, 0.05, 0.05)
+
+
+def test_quality_cutoffs_reject_planted_junk(spark):
+    clean = "plain words that make up an ordinary line of text for the test number "
+    rows = [(i, clean + str(i), "en") for i in range(6000)] + [(10_000 + i, "% ".join(f"word{i}x{j}" for j in range(20)), "en") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 if i < 10_000 else 0) for i, _, _ in rows if i % 5 or i >= 10_200], "doc_id long, quality int")
+    out = quality.judge(d, labels)
+    assert out.where("doc_id < 10000 and not kept").count() == 0
+    assert out.where("doc_id >= 10000 and kept").count() == 0
+
+
+def test_personal_data(docs, rows):
+    for r in pii.scan(docs).collect():
+        base = pii.base_spans(rows[r["doc_id"]] or "")
+        text = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(r["spans"].split(","))
+
+
+def test_repeated_tokens_get_one_label():
+    crf = pii.train(["phone +49-30-5552485 x", "mail a.b@c.example.com", "call +1 (555) 123-4567", "order 123456 of 2020"] * 5)
+    base, added = pii.all_spans("phone +49-30-5552485 or 49305552485 or 49305552485. room 1234567", crf)
+    assert [k for _, _, k in base] == ["phone"] and [k for _, _, k in added] == ["phone", "phone"]
+    assert pii.all_spans("order 1234567 and 1234567 again", crf) == ([], [])
+
+
+def test_message_passing_is_exact_on_a_chain():
+    rng = np.random.default_rng(0)
+    n, k = 4, len(pii.LABELS)
+    scores, pair = rng.normal(size=(n, k)), rng.normal(size=(2, k, k))
+    links = [(i, i + 1, i % 2) for i in range(n - 1)]
+    p = np.zeros((n, k))
+    for labels in np.ndindex(*(k,) * n):
+        w = math.exp(sum(scores[i, a] for i, a in enumerate(labels)) + sum(pair[t, labels[i], labels[j]] for i, j, t in links))
+        for i, a in enumerate(labels):
+            p[i, a] += w
+    assert pii.marginals(scores, links, pair, {}, rounds=200) == pytest.approx(p / p.sum(axis=1, keepdims=True), abs=1e-3)
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
+    right, n = got.where("lang = lang_pred").count(), got.count()
+    assert n > 100 and right / n > 0.97
+    held = {r["doc_id"]: r["held_out"] for r in langid.predict_languages(docs).select("doc_id", "held_out").collect()}
+    assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in held.items())
+
+
+def _occurrences(text, items, width):
+    w = decontam.words_of(text)
+    hit, found = set(), set()
+    for i, t in items:
+        x = decontam.words_of(t)
+        for k in range(max(1, len(x) - width + 1) if x else 0):
+            win = x[k : k + width]
+            for p in range(len(w) - len(win) + 1):
+                if w[p : p + len(win)] == win:
+                    found.add(str(i))
+                    hit.update(range(p, p + len(win)))
+    return len(w), hit, found
+
+
+def test_fm_index_search():
+    rng = random.Random(1)
+    vocabulary = [f"w{i}".encode() for i in range(12)]
+
+    def text(n):
+        return b" ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [(i, text(rng.choice([0, 1, 3, 5, 6, 8]))) for i in range(8)]
+    docs = [text(rng.randint(0, 300)) + b" , X" + text(50) for _ in range(40)] + [None, b""]
+    for doc, (n, found, spans) in zip(docs, decontam.find_in_shard(docs, decontam.Phrases(items, 5))):
+        want = _occurrences(doc, items, 5)
+        assert (n, {j for a, b in spans for j in range(a, b)}, found) == want
+
+
+def test_contamination_on_the_table(spark, docs, rows, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [(r["item_id"], r["text"].encode()) for r in bench.collect()]
+    one = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
+    for d, t in list(rows.items())[:80]:
+        n, hit, found = _occurrences((t or "").encode(), items, 10)
+        want = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (one[d]["n_words"], one[d]["n_hit"], one[d]["n_items"], one[d]["items_sha256"]) == (n, len(hit), len(found), want)
+    blocks = decontam.find_spans(docs, bench, block_bytes=1000).select("doc_id", "leaks.n_hit", F.size("leaks.items").alias("n")).collect()
+    assert {r["doc_id"]: (r["n_hit"], r["n"]) for r in blocks} == {d: (r["n_hit"], r["n_items"]) for d, r in one.items()}
+    assert decontam.contamination(decontam.remove_spans(docs, bench), bench).where("contaminated").count() == 0
+
+
+def jump(key, n):
+    key &= (1 << 64) - 1
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *(random.Random(i).randrange(-(2**62), 2**62) for i in range(300))]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n in (1, 2, 8, 9, 1000):
+        assert {r[0]: r[1] for r in df.select("k", sharding.jump_hash(F.col("k"), n)).collect()} == {k: jump(k, n) for k in keys}
+
+
+def test_slots(docs):
+    out = sharding.shard_slots(docs.union(docs.limit(20)), 8).toPandas()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    moved = out[out.grown_shard != out["shard"]]
+    assert set(moved.grown_shard) <= {8}
+
+
+def test_simhash_groups(docs, rows):
+    from xxhash import xxh64_intdigest
+
+    def fingerprint(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        shingles = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
+        hs = [xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    fp = {d: fingerprint(t) for d, t in rows.items()}
+    parent = {d: d for d in fp}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(fp)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (fp[a] ^ fp[b]).bit_count() <= 4:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    for r in simhash.near_duplicates(docs, tile_rows=16).collect():
+        assert r["fp"] & ((1 << 64) - 1) == fp[r["doc_id"]] and r["component_id"] == find(r["doc_id"])
+
+
+def test_tiles_lose_no_link():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    flips = [np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64) for _ in range(3)]
+    x = np.unique(np.concatenate([base, rng.choice(base, 900) ^ flips[0] ^ flips[1] ^ flips[2], rng.integers(0, 2**64, 500, dtype=np.uint64)]))
+
+    def groups(edges):
+        p = {int(v): int(v) for v in x}
+
+        def find(v):
+            while p[v] != v:
+                v = p[v]
+            return v
+
+        for a, b in edges:
+            a, b = find(int(a)), find(int(b))
+            p[max(a, b)] = min(a, b)
+        return {v: find(v) for v in p}
+
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)
+    want = groups((x[a], x[b]) for a, b in zip(i, j))
+    assert groups(zip(*simhash.link_tiles(x, None, 4, sub=32))) == want
+    half = len(x) // 2
+    parts = [*zip(*simhash.link_tiles(x[:half], None, 4)), *zip(*simhash.link_tiles(x[half:], None, 4)), *zip(*simhash.link_tiles(x[:half], x[half:], 4))]
+    assert groups(parts) == want
+
+
+def test_connected_long_chain_and_star(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(5000, 1000 + i) for i in range(100)] + [(9, 9)]
+    got = {r["node"]: r["root"] for r in simhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(100)} | {got[5000]} == {1000}
+
+
+def test_warc_round_trip(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = pages.union(pages.limit(30).withColumn("page_id", F.col("page_id") + 100_000))
+    want = {}
+    rows = [(r["page_id"], (r["html"] or "").encode()) for r in pages.collect()]
+    largest: dict = {}
+    for p, raw in rows:
+        largest[raw] = max(p, largest.get(raw, p))
+    for p, raw in rows:
+        again = len(raw) >= 1000 and largest[raw] != p
+        want[p] = (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", largest[raw] if again else None)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == want
+
+
+def test_capture_index_blocks(spark):
+    entries = spark.createDataFrame([(warc.capture_key(f"http://h.example.com/{i % 50}", i), i, "f", i, 1) for i in range(500)], "key string, page_id long, file string, offset long, length long")
+    index = warc.build_index(entries, block_lines=7, part_rows=120)
+    assert index.select("part").distinct().count() > 1
+    wanted = entries.select("key").unionAll(spark.createDataFrame([("absent",), ("",)], "key string"))
+    assert sorted(r["page_id"] for r in warc.find_captures(index, wanted).collect()) == list(range(500))
+
+
+def test_surt():
+    assert warc.surt("http://www.Example.com:8080/a/b?c=d#e") == "com,example,www:8080)/a/b?c=d"
+    assert warc.surt(None) == ")"
+
+
+def test_sql_agrees(spark, sf_dir):
+    from wavemill.llm import registry
+
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, text in registry.ORACLES.items():
+        df = registry.QUERIES[name](spark, sf_dir)
+        cur = db.execute(text)
+        order = [x[0] for x in cur.description]
+        assert sorted(map(str, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
