@@ -18,17 +18,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
 
-#: At most so many word pieces are remembered per Python worker (about 30 MB).
-_CACHE_CHUNKS = 200_000
+#: At most so many text chunks are remembered per Python worker (about 100 MB).
+_CACHE_CHUNKS = 500_000
 
 
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian bytes, four per id.
 
     Byte-level BPE splits texts before every white-space run that follows other
-    characters, so texts of single spaces and line ends are cut there and each
-    distinct chunk is tokenised once. Texts with any other white space go
-    through the tokenizer whole.
+    characters and after every run of letters, so texts of single spaces and
+    line ends are cut there and each distinct chunk is tokenised once. Texts
+    with any other white space go through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,28 +40,48 @@ class ChunkTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._odd = re.compile(r"\s\s|[^\S \n]")
-        self._chunks = re.compile(r"[ \n]?[^ \n]+|[ \n]")
+        # in the byte-level alphabet every character of a token stands for one byte
+        vocabulary = self._tokenizer.get_vocab()
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self._bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        spaces = [chr(i) for i in range(0x10000) if chr(i).isspace() and chr(i) not in " \n"]
+        self._odd = ["  ", "\n\n", " \n", "\n ", *spaces]
+        # a run of Latin letters is cut off where white space or plain punctuation shows that it ends
+        self._chunks = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[ \n.,;:!?]|\Z)|[ \n]?[^ \n]+|[ \n]")
         self._known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Codes of chunks. Those that begin with white space are joined, tokenised at once and cut by their bytes."""
+        joined = [c for c in chunks if len(c) > 1 and c[0] in " \n"]
+        single = [c for c in chunks if len(c) == 1 or c[0] not in " \n"]
+        codes = dict(zip(single, self._encode(single)))
+        if joined:
+            raw = self._encode(["".join(joined)])[0]
+            token_ends = np.cumsum(self._bytes[np.frombuffer(raw, "<u4")])
+            chunk_ends = np.cumsum([len(c.encode()) for c in joined])
+            cuts = np.searchsorted(token_ends, chunk_ends)
+            if not (token_ends[cuts] == chunk_ends).all():
+                raise AssertionError("a token crosses a chunk boundary")
+            start = 0
+            for c, k in zip(joined, (4 * (cuts + 1)).tolist()):
+                codes[c] = raw[start:k]
+                start = k
+        return codes
+
     def encode(self, text: str) -> bytes:
-        if self._odd.search(text):
+        if any(s in text for s in self._odd):
             return self._encode([text])[0]
         chunks = self._chunks.findall(text)
-        known = self._known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            codes = dict(zip(new, self._encode(new)))
-            if len(known) + len(codes) <= _CACHE_CHUNKS:
-                known.update(codes)
-                codes = known
-                return b"".join(map(known.__getitem__, chunks))
-            return b"".join([known.get(c) or codes[c] for c in chunks])
+        codes = list(map(self._known.get, chunks))
+        if None in codes:
+            new = self._encode_chunks(list(dict.fromkeys(c for c, code in zip(chunks, codes) if code is None)))
+            if len(self._known) + len(new) <= _CACHE_CHUNKS:
+                self._known.update(new)
+            codes = [code if code is not None else new[c] for c, code in zip(chunks, codes)]
+        return b"".join(codes)
 
 
 @lru_cache(maxsize=2)
