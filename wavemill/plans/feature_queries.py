@@ -172,7 +172,7 @@ def bank_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("snippet_id", name.alias("feature"), (F.col("at") % 10).alias("bin"), F.round("v", 6).alias("activation"))
 
 
-@register("m05_code_bank_describe", f"WITH {_CODE} SELECT feature, 1.0 AS weight, round(list_min(c), 6) AS low, round(list_max(c), 6) AS high, round(list_sum(s) / 10, 6) AS mean_width FROM m")
+@register("m05_code_bank_describe", f"WITH {_CODE} SELECT feature, CAST(1.0 AS DOUBLE) AS weight, round(list_min(c), 6) AS low, round(list_max(c), 6) AS high, round(list_sum(s) / 10, 6) AS mean_width FROM m")
 def bank_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = codebank.CodeBank.from_json(_bank(_all(spark, sf_dir)).to_json())
     d = bank.describe(spark)

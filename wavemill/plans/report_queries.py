@@ -73,7 +73,7 @@ def by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("snippet_id", "unit_id", "event_id")
 
 
-@register("j06_recording_grid", "SELECT d AS distance_um, a * 360.0 / 8 AS angle_deg, n AS noise_uv_rms FROM (SELECT unnest([10.0, 20.0, 50.0]) AS d), (SELECT unnest(range(8)) AS a), (SELECT unnest([0.0, 5.0, 10.0]) AS n)")
+@register("j06_recording_grid", "SELECT d AS distance_um, a * 360.0 / 8 AS angle_deg, n AS noise_uv_rms FROM (SELECT unnest([10.0, 20.0, 50.0]::DOUBLE[]) AS d), (SELECT unnest(range(8)) AS a), (SELECT unnest([0.0, 5.0, 10.0]::DOUBLE[]) AS n)")
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.distance_grid(spark, [10.0, 20.0, 50.0], 8, [0.0, 5.0, 10.0])
 
@@ -391,7 +391,7 @@ _KERNEL0 = "20 - 3.0 * fall / (fall - 3.0) * ln(fall / 3.0)"
 _PULSE = "list_transform(range(64), lambda t: CASE WHEN t >= t0 THEN exp(-(t - t0) / fall) - exp(-(t - t0) / 3.0) ELSE 0.0 END)"
 
 
-@register("g04_double_exponential", f"WITH k AS (SELECT fall, {_PULSE} AS r FROM (SELECT fall, {_KERNEL0} AS t0 FROM (SELECT unnest([9.0, 12.0, 18.0]) AS fall))) SELECT fall, CAST(i - 1 AS INTEGER) AS pos, round(r[i] / list_max(r), 6) AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM k)")
+@register("g04_double_exponential", f"WITH k AS (SELECT fall, {_PULSE} AS r FROM (SELECT fall, {_KERNEL0} AS t0 FROM (SELECT unnest([9.0, 12.0, 18.0]::DOUBLE[]) AS fall))) SELECT fall, CAST(i - 1 AS INTEGER) AS pos, round(r[i] / list_max(r), 6) AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM k)")
 def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.createDataFrame([(9.0,), (12.0,), (18.0,)], "fall double")
     fall, rise = F.col("fall"), F.lit(3.0)
@@ -403,7 +403,7 @@ def _shape_sql(amp: str, delay_pos: int, width_pos: float, amp_pre: float, pre_o
     def bell(a: str, mu: float, s: float) -> str:
         return f"{a} * exp(-0.5 * pow((i - 1 - {mu}) / {s}, 2))"
 
-    return f"""WITH k AS (SELECT amp, {_PULSE} AS r FROM (SELECT *, {_KERNEL0} AS t0 FROM (SELECT 12.0 AS fall, unnest([-60.0, -100.0, -140.0]) AS amp)))
+    return f"""WITH k AS (SELECT amp, {_PULSE} AS r FROM (SELECT *, {_KERNEL0} AS t0 FROM (SELECT 12.0 AS fall, unnest([-60.0, -100.0, -140.0]::DOUBLE[]) AS amp)))
 SELECT amp, CAST(i - 1 AS INTEGER) AS pos, round({amp} * r[i] / list_max(r) + {bell('40.0', 20 + delay_pos, width_pos)} + {bell('8.0', 48, 10.0)} + {bell(str(amp_pre), 20 + pre_offset, width_pre)}, 6) + 0.0 AS value
 FROM (SELECT *, unnest(range(1, 65)) AS i FROM k)"""
 
