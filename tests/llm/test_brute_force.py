@@ -172,6 +172,26 @@ def test_personal_data(docs, rows):
         assert set(text.split(",")) <= set(r["spans"].split(","))
 
 
+def _base(text):
+    """The fixed formats by their plain expressions."""
+    out = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+            out.append((*m.span(), "card"))
+    out += [(*m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_formats(rows):
+    rng = random.Random(7)
+    pieces = list("aZ09.@%+-_ ()é\u0663") + ["1.2.3.4", "@b.co", "a@b.co", "4520774932566279", "+1 (555) 123-4567", "255.", "00", "12 34-"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(20_000)] + [t or "" for t in rows.values()]
+    for t in texts:
+        assert pii.base_spans(t) == _base(t), t
+
+
 def test_repeated_tokens_get_one_label():
     crf = pii.train(["phone +49-30-5552485 x", "mail a.b@c.example.com", "call +1 (555) 123-4567", "order 123456 of 2020"] * 5)
     base, added = pii.all_spans("phone +49-30-5552485 or 49305552485 or 49305552485. room 1234567", crf)

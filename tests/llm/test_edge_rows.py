@@ -2,7 +2,6 @@
 
 import pytest
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from wavemill.llm import chat, decontam, langid, packing, pii, quality, secrets, sharding, simhash, warc
 

@@ -11,7 +11,6 @@ positions, and their word spans are merged per document.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .common import utf8
 
@@ -200,37 +199,52 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_udf(phrases_broadcast, chained: bool):
-    def shard(texts: list[bytes | None], before: list | None) -> pd.DataFrame:
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between words of one span."""
+    at = [m.span() for m in re.finditer(rb"\S+", text.translate(_FOLD))]
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*kept, text[last:]]).decode(errors="ignore")
+
+
+def _search_udf(phrases_broadcast, chained: bool, cut: bool):
+    """A column of search results per text; with ``cut`` also the text without its spans, null where none was hit."""
+    names = ["n_words", "n_hit", "items", "spans", *["clean"] * cut]
+
+    def shard(texts: list[bytes | None], before: list | None) -> list[tuple]:
         rows = []
         for k, (n, items, spans) in enumerate(find_in_shard(texts, phrases_broadcast.value)):
             if before is not None:
                 items = items | set(before[k]["items"])
                 spans = _merge(spans + [(int(x["start"]), int(x["end"])) for x in before[k]["spans"]])
-            rows.append((n, sum(b - a for a, b in spans), sorted(items), [{"start": a, "end": b} for a, b in spans]))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
+            row = (n, sum(b - a for a, b in spans), sorted(items), [{"start": a, "end": b} for a, b in spans])
+            rows.append((*row, without_spans(texts[k], spans) if spans else None) if cut else row)
+        return rows
 
     def shards(series: pd.Series, before: pd.DataFrame | None) -> pd.DataFrame:
-        held, n, first, out = [], 0, 0, []
+        held, n, first, rows = [], 0, 0, []
         told = None if before is None else before.to_dict("records")
         for i, text in enumerate(series):
             held.append(text)
             n += len(text or b"")
             if n >= 6 * _SHARD_SYMBOLS or i == len(series) - 1:
-                out.append(shard(held, told and told[first : i + 1]))
+                rows += shard(held, told and told[first : i + 1])
                 held, n, first = [], 0, i + 1
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_words": [], "n_hit": [], "items": [], "spans": []})
+        return pd.DataFrame(rows, columns=names)
 
+    schema = RESULT + ", clean string" * cut
     if chained:
 
-        @F.pandas_udf(RESULT)
+        @F.pandas_udf(schema)
         def search(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
             for series, before in batches:
                 yield shards(series, before)
 
     else:
 
-        @F.pandas_udf(RESULT)
+        @F.pandas_udf(schema)
         def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for series in batches:
                 yield shards(series, None)
@@ -238,9 +252,11 @@ def _search_udf(phrases_broadcast, chained: bool):
     return search.asNondeterministic()
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 32 << 20, out_col: str = "leaks") -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 32 << 20, out_col: str = "leaks", cut: bool = False) -> DataFrame:
     """``docs`` with a struct column: n_words, n_hit, items (sorted as strings) and merged word spans.
 
+    With ``cut`` the struct also has ``clean``, the text without the spans, null where nothing was hit.
+
     The benchmark is a stated query set. Its size is measured; it is searched in
     blocks of about ``block_bytes`` of text, each sent to the executors once, and
     the results of the blocks are merged. No rows are shuffled. Null and
@@ -254,7 +270,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     for b in range(blocks):
         rows = benchmark.select(item.alias("i"), text.alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
         phrases = spark.sparkContext.broadcast(Phrases([(r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in rows], width))
-        docs = docs.withColumn(out_col, _search_udf(phrases, b > 0)(utf8(text_col), *([F.col(out_col)] if b else [])))
+        docs = docs.withColumn(out_col, _search_udf(phrases, b > 0, cut and b == blocks - 1)(utf8(text_col), *([F.col(out_col)] if b else [])))
     return docs
 
 
@@ -271,22 +287,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, cut in zip(texts, spans):
-        if cut is not None and len(cut):
-            raw = text.encode()
-            at = [m.span() for m in re.finditer(rb"\S+", raw.translate(_FOLD))]
-            kept, last = [], 0
-            for span in cut:
-                kept.append(raw[last : at[span["start"]][0]])
-                last = at[span["end"] - 1][1]
-            text = b"".join([*kept, raw[last:]]).decode(errors="ignore")
-        out.append(text)
-    return pd.Series(out, dtype=object)
-
-
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", width: int = 10) -> DataFrame:
     """``docs`` with every occurrence of a benchmark window cut out of the text, all columns kept.
 
@@ -294,7 +294,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     kept. Null texts stay null.
     """
     names = docs.columns
-    found = find_spans(docs, benchmark, text_col=text_col, width=width, out_col="__leaks")
-    cut = found.withColumn(text_col, F.when(F.col("__leaks.n_hit") > 0, _without(F.col(text_col), F.col("__leaks.spans"))).otherwise(F.col(text_col)))
-    kept = cut.where((F.col("__leaks.n_hit") == 0) | (F.col("__leaks.n_hit") < F.col("__leaks.n_words")))
-    return kept.select(*names)
+    found = find_spans(docs, benchmark, text_col=text_col, width=width, out_col="__leaks", cut=True)
+    kept = found.where((F.col("__leaks.n_hit") == 0) | (F.col("__leaks.n_hit") < F.col("__leaks.n_words")))
+    return kept.withColumn(text_col, F.coalesce("__leaks.clean", text_col)).select(*names)

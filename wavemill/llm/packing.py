@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
 
-#: At most so many text chunks are remembered per Python worker (about 100 MB).
-_CACHE_CHUNKS = 500_000
+#: At most so many text chunks are remembered per Python worker (about 80 MB).
+_CACHE_CHUNKS = 400_000
 
 
 class ChunkTokenizer:

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-# The base formats.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# The base formats. A digit run never helps by being cut, so the address begins at its run's start.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -40,11 +43,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[Span]:
+    """Addresses, found from their at signs: the longest local part before each, after the previous match."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        last = domain.end() if domain else at + 1
+        if domain:
+            out.append((start, last, "email"))
+        at = text.find("@", last)
+    return out
+
+
+class Cover:
+    """Which span of a sorted list first overlaps a stretch, by binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts = [s for s, _, _ in spans]
+        self.reach = list(accumulate((e for _, e, _ in spans), max))
+
+    def first(self, start: int, end: int) -> int | None:
+        i = bisect_right(self.reach, start)
+        return i if i < len(self.starts) and self.starts[i] < end else None
+
+
 def base_spans(text: str) -> list[Span]:
     """(start, end, kind) of the fixed formats: leftmost non-overlapping per kind, failing matches dropped."""
     out: list[Span] = []
-    if "@" in text:
-        out += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+    out += _emails(text)
     for m in _IP.finditer(text):
         parts = [p.lstrip("0") for p in m[0].split(".")]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
@@ -79,14 +108,14 @@ def _before(text: str, start: int) -> str:
 def tokens(text: str, spans: list[Span]) -> list[Token]:
     """Candidates in text order: base spans whole, and white-space tokens elsewhere with an at sign or at least
     three digits, outer punctuation stripped."""
-    out = [Token(s, e, text[s:e], _before(text, s)) for s, e, _ in spans]
+    out, cover = [Token(s, e, text[s:e], _before(text, s)) for s, e, _ in spans], Cover(spans)
     for m in _TOKEN.finditer(text):
         raw = m[0]
         if "@" not in raw and sum(c.isdigit() for c in raw) < 3:
             continue
         start = m.start() + len(raw) - len(raw.lstrip(_OUTER))
         body = raw.strip(_OUTER)
-        if body and not any(s < start + len(body) and start < e for s, e, _ in spans):
+        if body and cover.first(start, start + len(body)) is None:
             out.append(Token(start, start + len(body), body, _before(text, m.start())))
     return sorted(out, key=lambda t: (t.start, t.end))
 
@@ -187,11 +216,9 @@ def marginals(scores: np.ndarray, links: list[tuple[int, int, int]], potentials:
 
 def weak_labels(found: list[Token], spans: list[Span]) -> list[int]:
     """Label of each candidate: the kind of the base span that covers part of it, else other."""
-    out = []
-    for t in found:
-        kinds = [k for s, e, k in spans if s < t.end and t.start < e]
-        out.append(LABELS.index(kinds[0]) if kinds else 0)
-    return out
+    cover = Cover(spans)
+    first = [cover.first(t.start, t.end) for t in found]
+    return [0 if i is None else LABELS.index(spans[i][2]) for i in first]
 
 
 def train(texts: list[str], *, epochs: int = 60, rate: float = 0.5, prior: float = 0.01) -> Field:
