@@ -7,8 +7,6 @@ per cluster). Pairs of rows are never emitted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
