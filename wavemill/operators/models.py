@@ -259,3 +259,44 @@ def pairwise_auc(df: DataFrame, *, unit_col: str = "unit_id", score_col: str = "
 
 
 knn_model = neighbors.knn_classify
+
+
+def min_max_scaled(df: DataFrame, column: str = "score") -> DataFrame:
+    """``column`` shifted and scaled to [0, 1] over the table; a constant column becomes 0.5."""
+    r = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    if r["lo"] is None or r["lo"] == r["hi"]:
+        return df.withColumn(column, F.lit(0.5))
+    return df.withColumn(column, (F.col(column) - r["lo"]) / (r["hi"] - r["lo"]))
+
+
+def holdout_scores(df: DataFrame, names: list[str], model: str | Fit, *, share: float = 0.25, label: str = "class_label", id_col: str = "snippet_id") -> DataFrame:
+    """Scores and predictions of the held-out rows by a model fitted on the others; scores scaled to [0, 1]."""
+    fit = model_named(model) if isinstance(model, str) else model
+    split = holdout_split(df, share, id_col=id_col, label_col=label)
+    scored = split.where("is_test").withColumn("score", fit(split.where("not is_test"), names, label))
+    return min_max_scaled(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+
+
+def holdout_evaluation(df: DataFrame, names: list[str], model: str | Fit, **options) -> DataFrame:
+    """Confusion counts, precision, recall, false-positive rate, F1, balanced accuracy and AUC on the held-out rows."""
+    scored = holdout_scores(df, names, model, **options)
+    label = options.get("label", "class_label")
+    a, p = F.col(label), F.col("predicted")
+    counts = scored.agg(*[c.alias(n) for n, c in metrics.confusion(a, p).items()], metrics.f1(a, p).alias("f1"))
+    return counts.crossJoin(metrics.balanced_accuracy(scored, actual=label)).crossJoin(metrics.roc_auc(scored, label=label))
+
+
+def scoreboard(df: DataFrame, candidates: dict[str, list[str]], models: list[str], *, k: int = 5, label: str = "class_label", unit_col: str = "unit_id") -> DataFrame:
+    """One row per candidate and model: cross-validated balanced accuracy and AUC, and the silhouettes of the
+    candidate's standardized features by class and by unit; best first."""
+    spark, rows = df.sparkSession, []
+    for name, features in candidates.items():
+        vectors = standardized(df, features).withColumn("__v", _vector(features))
+        by_class = neighbors.silhouette(vectors, vector_col="__v", label_col=label).first()["silhouette"]
+        by_unit = neighbors.silhouette(vectors.where(F.col(unit_col) > 0), vector_col="__v", label_col=unit_col).first()["silhouette"]
+        for model in models:
+            scored = cross_validated(df, features, model, k=k, label=label)
+            r, auc = fold_summary(scored).first(), metrics.roc_auc(scored, label=label).first()["auc"]
+            rows.append((name, model, len(features), features, r["balanced_acc_mean"], r["balanced_acc_std"], auc, by_class, by_unit))
+    schema = "candidate string, model string, n_features int, features array<string>, balanced_acc_mean double, balanced_acc_std double, auc double, silhouette_class double, silhouette_units double"
+    return spark.createDataFrame(rows, schema).orderBy(F.desc_nulls_last("balanced_acc_mean"), F.desc_nulls_last("auc"), "candidate", "model")

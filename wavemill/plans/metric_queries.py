@@ -333,3 +333,28 @@ def lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = cluster.benchmark(scalar_matrix(spark, sf_dir), SCALARS, n_init=2, max_iter=20)
     return spark.createDataFrame(rows)
+
+
+_SPLIT = f"h AS (SELECT *, row_number() OVER (PARTITION BY class_label ORDER BY {_KEY}) <= round(count(*) OVER (PARTITION BY class_label) * 0.25) AS is_test FROM f)"
+_MEANS = ", ".join(f"avg({n}) FILTER (class_label = {c} AND NOT is_test) AS {n}_{c}" for n in SCALARS for c in (0, 1))
+_D0, _D1 = (" + ".join(f"pow(h.{n} - ce.{n}_{c}, 2)" for n in SCALARS) for c in (0, 1))
+_HELD = f"""{_SCALAR}, {_SPLIT}, ce AS (SELECT {_MEANS} FROM h), hs AS (SELECT class_label, round(1 / (1 + exp(({_D1}) - ({_D0}))), 12) AS score FROM h, ce WHERE is_test),
+hp AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS predicted FROM hs)"""
+
+
+@register("m26_holdout_evaluation", f"""WITH {_HELD}, c AS (SELECT count(*) FILTER (class_label = 1 AND predicted = 1) AS tp, count(*) FILTER (class_label = 0 AND predicted = 1) AS fp,
+  count(*) FILTER (class_label = 0 AND predicted = 0) AS tn, count(*) FILTER (class_label = 1 AND predicted = 0) AS fn FROM hp), au AS ({_auc('hp')})
+SELECT tp, fp, tn, fn, round(tp / (tp + fp + 1e-12), 6) AS precision, round(tp / (tp + fn + 1e-12), 6) AS recall, round(fp / (fp + tn + 1e-12), 6) AS fpr,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(auc, 6) AS auc FROM c, au""")
+def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rounded_centroid(train: DataFrame, names: list[str], label: str) -> Column:
+        return F.round(models.nearest_centroid(train, names, label), 12)
+
+    r = models.holdout_evaluation(scalar_matrix(spark, sf_dir), SCALARS, rounded_centroid)
+    return r.select("tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "fpr", "f1", "balanced_accuracy", "auc")])
+
+
+@register("m24_scoreboard")
+def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = models.stratified_folds(scalar_matrix(spark, sf_dir).cache(), 3)
+    return models.scoreboard(df, {"slopes": ["max_slope", "min_slope"], "scalars": SCALARS}, ["nearest_centroid"], k=3)

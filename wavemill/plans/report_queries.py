@@ -501,3 +501,22 @@ def peri(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = trains(spark, sf_dir)
     on = e.where("event_type = 'purchase'").select("unit_id", F.col("event_id").alias("onset_id"), F.col("t").alias("onset_t"))
     return spikes.peri_event(e.select("unit_id", "event_id", "t"), on, 600, 1800).select("event_id", "onset_id", F.round("lag_s", 3).alias("lag_s"))
+
+
+@register("s11_array_trains", f"WITH {_E}, u AS (SELECT unit_id, list(t) AS times FROM e GROUP BY unit_id) SELECT unit_id, round(unnest(times), 3) AS t FROM u")
+def array_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = trains(spark, sf_dir).groupBy("unit_id").agg(F.collect_list("t").alias("spike_times"))
+    return sorted_units.explode_trains(units).select("unit_id", F.round("t", 3).alias("t"))
+
+
+@register("p09_column_exclusion", "SELECT c_custkey, c_nationkey, round(c_acctbal, 2) AS c_acctbal FROM customer")
+def column_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    kept = sorted_units.without_columns(c, [x for x in c.columns if x not in ("c_custkey", "c_nationkey", "c_acctbal")] + ["absent"])
+    return kept.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@register("s17_run_listing", "SELECT DISTINCT 'run_' || strftime(ts, '%Y%m%d') AS run FROM events ORDER BY run DESC")
+def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "events").select(F.concat(F.lit("run_"), F.date_format("ts", "yyyyMMdd")).alias("run"))
+    return runs.distinct().orderBy(F.desc("run"))

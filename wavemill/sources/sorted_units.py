@@ -74,3 +74,13 @@ def curation_sheet(df: DataFrame) -> DataFrame:
 
 def positive_onsets(df: DataFrame, *, value_col: str = "value") -> DataFrame:
     return df.where(F.col(value_col) > 0)
+
+
+def explode_trains(units: DataFrame, *, times_col: str = "spike_times", keep: tuple[str, ...] = ("unit_id",)) -> DataFrame:
+    """One row (keys, t) per event of units that hold their times in an array; units without events give none."""
+    return units.select(*keep, F.explode(times_col).alias("t"))
+
+
+def without_columns(df: DataFrame, excluded: list[str]) -> DataFrame:
+    """``df`` without the listed columns; names it lacks are ignored."""
+    return df.drop(*excluded)
