@@ -6,7 +6,7 @@ import public_tokenizers
 from wavemill.llm import chat, decontam, langid, packing, pii, quality, secrets, sharding, simhash, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, spans string, kept string, metrics int, fingerprint string, __key string, sequence_id string, shard string, personal string, leaks string, secrets string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words int, spans string, kept string, metrics int, fingerprint string, __key string, __kinds string, __spans string, __leaks string, __id string, __hash string, __metrics string, sequence_id string, shard string, personal string, leaks string, secrets string"
 LONG = "the quick brown fox jumps over the lazy dog. " * 5000
 TEXTS = [
     (1, "hello world this is a plain text of some ten words or so", "en"),
@@ -25,7 +25,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, g, "s", None, 1, "c", "c", 1, "c", "c", "c", "c", "c", "c", "c") for i, t, g in TEXTS]
+    rows = [(i, t, g, "s", None, 1, "c", "c", 1, *"ccccccccccccc") for i, t, g in TEXTS]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -72,6 +72,8 @@ def test_filters_keep_all_columns(docs, labels, benchmark):
     for out in (quality.keep_good(docs, labels), simhash.keep_first(docs), decontam.remove_spans(docs, benchmark), secrets.redact(docs)):
         assert out.columns == docs.columns
         assert out.count() <= len(TEXTS)
+        extra = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars", "n_words", "metrics")]
+        assert {tuple(r) for r in out.select(*extra).distinct().collect()} == {("c",) * len(extra)}
     assert secrets.redact(docs).count() == len(TEXTS)
 
 

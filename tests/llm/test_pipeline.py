@@ -1,5 +1,7 @@
 """The pipeline against a plain computation on a small fixture."""
 
+import os
+
 import corpus_pipeline
 import pytest
 
@@ -47,3 +49,14 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.collect()} == {1, 3, 6}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_scratch_is_dropped(spark):
+    from wavemill.llm import common
+
+    df = common.materialize(spark.range(5))
+    assert df.count() == 5
+    folder = common._scratch(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    common.drop_scratch(spark)
+    assert not os.path.exists(folder)

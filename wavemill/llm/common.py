@@ -8,15 +8,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def _scratch(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.gettempdir()}/wavemill-checkpoints"
+    return f"{base.rstrip('/')}/wavemill-{spark.sparkContext.applicationId}"
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, the one place all executors share.
 
     Only where the setting is absent (single-machine tests) a local folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/wavemill-checkpoints"
-    return f"{base.rstrip('/')}/wavemill-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that were not written out cannot be read after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -37,3 +47,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def utf8(column: str) -> Column:
     """The text as UTF-8 bytes; null is kept."""
     return F.col(column).cast("string").cast("binary")
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` is called so (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8
+from .common import fresh, utf8
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; every byte that is in no word to a space.
@@ -293,7 +293,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     A document whose words were all removed is dropped; one that had none is
     kept. Null texts stay null.
     """
-    names = docs.columns
-    found = find_spans(docs, benchmark, text_col=text_col, width=width, out_col="__leaks", cut=True)
-    kept = found.where((F.col("__leaks.n_hit") == 0) | (F.col("__leaks.n_hit") < F.col("__leaks.n_words")))
-    return kept.withColumn(text_col, F.coalesce("__leaks.clean", text_col)).select(*names)
+    names, leaks = docs.columns, fresh("__leaks", docs)
+    found = find_spans(docs, benchmark, text_col=text_col, width=width, out_col=leaks, cut=True)
+    kept = found.where((F.col(f"{leaks}.n_hit") == 0) | (F.col(f"{leaks}.n_hit") < F.col(f"{leaks}.n_words")))
+    return kept.withColumn(text_col, F.coalesce(f"{leaks}.clean", text_col)).select(*names)

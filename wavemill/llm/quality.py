@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, utf8
+from .common import fresh, materialize, utf8
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -231,5 +231,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     rules, names = default_rules(), docs.columns
     fit = with_metrics(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("lang"), F.col(text_col).alias("text"))).select("doc_id", "lang", "metrics")
     cutoffs = fit_cutoffs(fit, labels, rules, share=share, level=level)
-    measured = with_metrics(docs, text_col=text_col, out_col="__metrics")
-    return measured.where(verdict(F.col("__metrics"), F.col(stratum_col), rules, cutoffs)).select(*names)
+    metrics = fresh("__metrics", docs)
+    measured = with_metrics(docs, text_col=text_col, out_col=metrics)
+    return measured.where(verdict(F.col(metrics), F.col(stratum_col), rules, cutoffs)).select(*names)

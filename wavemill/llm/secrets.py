@@ -13,7 +13,7 @@ from re import _constants as sre, _parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, fresh, materialize
 
 #: More alternatives than this for one stretch of literals are not spelled out.
 _MAX_STRINGS = 64
@@ -165,7 +165,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str = "doc_id", text_col: str = "text", out_col: str = "secrets", small_rows: int = 500_000) -> DataFrame:
-    """``docs`` with the sorted spans of all rules in a new column, all other columns kept.
+    """``docs`` with the sorted spans of all rules in a new column (a column of its name is replaced), others kept.
 
     Documents meet their candidate kinds by a hash of id and text: a chance
     collision or a repeated row only adds a candidate, and candidates are
@@ -176,18 +176,19 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_co
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != out_col.lower()]
+    key, kinds = fresh("__key", docs), fresh("__kinds", docs)
     if indexed:
         vocabulary = sorted({t for clauses in indexed.values() for c in clauses for t in c})
         found = candidates(build_postings(docs.select(id_col, text_col), vocabulary, id_col=id_col, text_col=text_col), indexed)
-        found = materialize(found.withColumnsRenamed({"key": "__key", "kinds": "__kinds"}))
-        docs = docs.withColumn("__key", row_key(id_col, text_col)).join(broadcast_if_small(found, small_rows), "__key", "left")
+        found = materialize(found.withColumnsRenamed({"key": key, "kinds": kinds}))
+        docs = docs.withColumn(key, row_key(id_col, text_col)).join(broadcast_if_small(found, small_rows), key, "left")
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     per_rule = []
     for order, rule in enumerate(rules):
         run = text.rlike(rule.pattern)
         if rule.kind in indexed:
-            run = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) & run
+            run = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)) & run
         per_rule.append(F.when(run, rule_spans(text, rule, order)).otherwise(empty))
     return docs.select(*names, F.array_sort(F.concat(*per_rule)).alias(out_col))
 
@@ -216,7 +217,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str =
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mask``; all rows and columns are kept, null texts too."""
     names = docs.columns
-    found = find_secrets(docs, rules, id_col=id_col, text_col=text_col, out_col="__spans")
+    spans = fresh("__spans", docs)
+    found = find_secrets(docs, rules, id_col=id_col, text_col=text_col, out_col=spans)
     text = F.col(text_col)
 
     def step(s: Column, x: Column) -> Column:
@@ -225,6 +227,6 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), put.alias("out"))
 
     clean = F.aggregate(
-        "__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
     )
-    return found.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).select(*names)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*names)

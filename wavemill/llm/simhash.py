@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, utf8
+from .common import fresh, materialize, utf8
 
 _SEED = 42
 _SEGMENT = 65535  # a 16-bit lane counts this far
@@ -239,11 +239,13 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     the smallest text hash stays, and of wholly repeated rows one.
     """
     prints, component = _components(docs, id_col, text_col, width, radius, tile_rows)
-    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    own_id, own_hash = fresh("__id", docs), fresh("__hash", docs)
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     counted = prints.join(component, "fingerprint").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    chosen = materialize(counted.groupBy("root").agg(F.min(first).alias("f"), F.max("rows").alias("rows")).select("f.__id", "f.__hash", "rows"))
+    least = counted.groupBy("root").agg(F.min(F.struct(first.alias("f"), "rows")).alias("m"))
+    chosen = materialize(least.select(F.col("m.f.i").alias(own_id), F.col("m.f.h").alias(own_hash), "m.rows"))
     text_hash = F.xxhash64(text_col)
-    kept = docs.join(chosen.select("__id", "__hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")), "left_semi")
+    kept = docs.join(chosen.select(own_id, own_hash), F.col(id_col).eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left_semi")
     if chosen.where("rows > 1").isEmpty():
         return kept
-    return kept.withColumn("__hash", text_hash).dropDuplicates([id_col, "__hash"]).drop("__hash")
+    return kept.withColumn(own_hash, text_hash).dropDuplicates([id_col, own_hash]).drop(own_hash)
