@@ -152,9 +152,8 @@ def near_links(distinct: DataFrame, *, radius: int = 4, tile_rows: int = 32768)
     if not tiles:
         return spark.createDataFrame([], "a long, b long")
     tile = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(tiles)], "tile int, p int, c int")
-    x, y = tile.alias("x"), tile.alias("y")
-    within = (F.col("x.tile") <= F.col("y.tile")) & F.col("y.p").between(F.col("x.p"), F.col("x.p") + radius)
-    pairs = x.join(y, within).select(F.col("x.tile").alias("i"), F.col("y.tile").alias("j"))
+    reach = tile.select(F.col("tile").alias("i"), F.explode(F.sequence("p", F.col("p") + radius)).alias("p"))
+    pairs = reach.join(tile.select(F.col("tile").alias("j"), "p"), "p").where("i <= j").select("i", "j")
     takes = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
     n_chunks = F.create_map(*[F.lit(v) for kv in chunks.items() for v in kv])
     dealt = distinct.select("fingerprint", population.alias("p"), F.pmod(F.xxhash64("fingerprint"), n_chunks[population]).cast("int").alias("c"))
