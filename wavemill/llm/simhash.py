@@ -212,11 +212,26 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius:
     prints = materialize(fingerprints(rows, width=width).select("doc_id", "text_hash", "fingerprint"))
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     labels = connected(near_links(distinct, radius=radius, tile_rows=tile_rows))
+    return prints, _rooted(distinct, labels)
+
+
+def _similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """As ``_components``, with links at an exact Jaccard similarity of the shingle sets; equal sets share a fingerprint."""
+    from . import similar
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    prints = materialize(similar.sketches(rows, width=width, similarity=similarity))
+    distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    labels = connected(similar.similar_links(rows, prints, width=width, similarity=similarity))
+    return prints.drop("bands"), _rooted(distinct, labels)
+
+
+def _rooted(distinct: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = materialize(
         distinct.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     )
     lowest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return prints, materialize(rooted.join(lowest, "root").select("fingerprint", "root", "component_id"))
+    return materialize(rooted.join(lowest, "root").select("fingerprint", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
@@ -231,13 +246,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(component, "fingerprint").select("doc_id", F.col("fingerprint").alias("fp"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int = 32768, similarity: float | None = None
+) -> DataFrame:
     """One document of every near-duplicate group, all its columns kept: that of the smallest id.
 
-    Rows without an id come after all others; of rows with equal ids that with
+    With ``similarity``, links are pairs of texts whose sets of word shingles
+    have at least that Jaccard similarity; ``radius`` is then not read. Rows without an id come after all others; of rows with equal ids that with
     the smallest text hash stays, and of wholly repeated rows one.
     """
-    prints, component = _components(docs, id_col, text_col, width, radius, tile_rows)
+    if similarity is None:
+        prints, component = _components(docs, id_col, text_col, width, radius, tile_rows)
+    else:
+        prints, component = _similar_components(docs, id_col, text_col, width, similarity)
     own_id, own_hash = fresh("__id", docs), fresh("__hash", docs)
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     counted = prints.join(component, "fingerprint").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
