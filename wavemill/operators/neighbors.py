@@ -119,7 +119,7 @@ def silhouette(df: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "
         return pd.concat(out)
 
     parts = _block_pairs(df, [id_col, vector_col, label_col], id_col, block_rows).groupBy("q", "o").applyInPandas(sums, "id long, own long, label long, d double, n long")
-    mean = parts.groupBy("id", "own", "label").agg((F.sum("d") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    mean = parts.groupBy("id", "own", "label").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("m"), F.sum("n").alias("n"))
     inside, outside = F.max(F.when((F.col("own") == F.col("label")) & (F.col("n") > 0), F.col("m"))), F.min(F.when(F.col("own") != F.col("label"), F.col("m")))
     per = mean.groupBy("id").agg(inside.alias("a"), outside.alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

@@ -331,7 +331,7 @@ def lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("m22_clustering_benchmark")
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = cluster.benchmark(scalar_matrix(spark, sf_dir), SCALARS, n_init=2, max_iter=20)
+    rows, _ = cluster.benchmark(matrix(spark, sf_dir), NAMES)
     return spark.createDataFrame(rows)
 
 
