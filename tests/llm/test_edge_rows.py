@@ -116,13 +116,38 @@ def test_pages(spark):
 
 
 def test_conversations(spark):
-    rows = [(0, 0, "user", "a", 1), (0, 1, "assistant", "b", 1), (1, 0, "user", "a", 1), (1, 1, "assistant", "c", 1), (1, 1, "assistant", "c", 1), (2, 0, "user", None, 1), (2, None, "user", "x", 1), (None, 0, "user", "x", 1), (5, 0, None, "only", 1)]
+    rows = [(0, 0, "user", "a", 1), (0, 1, "assistant", "bcd", 1), (1, 0, "user", "a", 1), (1, 1, "assistant", "c", 1), (1, 1, "assistant", "c", 1), (1, 2, "user", "thanks", 1)]
+    rows += [(2, 0, "user", None, 1), (2, None, "user", "x", 1), (None, 0, "user", "x", 1), (5, 0, None, "only", 1), (7, 0, "assistant", "", 1)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
-    got = sorted((r["pair_id"], r["part"], r["turn"], r["trained"]) for r in chat.format_preferences(turns).collect())
-    assert got == [(0, "chosen", 1, True), (0, "prompt", 0, False), (0, "rejected", 1, True), (1, "chosen", 0, False), (2, "rejected", 0, False)]
-    assert chat.format_preferences(turns.limit(0)).count() == 0
-    r = chat.render(chat.format_preferences(turns)).where("pair_id = 0").first()
-    assert r["prompt"] == "<|im_start|>user\na<|im_end|>\n" and "c" in r["rejected"]
-    assert [(x["start"], x["end"]) for x in r["chosen_trained"]] == [(0, len(r["chosen"]))]
-    with pytest.raises(ValueError):
-        chat.render(chat.format_preferences(turns), max_turns=1)
+    got = {r["pair_id"]: r for r in chat.format_preferences(turns).collect()}
+
+    def said(role, text):
+        return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+    assert set(got) == {0, 1, 2, 5, 7} and chat.format_preferences(turns.limit(0)).count() == 0
+    r = got[0]
+    assert (r["prompt"], r["chosen"], r["rejected"]) == (said("user", "a"), said("assistant", "bcd"), said("assistant", "c"))
+    assert [tuple(x) for x in r["chosen_trained"]] == [(0, len(r["chosen"]))]
+    r = got[1]  # no neighbour with a reply: half of "c" is empty
+    assert (r["chosen"], r["rejected"]) == (said("assistant", "c") + said("user", "thanks"), said("assistant", ""))
+    assert [tuple(x) for x in r["chosen_trained"]] == [(0, len(said("assistant", "c")))]
+    for k, role, text in ((2, "user", ""), (5, "", "only")):
+        assert (got[k]["prompt"], got[k]["chosen"], got[k]["rejected"], got[k]["chosen_trained"]) == ("", said(role, text), "", [])
+    assert (got[7]["chosen"], got[7]["rejected"]) == (said("assistant", ""), "")
+
+
+def test_long_conversations_come_in_chunks(spark):
+    said = [("user" if i % 2 == 0 else "assistant", f"turn {i} " + "x" * (300_000 if i == 3 else i % 7)) for i in range(700)]
+    turns = spark.createDataFrame([(4, i, r, t) for i, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows = chat.format_preferences(turns).orderBy("chunk").collect()
+    assert [r["chunk"] for r in rows] == [0, 1, 2]
+    whole = [f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in said]
+    assert "".join(r["prompt"] for r in rows) == "".join(whole[:-1]) and "".join(r["chosen"] for r in rows) == whole[-1]
+    assert rows[2]["rejected"] == whole[-1].replace(said[-1][1], said[-1][1][: len(said[-1][1]) // 2])
+
+
+def test_common_prefix_of_any_two_sides(spark):
+    sides = [(1, c, t, "assistant" if t % 2 else "user", f"{t}" if t < 3 else f"{t}{c}") for c in (True, False) for t in range(5 if c else 4)]
+    df = spark.createDataFrame(sides, "pair_id long, is_chosen boolean, turn long, role string, text string")
+    got = sorted((r["part"], r["turn"], r["trained"]) for r in chat.preference_turns(df).collect())
+    assert got == [("chosen", 3, True), ("chosen", 4, False), ("prompt", 0, False), ("prompt", 1, False), ("prompt", 2, False), ("rejected", 3, True)]

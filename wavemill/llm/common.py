@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def _scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/wavemill-checkpoints"
     return f"{base.rstrip('/')}/wavemill-{spark.sparkContext.applicationId}"
 
@@ -18,15 +20,15 @@ def _scratch(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, the one place all executors share.
 
-    Only where the setting is absent (single-machine tests) a local folder is used.
+    Without the setting a cluster run raises an error; only a single-process
+    session (tests) falls back to a folder of its own machine.
     """
     return f"{_scratch(spark)}/{uuid.uuid4().hex}"
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application. Results that were not written out cannot be read after it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _scratch(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,6 +41,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that no later step reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if a count shows at most ``max_rows`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -76,7 +76,8 @@ def op4_skip_chain_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op10_preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(_table(spark, sf_dir, "conversations"))
+    records = chat.format_preferences(_table(spark, sf_dir, "conversations"))
+    return records.withColumns({c: chat.mask_text(F.col(c)) for c in ("chosen_trained", "rejected_trained")})
 
 
 ORACLES["op10_preference_turns"] = chat.ORACLE
