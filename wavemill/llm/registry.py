@@ -82,23 +82,32 @@ def op10_preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_preference_turns"] = chat.ORACLE
 
-#: Secrets in SQL: the stretches between matches and the matches give the positions.
-ORACLES["op1_trigram_secrets"] = r"""
+
+def _secrets_sql() -> str:
+    """Secrets in SQL: the stretches between matches and the matches give the positions."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    hits = " UNION ALL ".join(
+        f"SELECT k, {o} AS o, {quoted(r.kind)} AS kind, {r.min_length} AS least, regexp_split_to_array(t, {quoted(r.pattern)}) AS s, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}, 0) AS m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS g FROM d"
+        for o, r in enumerate(secrets.ALL_RULES)
+    )
+    return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
-hits AS (
-  SELECT k, 0 AS o, 'assign' AS kind, 12 AS least, regexp_split_to_array(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS s,
-         regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
-         regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS g FROM d
-  UNION ALL SELECT k, 1, 'access', 18, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) FROM d
-  UNION ALL SELECT k, 2, 'hex', 16, regexp_split_to_array(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}', 0), regexp_extract_all(t, '[0-9a-f]{16,}', 0) FROM d),
+hits AS ({hits}),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits WHERE len(m) > 0),
 spans AS (
   SELECT k, o, kind, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n
   FROM each WHERE length(g[i]) >= least),
-agg AS (SELECT k, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans,
+agg AS (SELECT k, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) AS spans, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, o) FILTER (o < 3) AS base,
                count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex
         FROM spans GROUP BY k)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN agg USING (k)
 """
+
+
+ORACLES["op1_trigram_secrets"] = _secrets_sql()

@@ -9,7 +9,7 @@ Rules without mandatory trigrams scan every document.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _constants as sre, _parser
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,6 +35,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: Further kinds that announce themselves: key blocks, signed tokens, provider prefixes, credentials in addresses and headers.
+MORE_RULES = (
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]{32,}-----END [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("prefixed_token", r"(ghp_|gho_|ghs_|xoxb-|xoxp-|sk_live_|rk_live_|glpat-|AIza)[A-Za-z0-9_-]{16,}"),
+    Rule("address_login", r"[a-z][a-z0-9+.-]{1,20}://[^/:@\x20\x09-\x0D]{1,64}:[^/:@\x20\x09-\x0D]{3,128}@"),
+    Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9+/_.=-]{20,}"),
+    Rule("account_key", r"(?i:accountkey|sharedaccesskey)=[A-Za-z0-9+/]{32,}={0,2}"),
+)
+ALL_RULES = BASE_RULES + MORE_RULES
 
 Clauses = list[frozenset[str]]
 
@@ -53,56 +63,122 @@ def _grams(strings: set[str]) -> Clauses:
     return _minimal([frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings])
 
 
-def _expand(node) -> tuple[set[str] | None, Clauses]:
-    """(all strings the node can match, or None if many; clauses that every match satisfies)."""
-    op, arg = node
-    if op is sre.LITERAL:
-        return {chr(arg).lower()}, [frozenset()]
-    if op is sre.IN:
-        chars = set()
-        for kind, value in arg:
-            if kind is sre.LITERAL:
-                chars.add(chr(value).lower())
-            elif kind is sre.RANGE and value[1] - value[0] < _MAX_STRINGS:
-                chars.update(chr(c).lower() for c in range(value[0], value[1] + 1))
-            else:
-                return None, [frozenset()]
-        return (chars, [frozenset()]) if len(chars) <= 4 else (None, [frozenset()])
-    if op is sre.SUBPATTERN:
-        return _sequence(arg[-1])
-    if op is sre.BRANCH:
-        parts = [_sequence(x) for x in arg[1]]
+#: What one node of an expression can be: all strings it matches (None: too many), and clauses that every match satisfies.
+_Node = tuple[set[str] | None, Clauses]
+_ANY: _Node = (None, [frozenset()])
+
+
+class _Reader:
+    """Reads an expression of literals, classes, groups, alternatives and repeats; other syntax raises ValueError."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.at = pattern, 0
+
+    def peek(self, text: str) -> bool:
+        return self.pattern.startswith(text, self.at)
+
+    def take(self, text: str) -> bool:
+        found = self.peek(text)
+        self.at += len(text) if found else 0
+        return found
+
+    def alternatives(self) -> _Node:
+        parts = [self.sequence()]
+        while self.take("|"):
+            parts.append(self.sequence())
         strings = set().union(*[s for s, _ in parts if s is not None]) if all(s is not None for s, _ in parts) else None
-        return strings, _minimal([c for _, clauses in parts for c in clauses])
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-        low, high, body = arg
-        strings, clauses = _sequence(body)
+        return (strings if strings is None or len(strings) <= _MAX_STRINGS else None), _minimal([c for _, clauses in parts for c in clauses])
+
+    def sequence(self) -> _Node:
+        """Literals are joined while there are few; where they end, their trigrams become mandatory."""
+        whole, run, clauses = {""}, {""}, [frozenset()]
+        while self.at < len(self.pattern) and not self.peek("|") and not self.peek(")"):
+            strings, inner = self.repeated(self.atom())
+            clauses = _and(clauses, inner)
+            if strings is None or len(run) * len(strings) > _MAX_STRINGS:
+                clauses, run, whole = _and(clauses, _grams(run)), strings or {""}, None
+            else:
+                run = {a + b for a in run for b in strings}
+                whole = run if whole is not None else None
+        return whole, _and(clauses, _grams(run))
+
+    def atom(self) -> _Node:
+        if self.take("("):
+            if self.take("?") and not (self.take("i:") or self.take(":")):
+                raise ValueError(f"unknown group in {self.pattern!r}")
+            node = self.alternatives()
+            if not self.take(")"):
+                raise ValueError(f"open group in {self.pattern!r}")
+            return node
+        if self.take("["):
+            negated, chars = self.take("^"), set()
+            while not self.take("]"):
+                low = self.character()
+                if self.peek("-") and self.pattern[self.at + 1 : self.at + 2] != "]":
+                    self.at += 1
+                    chars.update(chr(c) for c in range(ord(low), ord(self.character()) + 1))
+                else:
+                    chars.add(low)
+            chars = {c.lower() for c in chars}
+            return (chars, [frozenset()]) if not negated and len(chars) <= 4 else _ANY
+        if self.take("."):
+            return _ANY
+        return {self.character().lower()}, [frozenset()]
+
+    def character(self) -> str:
+        if not self.take("\\"):
+            self.at += 1
+            return self.pattern[self.at - 1]
+        if self.take("x"):
+            self.at += 2
+            return chr(int(self.pattern[self.at - 2 : self.at], 16))
+        self.at += 1
+        if self.pattern[self.at - 1].isalnum():
+            raise ValueError(f"unknown escape in {self.pattern!r}")
+        return self.pattern[self.at - 1]
+
+    def repeated(self, node: _Node) -> _Node:
+        if self.take("*"):
+            low, high = 0, None
+        elif self.take("+"):
+            low, high = 1, None
+        elif self.take("?"):
+            low, high = 0, 1
+        elif self.take("{"):
+            end = self.pattern.index("}", self.at)
+            first, _, last = self.pattern[self.at : end].partition(",")
+            low, high, self.at = int(first), int(last or first) if "," not in self.pattern[self.at : end] or last else None, end + 1
+        else:
+            return node
+        strings, clauses = node
         if (low, high) == (0, 1) and strings is not None:
             return strings | {""}, [frozenset()]
-        if (low, high) == (1, 1):
-            return strings, clauses
         return None, clauses if low else [frozenset()]
-    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
-        return {""}, [frozenset()]
-    return None, [frozenset()]
-
-
-def _sequence(nodes) -> tuple[set[str] | None, Clauses]:
-    whole, run, clauses = {""}, {""}, [frozenset()]
-    for node in nodes:
-        strings, inner = _expand(node)
-        clauses = _and(clauses, inner)
-        if strings is None or len(run) * len(strings) > _MAX_STRINGS:
-            clauses, run, whole = _and(clauses, _grams(run)), strings or {""}, None
-        else:
-            run = {a + b for a in run for b in strings}
-            whole = run if whole is not None else None
-    return whole, _and(clauses, _grams(run))
 
 
 def trigram_query(pattern: str) -> Clauses:
     """Alternative sets of lower-case trigrams; a match contains all of at least one set. ``[{}]`` means: scan."""
-    return _sequence(_parser.parse(pattern))[1]
+    reader = _Reader(pattern)
+    clauses = reader.alternatives()[1]
+    if reader.at < len(pattern):
+        raise ValueError(f"closing bracket too many in {pattern!r}")
+    return clauses
+
+
+#: Letters from frequent to rare in running text; other characters are rarer still.
+_FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
+
+
+def rare_query(clauses: Clauses, per_clause: int = 2) -> Clauses:
+    """Every clause with its rarest trigrams only: any part of a clause is mandatory too, so no match is lost.
+
+    Rare is judged by the letters, so that the index holds few long lists.
+    """
+
+    def rarity(gram: str) -> tuple[int, str]:
+        return -sum(_FREQUENT.find(c) if c in _FREQUENT else len(_FREQUENT) for c in gram), gram
+
+    return _minimal([frozenset(sorted(c, key=rarity)[:per_clause]) for c in clauses])
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -115,23 +191,34 @@ def build_postings(docs: DataFrame, trigrams: list[str] | None = None, *, id_col
     With ``trigrams`` the postings of these only: a rule set can read no others.
     Without, those of every trigram of the text. Null texts have none.
     """
-    low = F.lower(F.col(text_col))
+    # folded once, in a projection of its own
+    low = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.lower(F.col(text_col)).alias("low"))
     if trigrams is None:
-        grams = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1)))
-    else:
-        grams = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams]))
-    return docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.explode(grams).alias("trigram"))
+        return low.select("key", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("trigram"))
+    # one flag per trigram, in as many 62-bit words as it takes; rows without any are gone before they are exploded
+    words = [trigrams[i : i + 62] for i in range(0, len(trigrams), 62)]
+
+    def flags(word: list[str]) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("low").contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(word)])
+
+    flagged = low.select("key", *[flags(w).alias(f"w{k}") for k, w in enumerate(words)]).where(reduce(lambda a, b: a | b, [F.col(f"w{k}") != 0 for k in range(len(words))]))
+    held = [F.when(F.col(f"w{k}").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(t)) for k, w in enumerate(words) for i, t in enumerate(w)]
+    return flagged.select("key", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
 
 
 def candidates(postings: DataFrame, queries: dict[str, Clauses]) -> DataFrame:
     """(key, kinds): documents whose postings satisfy a clause, by intersection of each clause's lists.
 
     Postings are folded into one bit set per (document, clause) before the
-    shuffle, so a trigram in very many documents makes no hot task.
+    shuffle, so a trigram in very many documents makes no hot task. Of a clause
+    of over 62 trigrams 62 are used: documents that lack the others are found
+    out when candidates are verified.
     """
-    rows = [(t, kind, n, 1 << i, (1 << len(c)) - 1) for kind, clauses in queries.items() for n, c in enumerate(clauses) for i, t in enumerate(sorted(c))]
-    if any(r[4] >= 1 << 62 for r in rows):
-        raise ValueError("a clause has more than 62 trigrams")
+    rows = []
+    for kind, clauses in queries.items():
+        for n, c in enumerate(clauses):
+            used = sorted(c)[:62]
+            rows += [(t, kind, n, 1 << i, (1 << len(used)) - 1) for i, t in enumerate(used)]
     terms = postings.sparkSession.createDataFrame(rows, "trigram string, kind string, clause int, bit long, full long")
     # the terms of the rule set: their number is fixed by the rules
     hits = postings.join(F.broadcast(terms), "trigram").groupBy("key", "kind", "clause", "full").agg(F.bit_or("bit").alias("bits"))
@@ -164,7 +251,7 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(lengths, start, step, lambda s: s["out"])
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str = "doc_id", text_col: str = "text", out_col: str = "secrets", small_rows: int = 500_000) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, *, id_col: str = "doc_id", text_col: str = "text", out_col: str = "secrets", small_rows: int = 500_000) -> DataFrame:
     """``docs`` with the sorted spans of all rules in a new column (a column of its name is replaced), others kept.
 
     Documents meet their candidate kinds by a hash of id and text: a chance
@@ -173,7 +260,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_co
     ``small_rows``; beyond, the join is left to Spark, which can split repeated
     rows. Null texts count as empty. Rows are neither added nor lost.
     """
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
+    queries = {r.kind: rare_query(trigram_query(r.pattern)) for r in rules}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = [c for c in docs.columns if c.lower() != out_col.lower()]
@@ -197,8 +284,14 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a count per kind, base_sha256 and spans of every document; other columns are not read."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a count per base kind, base_sha256 and spans of every document; other columns are not read.
+
+    ``spans`` has the spans of all kinds in order of start, ties in the order of
+    the rules; those of further kinds may lie inside others. Null and empty
+    texts have none; texts of any length are read whole; repeated rows are
+    judged alike; an empty table gives an empty result.
+    """
     found = find_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules)
     base = [r.kind for r in BASE_RULES]
     s = F.col("secrets")
@@ -208,14 +301,17 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str =
 
     return found.select(
         "doc_id",
-        *[count(r.kind).alias(f"n_{r.kind}") for r in rules],
+        *[count(k).alias(f"n_{k}") for k in base],
         F.sha2(spans_text(F.filter(s, lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         spans_text(s).alias("spans"),
     )
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``mask``; all rows and columns are kept, null texts too."""
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret in the text replaced by ``mask``; all rows and columns are kept, null texts too.
+
+    Spans that overlap are replaced by one mask.
+    """
     names = docs.columns
     spans = fresh("__spans", docs)
     found = find_secrets(docs, rules, id_col=id_col, text_col=text_col, out_col=spans)
