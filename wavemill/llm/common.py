@@ -31,12 +31,12 @@ def drop_scratch(spark: SparkSession) -> None:
     delete(spark, _scratch(spark))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later stages restart from files that survive a lost executor.
     """
-    path = work_dir(df.sparkSession)
+    path = path or work_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

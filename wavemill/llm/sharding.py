@@ -6,7 +6,9 @@ count, and appending a shard moves rows into the new shard only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from .common import broadcast_if_small, materialize
 
 _MASK32 = 0xFFFFFFFF
 # The multiplier of the generator in the published jump hash, and its increment 1.
@@ -59,7 +61,9 @@ def jump_hash(key: Column, shards: int) -> Column:
         ).otherwise(s)
 
     rounds = F.sequence(F.lit(1), F.lit(min(shards, _MAX_JUMPS)))
-    return F.aggregate(rounds, start, jump, lambda s: F.when(s["j"] >= shards, s["b"].cast("int")))
+    # a key that were not done after all jumps stops the job instead of losing its row
+    unfinished = F.raise_error(F.lit(f"over {_MAX_JUMPS} jumps")).cast("int")
+    return F.aggregate(rounds, start, jump, lambda s: F.when(s["j"] >= shards, s["b"].cast("int")).otherwise(unfinished))
 
 
 def assign_shards(df: DataFrame, key: str, shards: int, *, shard_col: str = "shard", grown_col: str | None = None) -> DataFrame:
@@ -75,42 +79,48 @@ def assign_shards(df: DataFrame, key: str, shards: int, *, shard_col: str = "sha
     return df.withColumns(new)
 
 
-def shard_slots(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
-    """Every row with its shard and a gapless place in it.
+#: Repeats of one row are numbered in stretches of this many, so that no task makes them all.
+_STRETCH = 10_000
+
+
+def shard_slots(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 1_000_000) -> DataFrame:
+    """Every row with its shard and a gapless place in it, in the order of id, size and checksum (null ids first).
 
     Returns id, size, text_crc32, law, shard, slot, grown_shard. Null text has no
-    bytes: size 1, checksum 0. Null ids count as key 0. Equal rows are counted
-    before the shuffle and spread to adjacent slots, so that a repeated row
-    cannot make a hot task. A shard is dealt into ``buckets`` hash buckets;
-    slots are the bucket's offset (a table of shards x buckets rows) plus the
-    place within the bucket. An empty table gives an empty result.
+    bytes: size 1, checksum 0. Null ids count as key 0. Texts of any length are
+    read whole; other columns are not read; an empty table gives an empty result.
+
+    Equal rows are counted before the shuffle. The counted rows are
+    range-partitioned by their order, about ``range_rows`` to a partition; a
+    small table of rows per partition and shard gives the offsets. Repeats of a
+    row are numbered in stretches that are dealt over all tasks, so that a
+    repeated row makes no hot task.
     """
-    from pyspark.sql import Window as W
-
+    spark = docs.sparkSession
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
     )
-    groups = (
-        rows.groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .transform(lambda d: assign_shards(d, "doc_id", shards, grown_col="grown_shard"))
-        .withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)))
-    )
-    sums = groups.groupBy("shard", "__bucket").agg(F.sum("__n").alias("__rows"))
-    before = W.partitionBy("shard").orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = sums.select("shard", "__bucket", (F.sum("__rows").over(before) - F.col("__rows")).alias("__offset"))
-    within = W.partitionBy("shard", "__bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = groups.withColumn("__first", F.sum("__n").over(within) - F.col("__n"))
-    # shards x buckets rows at most: bounded by the parameters, not by the data
-    return placed.join(F.broadcast(offsets), ["shard", "__bucket"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        F.explode(F.sequence(F.col("__offset") + F.col("__first"), F.col("__offset") + F.col("__first") + F.col("__n") - 1)).alias("slot"),
-        "grown_shard",
-    )
+    order = ["doc_id", "size", "text_crc32"]
+    groups = materialize(rows.groupBy(*order).agg(F.count(F.lit(1)).alias("n")).transform(lambda d: assign_shards(d, "doc_id", shards, grown_col="grown_shard")))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // range_rows))
+    # written, so that the ranges stay as they are when a task is repeated
+    ranged = materialize(groups.repartitionByRange(ranges, "shard", *order).withColumn("range", F.spark_partition_id()))
+    sums = ranged.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
+    before = W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = sums.select("shard", "range", (F.sum("rows").over(before) - F.col("rows")).alias("offset"))
+    within = W.partitionBy("shard", "range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = ranged.withColumn("first", F.sum("n").over(within) - F.col("n"))
+    # at most a row per shard and range: the rows of the table over range_rows
+    first = placed.join(broadcast_if_small(offsets, 1_000_000), ["shard", "range"]).withColumn("first", F.col("offset") + F.col("first"))
+    columns = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard"]
+    single = first.where("n = 1").select(*columns, F.col("first").alias("slot"), "grown_shard")
+    several = materialize(first.where("n > 1"))
+    if several.isEmpty():
+        return single
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _STRETCH)))
+    dealt = several.withColumn("stretch", stretch).repartition(*order, "stretch").withColumn("start", F.col("first") + F.col("stretch") * _STRETCH)
+    end = F.least(F.col("start") + _STRETCH, F.col("first") + F.col("n")) - 1
+    return single.unionByName(dealt.select(*columns, F.explode(F.sequence(F.col("start"), end)).alias("slot"), "grown_shard"))
