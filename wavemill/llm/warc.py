@@ -8,6 +8,7 @@ block, then reads the record's byte range.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import gzip
 import hashlib
@@ -15,7 +16,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +26,9 @@ from .common import broadcast_if_small, materialize, utf8, work_dir
 
 #: Equal payloads shorter than this are stored again rather than referred to.
 MIN_REVISIT = 1000
-_ENTRY = "key string, page_id long, file string, offset long, length long"
+_ENTRY = "key string, page_id long, file string, offset long, length long, bytes long"
+_ENTRY_ARROW = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("bytes", pa.int64())])
+_FOUND = "page_id long, file string, offset long, length long, bytes long"
 
 
 def surt(url: str | None) -> str:
@@ -46,29 +49,52 @@ def capture_key(url: str | None, page_id: int | None) -> str:
     return f"{surt(url)} " + ("" if page_id is None else f"{page_id + (1 << 63):020d}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record; with ``refers_to`` a revisit that carries no payload."""
-    head = [
-        "WARC/1.0",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
-        f"WARC-Payload-Digest: sha1:{digest}",
+#: Capture date of records whose pages carry none; the table has no date, and a fixed one keeps archives repeatable.
+CAPTURE_DATE = "2020-01-01T00:00:00Z"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def _member(kind: str, name: str, fields: list[str], body: bytes, date: str) -> bytes:
+    """One record as a gzip member; its id follows from the file and the place in it, so it is unique."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", *fields, f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 3, mtime=0)
+
+
+def info_record(name: str, date: str = CAPTURE_DATE) -> bytes:
+    """The record that opens an archive."""
+    return _member("warcinfo", name, [f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"software: wavemill\r\nformat: WARC File Format 1.1\r\n", date)
+
+
+def _uri(url: str | None) -> str:
+    return quote(url or "urn:page:none", safe="%/:=&?~#+!$,;'@()*[]")
+
+
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None, date: str = CAPTURE_DATE) -> bytes:
+    """One page's record (``name``: file and place), an HTTP response; with ``refers_to`` a revisit without payload.
+
+    The digest is written in base 32, as archives have it. Page ids are fields
+    of their own, as they need not be unique.
+    """
+    fields = [
+        f"WARC-Target-URI: {_uri(url)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
     ]
-    if refers_to is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
-        payload = b""
-    head.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if refers_to is None:
+        return _member("response", name, fields, http + payload, date)
+    again = [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page: {refers_to}"]
+    return _member("revisit", name, [*fields, *again], http, date)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of one uncompressed record."""
+    """Headers and payload of one uncompressed record: what follows the HTTP head, or the whole block if it has none."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = {k: v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["Content-Type"].startswith("application/http") else block
 
 
 def _open(uri: str):
@@ -79,7 +105,7 @@ def _open(uri: str):
 
 
 def with_record_types(pages: DataFrame, *, min_revisit: int = MIN_REVISIT, small_rows: int = 200_000) -> DataFrame:
-    """Rows (page_id, url, payload, digest, refers_to): null ``refers_to`` means response.
+    """Rows (page_id, url, payload, digest, refers_to, refers_url): null ``refers_to`` means response.
 
     Payload groups are pre-aggregated and only those that occur repeatedly are
     joined back; they are broadcast if counted to be few.
@@ -90,15 +116,15 @@ def with_record_types(pages: DataFrame, *, min_revisit: int = MIN_REVISIT, small
     groups = materialize(
         rows.where(F.octet_length("payload") >= min_revisit)
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("response"))
-        .where("n > 1 and response is not null")
-        .select("digest", "response")
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "url")).alias("m"))
+        .where("n > 1 and m.page_id is not null")
+        .select("digest", F.col("m.page_id").alias("response"), F.col("m.url").alias("refers_url"))
     )
     joined = rows.join(broadcast_if_small(groups, small_rows), "digest", "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("response").isNull() | F.col("page_id").eqNullSafe(F.col("response")), F.lit(None)).otherwise(F.col("response")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("response").isNull() | F.col("page_id").eqNullSafe(F.col("response")), F.lit(None)).otherwise(F.col("response")).alias("refers_to"), "refers_url")
 
 
-def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = MIN_REVISIT, max_bytes: int = 256 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = MIN_REVISIT, max_bytes: int = 256 << 20, date: str = CAPTURE_DATE) -> DataFrame:
     """Write one record per page under ``folder`` and return the written table of index entries.
 
     Every task attempt writes files of its own name, and only the entries of
@@ -112,22 +138,27 @@ def write_archives(pages: DataFrame, folder: str, *, min_revisit: int = MIN_REVI
         system, path = _open(folder)
         system.create_dir(path, recursive=True)
         out, name, at = None, "", 0
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if out is None:
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = system.open_output_stream(f"{path}/{name}", compression=None)
-                member = gzip.compress(record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"]), 3, mtime=0)
-                out.write(member)
-                rows.append({"key": capture_key(r["url"], r["page_id"]), "page_id": r["page_id"], "file": name, "offset": at, "length": len(member)})
-                at += len(member)
-                if at >= max_bytes:
-                    out.close()
-                    out = None
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
-        if out is not None:
-            out.close()
+        try:
+            for batch in batches:
+                rows = []
+                for i in range(batch.num_rows):  # one row at a time: payloads are not all copied to Python at once
+                    r = {c: batch.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to", "refers_url")}
+                    if out is None:
+                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        out, first = system.open_output_stream(f"{path}/{name}", compression=None), info_record(name, date)
+                        out.write(first)
+                        at = len(first)
+                    member = record(f"{name}/{at}", r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["refers_url"], date)
+                    out.write(member)
+                    rows.append({"key": capture_key(r["url"], r["page_id"]), "page_id": r["page_id"], "file": name, "offset": at, "length": len(member), "bytes": len(r["payload"])})
+                    at += len(member)
+                    if at >= max_bytes:
+                        out.close()
+                        out = None
+                yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY_ARROW)
+        finally:
+            if out is not None:
+                out.close()
 
     return materialize(with_record_types(pages, min_revisit=min_revisit).mapInArrow(write, _ENTRY))
 
@@ -145,7 +176,7 @@ def build_index(entries: DataFrame, *, block_lines: int = 1000, part_rows: int =
         part, number, held = TaskContext.get().partitionId(), 0, []
 
         def flush(lines: list[dict]) -> pa.RecordBatch:
-            text = "\n".join(json.dumps([r["key"], r["page_id"], r["file"], r["offset"], r["length"]]) for r in lines)
+            text = "\n".join(json.dumps([r["key"], r["page_id"], r["file"], r["offset"], r["length"], r["bytes"]]) for r in lines)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "first_key": [lines[0]["key"]], "data": [zlib.compress(text.encode())]})
 
         for batch in batches:
@@ -162,7 +193,7 @@ def build_index(entries: DataFrame, *, block_lines: int = 1000, part_rows: int =
 
 
 def find_captures(blocks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Entries (page_id, file, offset, length) of the distinct keys in column ``key``.
+    """Entries (page_id, file, offset, length, bytes of payload) of the distinct keys in column ``key``.
 
     The top directory has one row per index part. Keys are sent to their part,
     whose blocks and block directory meet them there.
@@ -190,50 +221,63 @@ def find_captures(blocks: DataFrame, keys: DataFrame) -> DataFrame:
                     found.append(tuple(lines[i][1:]))
                     i += 1
                 k += 1
-        out = pd.DataFrame(found, columns=["page_id", "file", "offset", "length"])
-        return out.astype({"page_id": "Int64", "offset": "int64", "length": "int64"})
+        out = pd.DataFrame(found, columns=["page_id", "file", "offset", "length", "bytes"])
+        return out.astype({"page_id": "Int64", "offset": "int64", "length": "int64", "bytes": "int64"})
 
     if not tops:
-        return keys.sparkSession.createDataFrame([], "page_id long, file string, offset long, length long")
+        return keys.sparkSession.createDataFrame([], _FOUND)
     placed = keys.distinct().withColumn("part", part_of("key"))
-    return placed.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(search, "page_id long, file string, offset long, length long")
+    return placed.groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(search, _FOUND)
 
 
-def read_captures(found: DataFrame, folder: str) -> DataFrame:
+def read_captures(found: DataFrame, folder: str, *, part_bytes: int = 32 << 20) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) by range reads.
 
     A response's length and digest are those of the payload read back; a
-    revisit's are those its record states of the full payload.
+    revisit's are those its record states of the full payload. Entries are
+    written, and dealt by file and place into as many tasks as their records
+    have ``part_bytes`` of bytes, or as many as a shuffle has.
     """
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
-    def number(uri: str | None) -> int | None:
-        text = uri[len("<urn:page:") : -1] if uri else ""
+    def number(text: str | None) -> int | None:
         return int(text) if text else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _open(folder)
         name, source = None, None
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["file"] != name:
-                    name, source = r["file"], system.open_input_file(f"{path}/{r['file']}")
-                source.seek(r["offset"])
-                fields, body = parse(gzip.decompress(source.read(r["length"])))
-                kind = fields["WARC-Type"]
-                full = kind == "response"
-                rows.append({
-                    "page_id": number(fields["WARC-Record-ID"]),
-                    "payload_bytes": len(body) if full else int(fields["X-Payload-Length"]),
-                    "payload_digest": hashlib.sha1(body).hexdigest() if full else fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-                    "record_type": kind,
-                    "refers_to": number(fields.get("WARC-Refers-To")),
-                    "payload": body if full else None,
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    ordered = found.repartition("file").sortWithinPartitions("file", "offset")
+        try:
+            for batch in batches:
+                rows, size = [], 0
+                for r in batch.to_pylist():
+                    if r["file"] != name:
+                        if source is not None:
+                            source.close()
+                        name, source = r["file"], system.open_input_file(f"{path}/{r['file']}")
+                    source.seek(r["offset"])
+                    fields, body = parse(gzip.decompress(source.read(r["length"])))
+                    full = fields["WARC-Type"] == "response"
+                    rows.append({
+                        "page_id": number(fields["X-Page-ID"]),
+                        "payload_bytes": len(body) if full else int(fields["X-Payload-Length"]),
+                        "payload_digest": hashlib.sha1(body).hexdigest() if full else base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
+                        "record_type": fields["WARC-Type"],
+                        "refers_to": number(fields.get("X-Refers-To-Page")),
+                        "payload": body if full else None,
+                    })
+                    size += len(body)
+                    if size >= part_bytes:  # payloads are handed on before they fill the worker
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        finally:
+            if source is not None:
+                source.close()
+
+    found = materialize(found)
+    total = found.agg(F.coalesce(F.sum(F.col("length") + F.col("bytes")), F.lit(0))).first()[0]
+    parts = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // part_bytes))
+    ordered = found.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
@@ -241,8 +285,11 @@ def round_trip(pages: DataFrame, *, folder: str | None = None, min_revisit: int
     """Write all pages, index the archives, look every page up and read it back.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. Null urls and ids are indexed like others; an empty table gives
-    an empty result; further columns are not read.
+    refers_to. Null urls and ids are indexed like others; null html is an empty
+    payload; html of any length is one record, held by its task alone; repeated
+    rows are records of their own, and each is read once; of equal payloads with
+    the largest id every row is a response; an empty table gives an empty
+    result; further columns are not read.
     """
     folder = folder or work_dir(pages.sparkSession)
     entries = write_archives(pages, folder, min_revisit=min_revisit)
