@@ -129,21 +129,26 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 4096, size: int
     return model
 
 
-def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1200, max_chars: int = 20_000) -> tuple[list[str], list[str]]:
-    """At most about ``max_docs`` labelled texts, spread over the languages by id hash, held-out rows excluded.
+def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1200, least: int = 20, max_chars: int = 20_000) -> tuple[list[str], list[str]]:
+    """About ``max_docs`` labelled texts, spread over the languages by id hash, held-out rows excluded.
 
-    Texts over ``max_chars`` are not sampled (they would unbound what reaches the driver).
+    Every language is learned: each gets an equal share of ``max_docs``, at
+    least ``least`` rows, so the sample grows with the number of languages only.
+    Texts over ``max_chars`` are not sampled (they would unbound what reaches the
+    driver); prediction reads whole texts.
     """
     open_rows = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) != 2
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(
         F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= max_chars) & F.when(F.col("i").isNotNull(), open_rows).otherwise(False)
     )
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(200).collect()}
-    if not counts:
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    n_langs = counts.count()
+    if not n_langs:
         return [], []
-    per = max_docs // len(counts)
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, int(2**32 * min(1.0, per / n)))])
-    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(2**32)) < share[F.col("l")]).limit(2 * max_docs).toPandas()
+    per = max(least, max_docs // n_langs)
+    shares = counts.select("l", (F.least(F.lit(1.0), per / F.col("n")) * 2**32).cast("long").alias("share"))
+    # one row per language, as the model has
+    chosen = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("i"), F.lit(2**32)) < F.col("share")).select("i", "t", "l").toPandas()
     chosen = chosen.sort_values(["i", "t"])
     return chosen["t"].tolist(), chosen["l"].tolist()
 
@@ -166,7 +171,9 @@ def predict_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Held out are the rows whose crc32 of the id as text leaves 2 modulo 4; rows
     without an id are neither held out nor learned from. Null texts and texts
     without a letter are ``und`` with score 0, as is every text if no language
-    can be learned. Repeated rows are predicted alike.
+    can be learned. Of equally likely languages the first by name counts.
+    Repeated rows are predicted alike; texts of any length are read whole; an
+    empty table gives an empty result; other columns are not read.
     """
     model = train(*training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, max_docs=max_docs))
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
