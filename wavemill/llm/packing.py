@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: At most so many text chunks are remembered per Python worker (about 80 MB).
 _CACHE_CHUNKS = 400_000
@@ -28,7 +28,8 @@ class ChunkTokenizer:
     Byte-level BPE splits texts before every white-space run that follows other
     characters and after every run of letters, so texts of single spaces and
     line ends are cut there and each distinct chunk is tokenised once. Texts
-    with any other white space go through the tokenizer whole.
+    with any other white space, or with the string of a special token, go
+    through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,13 +40,13 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # in the byte-level alphabet every character of a token stands for one byte
         vocabulary = self._tokenizer.get_vocab()
         self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self._bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         spaces = [chr(i) for i in range(0x10000) if chr(i).isspace() and chr(i) not in " \n"]
-        self._odd = ["  ", "\n\n", " \n", "\n ", *spaces]
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]  # their strings in a text are one id each
+        self._odd = ["  ", "\n\n", " \n", "\n ", *spaces, *special]
         # a run of Latin letters is cut off where white space or plain punctuation shows that it ends
         self._chunks = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[ \n.,;:!?]|\Z)|[ \n]?[^ \n]+|[ \n]")
         self._known: dict[str, bytes] = {}
@@ -152,17 +153,21 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, slack: int = 8, block_rows: int = 200_000, group_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, slack: int = 8, block_rows: int = 200_000, group_rows: int = 500_000) -> DataFrame:
     """``pieces`` (column ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     A partition packs at most ``block_rows`` pieces at a time. Bins with more
-    than ``slack`` free places are items of the next round, dealt into groups of
-    about ``group_rows``. Repeated rows are separate items; an empty table gives
-    an empty result. Columns named sequence_id or offset are replaced.
+    than ``slack`` free places are items of the next round, dealt by round into
+    groups of at most about ``group_rows`` (two numbers each): half as many
+    groups as before, until one is left or no two open bins fit together. Equal
+    lengths are packed in the order they are read; repeated rows are separate
+    items; an empty table gives an empty result. Columns named sequence_id or
+    offset are replaced.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     pieces = pieces.select(names)
     at = names.index("length")
+    filled, into, base_col = fresh("fill", pieces), fresh("into", pieces), fresh("base", pieces)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -174,7 +179,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, slack: int = 8, block_rows:
             nonlocal base, held
             table = pa.Table.from_batches(held)
             bins, offsets, fill = best_fit(table.column(at).to_numpy(), capacity)
-            table = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column("__fill", pa.array(fill[bins]))
+            table = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets)).append_column(filled, pa.array(fill[bins]))
             base, held = base + len(fill), []
             yield from table.to_batches(max_chunksize=10_000)
 
@@ -189,7 +194,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, slack: int = 8, block_rows:
             yield from flush()
 
     kinds = dict(pieces.dtypes)
-    placed = materialize(pieces.mapInArrow(local, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id long, offset long, __fill long"))
+    placed = materialize(pieces.mapInArrow(local, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", sequence_id long, offset long, `{filled}` long"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, fill = best_fit(pdf["fill"].to_numpy(), capacity)
@@ -198,36 +203,43 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, slack: int = 8, block_rows:
         head[bins[offsets == 0]] = ids[offsets == 0]  # a merged bin is named after its first item
         return pd.DataFrame({"bin": ids, "into": head[bins], "base": offsets, "fill": fill[bins]})
 
-    open_bins = materialize(placed.where(F.col("__fill") < capacity - slack).select(F.col("sequence_id").alias("bin"), F.col("__fill").alias("fill")).distinct())
-    moves, count = None, open_bins.count()
-    while count > 1:
-        groups = -(-count // group_rows)
-        merged = materialize(
-            open_bins.withColumn("g", F.pmod(F.xxhash64("bin"), F.lit(groups)))
-            .groupBy("g")
-            .applyInPandas(lambda pdf: merge(pdf), "bin long, into long, base long, fill long")
-        )
+    def open_of(bins: DataFrame) -> tuple[DataFrame, int]:
+        """The open bins that the smallest of them still fits into, and their number."""
+        bins = materialize(bins.where(F.col("fill") < capacity - slack).distinct())
+        least = bins.agg(F.min("fill")).first()[0]
+        fitting = bins.where(F.col("fill") + F.lit(least or 0) <= capacity)
+        return fitting, fitting.count()
+
+    open_bins, count = open_of(placed.select(F.col("sequence_id").alias("bin"), F.col(filled).alias("fill")))
+    moves, groups, turn = None, None, 0
+    while count > 1 and groups != 1:
+        groups = max(-(-count // group_rows), 1 if groups is None else -(-groups // 2))
+        dealt = open_bins.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
+        merged = materialize(dealt.groupBy("g").applyInPandas(lambda pdf: merge(pdf), "bin long, into long, base long, fill long"))
         step = merged.select(F.col("bin").alias("into"), F.col("into").alias("to"), F.col("base").alias("more"))
         if moves is None:
             moves = merged.select("bin", "into", "base")
-        else:
-            moves = materialize(
-                moves.join(step, "into", "left").select("bin", F.coalesce("to", "into").alias("into"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
-            )
-        open_bins = materialize(merged.where(F.col("fill") < capacity - slack).select(F.col("into").alias("bin"), "fill").distinct())
-        left = open_bins.count()
-        if groups == 1 or left == count:
-            break
-        count = left
-    placed = placed.drop("__fill")
+        else:  # every open bin is named after one of the first round, which is listed as its own target
+            moves = materialize(moves.join(step, "into", "left").select("bin", F.coalesce("to", "into").alias("into"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")))
+        open_bins, left = open_of(merged.select(F.col("into").alias("bin"), "fill"))
+        if left == count and turn % 2 and groups == -(-count // group_rows):
+            break  # two rounds of other neighbours merged nothing, and the groups cannot be fewer
+        count, turn = left, turn + 1
+    placed = placed.drop(filled)
     if moves is None:
         return placed
-    joined = placed.join(moves.withColumnsRenamed({"bin": "sequence_id", "into": "__into", "base": "__base"}), "sequence_id", "left")
+    joined = placed.join(moves.withColumnsRenamed({"bin": "sequence_id", "into": into, "base": base_col}), "sequence_id", "left")
     return joined.select(
-        *names, F.coalesce("__into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("__base", F.lit(0))).alias("offset")
+        *names, F.coalesce(into, "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce(base_col, F.lit(0))).alias("offset")
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's pieces placed in sequences of at most ``capacity`` ids."""
+    """Every document's pieces placed in sequences of at most ``capacity`` ids.
+
+    Null and empty texts are the end id alone; a very long text is cut into
+    pieces of ``capacity`` ids, its first piece may be shorter; repeated rows are
+    packed as often as they occur; an empty table gives an empty result; other
+    columns are not read.
+    """
     return pack(materialize(token_pieces(docs, tokenizer_path, capacity=capacity, id_col=id_col, text_col=text_col)), capacity=capacity)
