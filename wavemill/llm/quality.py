@@ -1,16 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
-Fixed base rules reject very short and very repetitive texts. On top, each rule
-on a ratio (symbols per word, capitals per character, ...) gets a cutoff per
-stratum: one half of the labelled documents proposes it, the other half must
-show, by an exact binomial bound corrected for all tests made, that it rejects
-no more than the allowed share of good documents.
+Fixed base rules reject very short and very repetitive texts. On top, each
+stratum gets cutoffs of rules on ratios (symbols per word, capitals per
+character, ...): one half of the labelled documents proposes them, the other
+half must show, by an exact binomial bound, that together they reject no more
+than the allowed share of good documents. The proposal and ever more lenient
+forms of it are tested in a fixed sequence, from the most lenient on, and the
+level is divided by the number of strata with a proposal.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, materialize, utf8
+from .common import broadcast_if_small, fresh, materialize, utf8
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -131,53 +132,55 @@ def certified(rejected: int, good: int, share: float, level: float) -> bool:
     return good > 0 and binomial_cdf(rejected, good, share) <= level
 
 
-def choose_cutoffs(counts: list[tuple[str, int, int, bool, bool, int]], rules: list[Rule], *, share: float, level: float, ladder: int = 2) -> dict[str, dict[int, float]]:
-    """Cutoffs by stratum and rule number from (stratum, rule, step, good, holdout, documents).
+#: Grid steps by which all cutoffs of a proposal are made more lenient, from the most lenient form to the proposal itself.
+LADDER = (12, 8, 5, 3, 2, 1, 0)
 
-    ``step`` is the number of grid cutoffs that the document's ratio exceeds. The proposing half picks the cutoff that rejects most bad documents
-    net of twenty times the good ones; it and the next ``ladder - 1`` more
-    lenient ones are tested on the holdout. The level is divided by all tests
-    that can be made, the share by the number of rules.
+
+def propose(counts: pd.DataFrame, grids: list[int], share: float) -> list[int]:
+    """Grid steps of one stratum's proposed cutoffs, -1 for rules without one.
+
+    ``counts`` has (rule, step, good, n) of the proposing half, ``step`` being
+    the number of grid cutoffs that a ratio exceeds. The cutoff with the largest
+    gain is proposed: the share of bad documents rejected, less the share of
+    good ones over ``share``, so that a rule must reject that many times more of
+    the bad than of the good. Of equal gains the most lenient counts.
     """
-    table: dict = defaultdict(lambda: np.zeros(0))
-    strata = sorted({c[0] for c in counts})
-    for stratum, rule, step, good, holdout, n in counts:
-        key = (stratum, rule, good, holdout)
-        if key not in table:
-            table[key] = np.zeros(len(rules[rule].grid) + 1)
-        table[key][step] += n
-    tests, out = max(1, len(strata) * len(rules) * ladder), {}
-    for stratum in strata:
-        for r, rule in enumerate(rules):
-            grid = len(rule.grid)
-
-            def over(good: bool, holdout: bool) -> tuple[np.ndarray, float]:
-                c = table.get((stratum, r, good, holdout), np.zeros(grid + 1))
-                return c.sum() - np.cumsum(c)[:grid], c.sum()  # documents above each cutoff
-
-            (bad, n_bad), (good, n_good), (held, n_held) = over(False, False), over(True, False), over(True, True)
-            if not n_bad or not n_held:
-                continue
-            gain = bad / n_bad - 20 * good / max(n_good, 1)
-            best = grid - 1 - int(np.argmax(gain[::-1]))  # of equal gains the most lenient
-            if gain[best] <= 0:
-                continue
-            for k in range(best, min(best + ladder, grid)):
-                if certified(int(held[k]), int(n_held), share / len(rules), level / tests):
-                    out.setdefault(stratum, {})[r] = rule.grid[k]
-                    break
+    out = []
+    for rule, grid in enumerate(grids):
+
+        def over(good: bool) -> np.ndarray:
+            c = np.zeros(grid + 1)
+            own = counts[(counts["rule"] == rule) & (counts["good"] == good)]
+            np.add.at(c, own["step"].to_numpy(int), own["n"].to_numpy(float))
+            return (c.sum() - np.cumsum(c)[:grid]) / max(1.0, c.sum())
+
+        gain = over(False) - over(True) / share
+        best = grid - 1 - int(np.argmax(gain[::-1]))
+        out.append(best if gain[best] > 0 else -1)
     return out
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", stratum_col: str = "lang", share: float = 0.05, level: float = 0.05) -> dict[str, dict[int, float]]:
-    """Cutoffs from labelled rows of ``measured`` (with struct ``metrics``).
+def certify(rejected: list[int], good: int, share: float, level: float) -> int | None:
+    """The last place of the ladder reached, of ``rejected`` good holdout documents by place: tests stop at the first that fails."""
+    last = None
+    for place, k in enumerate(rejected):
+        if not certified(k, good, share, level):
+            break
+        last = place
+    return last
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", stratum_col: str = "lang", share: float = 0.05, level: float = 0.05) -> DataFrame:
+    """Certified cutoffs (stratum, limits: one per rule, null for none) from labelled rows of ``measured`` (with struct ``metrics``).
 
     Labels without id or quality are ignored; of conflicting labels of one id
     the lower counts. The null stratum is a stratum of its own (the empty
-    string). What reaches the driver is a count per stratum, rule and grid step.
+    string). Counts per stratum, rule and step are made by Spark and each
+    stratum is decided in its own group; only the number of strata with a
+    proposal reaches the driver.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") > 0).alias("good"))
-    m = F.col("metrics")
+    m, grids = F.col("metrics"), [len(r.grid) for r in rules]
 
     def step(rule: Rule) -> Column:
         grid = F.array(*[F.lit(x) for x in rule.grid])
@@ -186,51 +189,81 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, rules: list[Rule], *, id
     rows = measured.select(
         F.col(id_col).alias("__id"),
         F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-        *[step(r).alias(f"s{k}") for k, r in enumerate(rules)],
+        F.array(*[step(r) for r in rules]).alias("steps"),
     ).join(known, "__id")
     holdout = F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(2)) == 1
-    long = rows.select("stratum", "good", holdout.alias("holdout"), F.posexplode(F.array(*[f"s{k}" for k in range(len(rules))])).alias("rule", "step"))
-    counts = long.groupBy("stratum", "rule", "step", "good", "holdout").count().collect()
-    return choose_cutoffs([tuple(c) for c in counts], rules, share=share, level=level)
+    rows = materialize(rows.select("stratum", "good", holdout.alias("holdout"), "steps"))
+    counts = rows.where("not holdout").select("stratum", "good", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step", "good").agg(F.count(F.lit(1)).alias("n"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen = propose(pdf, grids, share)
+        found = any(k >= 0 for k in chosen) and pdf["good"].any() and not pdf["good"].all()
+        return pd.DataFrame([(pdf["stratum"].iat[0], chosen)] if found else [], columns=["stratum", "chosen"], dtype=object)
 
+    proposed = materialize(counts.groupBy("stratum").applyInPandas(choose, "stratum string, chosen array<int>"))
+    tests = proposed.count()
+    size = F.array(*[F.lit(g) for g in grids])
 
-def verdict(m: Column, stratum: Column, rules: list[Rule], cutoffs: dict[str, dict[int, float]]) -> Column:
-    """True for documents that pass the base rules and every certified cutoff of their stratum."""
-    kept = ~base_failed(m)
-    name = F.coalesce(stratum.cast("string"), F.lit(""))
-    for k, rule in enumerate(rules):
-        known = {s: c[k] for s, c in cutoffs.items() if k in c}
-        if known:
-            limit = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[name]
-            kept = kept & F.coalesce(rule.ratio(m) <= limit, F.lit(True))
-    return kept
+    def at_place(lenient: int) -> Column:
+        """Cutoff steps at one place of the ladder; a rule without a proposal has a step that nothing exceeds."""
+        return F.zip_with("chosen", size, lambda c, g: F.when(c < 0, g).otherwise(F.least(c + lenient, g)))
+
+    def hit(lenient: int) -> Column:
+        return F.exists(F.zip_with("steps", at_place(lenient), lambda s, c: s > c), lambda x: x)
+
+    good = rows.where("holdout and good").join(broadcast_if_small(proposed, 10_000), "stratum").groupBy("stratum", "chosen").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(hit(k)).alias(f"r{i}") for i, k in enumerate(LADDER)]
+    )
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                place = certify([int(getattr(r, f"r{i}")) for i in range(len(LADDER))], int(r.n), share, level / tests)
+                if place is not None:
+                    limits = [rules[k].grid[c + LADDER[place]] if c >= 0 and c + LADDER[place] < grids[k] else None for k, c in enumerate(r.chosen)]
+                    out.append((r.stratum, limits, int(r.n), int(getattr(r, f"r{place}"))))
+            yield pd.DataFrame(out, columns=["stratum", "limits", "n_good", "n_rejected"], dtype=object)
+
+    return materialize(good.mapInPandas(decide, "stratum string, limits array<double>, n_good long, n_rejected long"))
+
+
+def verdicts(measured: DataFrame, rules: list[Rule], cutoffs: DataFrame, *, metrics_col: str, stratum_col: str, out_col: str) -> DataFrame:
+    """``measured`` with a boolean: passes the base rules and every certified cutoff of its stratum."""
+    m, key, limits = F.col(metrics_col), fresh("stratum", measured), fresh("limits", measured)
+    told = broadcast_if_small(cutoffs.select(F.col("stratum").alias(key), F.col("limits").alias(limits)), 10_000)
+    ratios = F.array(*[r.ratio(m).cast("double") for r in rules])
+    over = F.exists(F.zip_with(ratios, limits, lambda x, c: F.coalesce(x > c, F.lit(False))), lambda x: x)
+    kept = ~base_failed(m) & ~F.coalesce(over, F.lit(False))
+    return measured.withColumn(key, F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))).join(told, key, "left").withColumn(out_col, kept).drop(key, limits)
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", share: float = 0.05, level: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document.
 
     Null text has no words and fails the base. Without usable labels only the
-    base rules reject. Repeated rows are judged alike; an empty table gives an
-    empty result; other columns are not read.
+    base rules reject. A ratio equal to a cutoff passes. Texts of any length are
+    read whole; repeated rows are judged alike; an empty table gives an empty
+    result; other columns are not read.
     """
     rules = default_rules()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("lang"), F.col(text_col).alias("text"))
     measured = materialize(with_metrics(rows).select("doc_id", "lang", "metrics"))
     cutoffs = fit_cutoffs(measured, labels, rules, share=share, level=level)
     m = F.col("metrics")
-    return measured.select(
-        "doc_id",
-        *[m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        base_failed(m).alias("base_failed"),
-        verdict(m, F.col("lang"), rules, cutoffs).alias("kept"),
+    return verdicts(measured, rules, cutoffs, metrics_col="metrics", stratum_col="lang", out_col="kept").select(
+        "doc_id", *[m[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], base_failed(m).alias("base_failed"), "kept"
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", share: float = 0.05, level: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns kept. Counts are made once for the fit and once for the decision."""
+    """The documents that pass, all columns kept; see ``judge`` for nulls, ties, repeated rows and empty tables.
+
+    Counts are made once and written with the rows, for the fit and the decision.
+    """
     rules, names = default_rules(), docs.columns
-    fit = with_metrics(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("lang"), F.col(text_col).alias("text"))).select("doc_id", "lang", "metrics")
+    metrics, kept = fresh("metrics", docs), fresh("kept", docs)
+    measured = materialize(with_metrics(docs, text_col=text_col, out_col=metrics))
+    fit = measured.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("lang"), F.col(metrics).alias("metrics"))
     cutoffs = fit_cutoffs(fit, labels, rules, share=share, level=level)
-    metrics = fresh("__metrics", docs)
-    measured = with_metrics(docs, text_col=text_col, out_col=metrics)
-    return measured.where(verdict(F.col(metrics), F.col(stratum_col), rules, cutoffs)).select(*names)
+    return verdicts(measured, rules, cutoffs, metrics_col=metrics, stratum_col=stratum_col, out_col=kept).where(kept).select(*names)
