@@ -18,15 +18,17 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, utf8
+from .common import delete, fresh, materialize, utf8, work_dir
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; every byte that is in no word to a space.
 _FOLD = bytes(ord(" ") if not _WORD.fullmatch(bytes([b]).lower()) else bytes([b]).lower()[0] for b in range(256))
-#: A shard is indexed once this many symbols are held; a longer document is still one shard.
-_SHARD_SYMBOLS = 1 << 20
+#: A shard is indexed once this many bytes of text are held; a longer document is still one shard.
+_SHARD_BYTES = 6 << 20
+#: A long test item is cut into overlapping stretches of this many words.
+_PIECE_WORDS = 50_000
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
@@ -36,22 +38,38 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """The windows of a block of test items, as symbol rows by length, with the items each belongs to."""
+    """The distinct windows of a block of test items, as symbol rows by length, with the items each belongs to.
+
+    Pickles as the texts it was made from: a worker rebuilds the arrays, about
+    40 bytes a word for the windows and 12 for their items.
+    """
 
     def __init__(self, items: list[tuple[object, bytes | None]], width: int) -> None:
+        self.made_from = items, width
         self.symbols: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.names: list[str] = sorted({"" if i is None else str(i) for i, _ in items})
+        number = {n: k for k, n in enumerate(self.names)}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item, text in items:
             words = words_of(text)
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words]  # 0 ends a shard, 1 separates
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners[tuple(ids[i : i + width])].add("" if item is None else str(item))
-        self.by_length = []
-        lengths = sorted({len(w) for w in owners})
-        for n in lengths:
-            windows = [w for w in owners if len(w) == n]
-            self.by_length.append((np.array(windows, np.int32), [sorted(owners[w]) for w in windows]))
-        self.shortest = lengths[0] if lengths else 0
+            if words:
+                ids = np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 2) for w in words), np.int32, len(words))  # 0 ends a shard, 1 separates
+                by_length[min(width, len(ids))].append((ids, number["" if item is None else str(item)]))
+        #: (windows, first, owners): the owners of window w are names[owners[first[w] : first[w + 1]]]
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in sorted(by_length):
+            held = by_length.pop(n)
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(ids, n) for ids, _ in held])
+            owner = np.concatenate([np.full(len(ids) - n + 1, k, np.int32) for ids, k in held])
+            order = np.lexsort((owner, *rows.T[::-1]))
+            rows, owner = rows[order], owner[order]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+            keep = new | np.concatenate([[True], owner[1:] != owner[:-1]])
+            self.by_length.append((rows[new], np.append(np.flatnonzero(new[keep]), keep.sum()), owner[keep]))
+        self.shortest = self.by_length[0][0].shape[1] if self.by_length else 0
+
+    def __reduce__(self):
+        return Phrases, self.made_from
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -164,7 +182,7 @@ def find_in_shard(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int
     text[:-1][text[:-1] == 0] = 1
     index = FMIndex(text, len(phrases.symbols) + 2)
     hit_start, hit_end = [], []
-    for patterns, owners in phrases.by_length:
+    for patterns, owner_first, owners in phrases.by_length:
         low, high = index.search(patterns)
         some = np.flatnonzero(high > low)
         if not len(some):
@@ -176,7 +194,7 @@ def find_in_shard(texts: list[bytes | None], phrases: Phrases) -> list[tuple[int
         hit_end.append(at + patterns.shape[1])
         doc = np.searchsorted(first, at, side="right") - 1
         for d, w in np.unique(np.stack([doc, np.repeat(some, n)], 1), axis=0).tolist():
-            found[d][1].update(owners[w])
+            found[d][1].update(phrases.names[k] for k in owners[owner_first[w] : owner_first[w + 1]])
     if hit_start:
         s, e = np.concatenate(hit_start), np.concatenate(hit_end)
         order = np.argsort(s, kind="stable")
@@ -229,7 +247,7 @@ def _search_udf(phrases_broadcast, chained: bool, cut: bool):
         for i, text in enumerate(series):
             held.append(text)
             n += len(text or b"")
-            if n >= 6 * _SHARD_SYMBOLS or i == len(series) - 1:
+            if n >= _SHARD_BYTES or i == len(series) - 1:
                 rows += shard(held, told and told[first : i + 1])
                 held, n, first = [], 0, i + 1
         return pd.DataFrame(rows, columns=names)
@@ -252,30 +270,62 @@ def _search_udf(phrases_broadcast, chained: bool, cut: bool):
     return search.asNondeterministic()
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 32 << 20, out_col: str = "leaks", cut: bool = False) -> DataFrame:
+def _pieces(benchmark: DataFrame, item: Column, text: Column, width: int) -> DataFrame:
+    """Distinct (i, t): items as text, long ones in stretches that share ``width - 1`` words, so that no window is lost."""
+    rows = benchmark.select(item.alias("i"), text.alias("t")).where(F.octet_length("t") > 0).distinct()
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(text: bytes) -> list[bytes]:
+            if len(text) <= _PIECE_WORDS:
+                return [text]
+            words = words_of(text)
+            return [b" ".join(words[s : s + _PIECE_WORDS + width - 1]) for s in range(0, max(1, len(words) - width + 1), _PIECE_WORDS)]
+
+        return texts.map(one)
+
+    return rows.select("i", F.explode(cut("t")).alias("t")).distinct()
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = 4 << 20, out_col: str = "leaks", cut: bool = False) -> DataFrame:
     """``docs`` with a struct column: n_words, n_hit, items (sorted as strings) and merged word spans.
 
     With ``cut`` the struct also has ``clean``, the text without the spans, null where nothing was hit.
 
-    The benchmark is a stated query set. Its size is measured; it is searched in
-    blocks of about ``block_bytes`` of text, each sent to the executors once, and
-    the results of the blocks are merged. No rows are shuffled. Null and
-    wordless texts have no words; null and wordless items have no window; an
-    item without id counts under the empty string; repeated items count once.
+    The benchmark is a stated query set. Its distinct texts are cut into bounded
+    stretches and searched in blocks of about ``block_bytes``, each sent to the
+    executors once. Between blocks the result so far is written, so that a
+    worker holds one block at a time; the results of the blocks are merged. No
+    rows are shuffled. Null and wordless texts have no words; null and wordless
+    items have no window; an item without id counts under the empty string;
+    repeated items count once; texts and items of any length are searched whole.
     """
     spark = docs.sparkSession
-    item, text = F.col(item_col).cast("string"), utf8(item_text_col)
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    pieces = materialize(_pieces(benchmark, F.col(item_col).cast("string"), utf8(item_text_col), width))
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_bytes))
+    before = None
     for b in range(blocks):
-        rows = benchmark.select(item.alias("i"), text.alias("t")).where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        phrases = spark.sparkContext.broadcast(Phrases([(r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in rows], width))
+        # one block of the stated query set, its size set by block_bytes
+        rows = pieces.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
+        phrases = spark.sparkContext.broadcast(Phrases([(r["i"], bytes(r["t"])) for r in rows], width))
         docs = docs.withColumn(out_col, _search_udf(phrases, b > 0, cut and b == blocks - 1)(utf8(text_col), *([F.col(out_col)] if b else [])))
+        if b < blocks - 1:
+            path = work_dir(spark)
+            docs = materialize(docs, path)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; other columns are not read."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; other columns are not read.
+
+    Rows are neither added nor lost: repeated rows and texts without words have
+    rows too; an empty table gives an empty result. See ``find_spans`` for nulls
+    and repeated items.
+    """
     found = find_spans(docs.select(F.col(id_col).alias("doc_id"), F.col("text")), benchmark, width=width, out_col="leaks")
     return found.select(
         "doc_id",
