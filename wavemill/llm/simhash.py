@@ -1,21 +1,22 @@
 """SimHash near-duplicate groups by tiled exact comparison.
 
 Fingerprints are computed per row in Arrow batches. Distinct fingerprints are
-dealt into tiles of equal population count; only tile pairs whose counts differ
-by at most the radius are compared, with numpy exclusive-or and bit counts.
+laid into tiles by population count; only tile pairs whose counts differ by at
+most the radius are compared, with numpy exclusive-or and bit counts.
 Each tile pair emits a spanning forest of what it linked, never all its pairs,
 and the forests are joined by contraction rounds of DataFrame joins.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fresh, materialize, utf8
+from .common import broadcast_if_small, fresh, materialize, utf8
 
 _SEED = 42
 _SEGMENT = 65535  # a 16-bit lane counts this far
@@ -136,41 +137,132 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, sub: int
     return nodes[linked], nodes[root[linked]]
 
 
-def near_links(distinct: DataFrame, *, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
+#: Values that one task compares at the most useful size: about 0.1 s of work in numpy.
+_TASK_PAIRS = 100_000_000
+
+
+def _quarters(fingerprint: Column) -> list[Column]:
+    """Population counts of the four 16-bit quarters, the highest first."""
+    return [F.bit_count(F.shiftrightunsigned(fingerprint, 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") for k in (3, 2, 1, 0)]
+
+
+def _code(fingerprint: Column) -> Column:
+    """One number for (population count, quarter counts), in that order."""
+    q = _quarters(fingerprint)
+    code = q[0] + q[1] + q[2] + q[3]
+    for x in q[:3]:
+        code = code * 17 + x
+    return code.cast("int")
+
+
+def lay_tiles(codes: np.ndarray, sizes: np.ndarray, tile_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tiles of about ``tile_rows`` values from the sorted cells (code, size).
+
+    Neighbouring small cells share a tile; a large cell is cut into chunks.
+    Returns each cell's first tile and number of chunks, and per tile its size
+    and the least and largest (population, quarter counts) in it.
+    """
+    first, chunks = np.zeros(len(codes), np.int64), np.ones(len(codes), np.int64)
+    rest, parts = codes.copy(), []
+    for _ in range(3):
+        parts.append(rest % 17)
+        rest = rest // 17
+    counts = np.stack([rest, *parts[::-1], rest - sum(parts)], 1)
+    rows, low, high = [], [], []
+    for k, n in enumerate(sizes.tolist()):
+        if rows and n <= tile_rows and rows[-1] + n <= tile_rows and chunks[k - 1] == 1:
+            rows[-1] += n
+            low[-1], high[-1] = np.minimum(low[-1], counts[k]), np.maximum(high[-1], counts[k])
+            first[k] = len(rows) - 1
+            continue
+        first[k], chunks[k] = len(rows), -(-n // tile_rows)
+        rows += [n / chunks[k]] * chunks[k]
+        low += [counts[k]] * chunks[k]
+        high += [counts[k]] * chunks[k]
+    return first, chunks, np.array(rows), (np.stack(low), np.stack(high))
+
+
+def pair_tiles(rows: np.ndarray, box: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tile pairs (i <= j) that can hold a link: population counts within the radius, quarter counts within it in sum."""
+    low, high = box
+    left, right = [], []
+    for i in range(len(rows)):
+        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:]))
+        j = np.flatnonzero((gap[:, 0] <= radius) & (gap[:, 1:].sum(axis=1) <= radius)) + i
+        left.append(np.full(len(j), i))
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def deal_tasks(work: np.ndarray, tasks: int) -> np.ndarray:
+    """A task for every pair, the largest first and always to the task with the least work so far."""
+    out, heap = np.zeros(len(work), np.int64), [(0.0, t) for t in range(tasks)]
+    for k in np.argsort(-work, kind="stable").tolist():
+        load, t = heapq.heappop(heap)
+        out[k] = t
+        heapq.heappush(heap, (load + float(work[k]), t))
+    return out
+
+
+def _keys_of_tasks(spark: SparkSession, tasks: int) -> list[int]:
+    """For every task a number that Spark's hash partitioning puts into that partition alone."""
+    keys: dict[int, int] = {}
+    start, step = 0, 16 * tasks + 64
+    while len(keys) < tasks:
+        found = spark.range(start, start + step, 1, 1).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("t")).agg(F.min("id").alias("k")).collect()  # a row per task
+        for r in found:
+            keys.setdefault(r["t"], r["k"])
+        start += step
+    return [keys[t] for t in range(tasks)]
+
+
+def near_links(distinct: DataFrame, *, radius: int = 4, tile_rows: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that span every group of the link graph.
 
-    ``distinct`` has one row per value in column ``fingerprint``. A tile holds
-    about ``tile_rows`` fingerprints of one population count; values are
-    replicated to the tile pairs they take part in (8 bytes each).
+    ``distinct`` has one row per value in column ``fingerprint``. Values are
+    ordered by population count, then by the counts of their four quarters, and
+    laid into tiles of about ``tile_rows``; tile pairs whose counts are too far
+    apart for any link are skipped before the shuffle. The other pairs are dealt
+    to tasks by the work they make, and a value is copied (8 bytes) to the pairs
+    of its tile. Without ``tile_rows`` small tables have some two dozen tiles,
+    for even tasks, and large ones at most about 512 while a tile stays under
+    8 MB, so that copies stay few. Only speed depends on it.
     """
     spark = distinct.sparkSession
-    population = F.bit_count("fingerprint").cast("int")
-    # at most 65 rows: one per population count
-    sizes = {r["p"]: r["n"] for r in distinct.groupBy(population.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = {p: -(-n // tile_rows) for p, n in sizes.items()}
-    tiles = [(p, c) for p in sorted(chunks) for c in range(chunks[p])]
-    if not tiles:
+    # at most 17**4 rows, one per combination of quarter counts
+    cells = sorted((r["c"], r["n"]) for r in distinct.groupBy(_code(F.col("fingerprint")).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not cells:
         return spark.createDataFrame([], "a long, b long")
-    tile = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(tiles)], "tile int, p int, c int")
-    reach = tile.select(F.col("tile").alias("i"), F.explode(F.sequence("p", F.col("p") + radius)).alias("p"))
-    pairs = reach.join(tile.select(F.col("tile").alias("j"), "p"), "p").where("i <= j").select("i", "j")
-    takes = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
-    n_chunks = F.create_map(*[F.lit(v) for kv in chunks.items() for v in kv])
-    dealt = distinct.select("fingerprint", population.alias("p"), F.pmod(F.xxhash64("fingerprint"), n_chunks[population]).cast("int").alias("c"))
-    placed = dealt.join(tile, ["p", "c"]).join(takes, "tile").select("i", "j", (F.col("tile") == F.col("i")).alias("is_left"), "fingerprint")
+    codes, sizes = (np.array(x, np.int64) for x in zip(*cells))
+    if tile_rows is None:
+        tile_rows = int(max(2048, min(32768, sizes.sum() / 24), min(1 << 20, sizes.sum() / 512)))
+    first, chunks, rows, box = lay_tiles(codes, sizes, tile_rows)
+    left, right = pair_tiles(rows, box, radius)
+    work = rows[left] * rows[right] + 2000 * (rows[left] + rows[right])
+    tasks = int(max(1, min(len(left), -(-work.sum() // _TASK_PAIRS))))
+    keys = np.array(_keys_of_tasks(spark, tasks))[deal_tasks(work, tasks)]
+    tile = spark.createDataFrame(pd.DataFrame({"code": codes.astype(np.int32), "first": first.astype(np.int32), "chunks": chunks.astype(np.int32)}))
+    own = left == right
+    takes = pd.DataFrame({
+        "tile": np.concatenate([left, right[~own]]).astype(np.int32), "task": np.concatenate([keys, keys[~own]]),
+        "i": np.concatenate([left, left[~own]]).astype(np.int32), "j": np.concatenate([right, right[~own]]).astype(np.int32),
+    })
+    taken = spark.createDataFrame(takes)
+    dealt = distinct.select("fingerprint", _code(F.col("fingerprint")).alias("code")).join(F.broadcast(tile), "code")  # at most 17**4 rows
+    placed = dealt.select("fingerprint", (F.col("first") + F.pmod(F.xxhash64("fingerprint"), "chunks")).cast("int").alias("tile"))
+    copied = placed.join(F.broadcast(taken) if len(takes) <= 1_000_000 else taken, "tile").select("task", "i", "j", (F.col("tile") == F.col("i")).alias("is_left"), "fingerprint")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.loc[pdf["is_left"], "fingerprint"].to_numpy(np.int64).view(np.uint64)
-        right = pdf.loc[~pdf["is_left"], "fingerprint"].to_numpy(np.int64).view(np.uint64)
+        values, is_left = pdf["fingerprint"].to_numpy(np.int64).view(np.uint64), pdf["is_left"].to_numpy()
         same = pdf["i"].iat[0] == pdf["j"].iat[0]
-        if not len(left) or not (same or len(right)):
+        one, other = values[is_left], values[~is_left]
+        if not len(one) or not (same or len(other)):
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        a, b = link_tiles(left, None if same else right, radius)
+        a, b = link_tiles(one, None if same else other, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    # comparing costs more than its bytes suggest: as many tasks as pairs, up to a limit
-    spread = placed.repartition(min(2000, max(1, pairs.count())), "i", "j")
-    return spread.groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    # every task has a key of its own; grouping by it and the pair needs no further shuffle
+    return copied.repartition(tasks, "task").groupBy("task", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -206,7 +298,7 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, tile_rows: int | None) -> tuple[DataFrame, DataFrame]:
     """Written tables (doc_id, text_hash, fingerprint) per row and (fingerprint, root, component_id) per value."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     prints = materialize(fingerprints(rows, width=width).select("doc_id", "text_hash", "fingerprint"))
@@ -220,10 +312,10 @@ def _similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     from . import similar
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints = materialize(similar.sketches(rows, width=width, similarity=similarity))
+    prints, sets = similar.shingle_sets(rows, width=width)
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    labels = connected(similar.similar_links(rows, prints, width=width, similarity=similarity))
-    return prints.drop("bands"), _rooted(distinct, labels)
+    labels = connected(similar.similar_links(sets, similarity=similarity))
+    return prints, _rooted(distinct, labels)
 
 
 def _rooted(distinct: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,7 +326,7 @@ def _rooted(distinct: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(rooted.join(lowest, "root").select("fingerprint", "root", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int | None = None) -> DataFrame:
     """One row per document: doc_id, signed ``fp`` and ``component_id``, the smallest id reachable over links.
 
     Null and wordless texts have fingerprint 0 and link like any other. Rows
@@ -247,25 +339,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int = 32768, similarity: float | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, tile_rows: int | None = None, similarity: float | None = None
 ) -> DataFrame:
     """One document of every near-duplicate group, all its columns kept: that of the smallest id.
 
     With ``similarity``, links are pairs of texts whose sets of word shingles
-    have at least that Jaccard similarity; ``radius`` is then not read. Rows without an id come after all others; of rows with equal ids that with
-    the smallest text hash stays, and of wholly repeated rows one.
+    have at least that Jaccard similarity; ``radius`` is then not read. Rows
+    without an id come after all others; of rows with equal ids that with the
+    smallest text hash stays, and of wholly repeated rows one. Texts without
+    words, null ones too, are one group; texts of any length are read whole; an
+    empty table gives an empty result. The rows that go are joined away, so the
+    texts that stay are not shuffled while those rows are few enough to send.
     """
     if similarity is None:
         prints, component = _components(docs, id_col, text_col, width, radius, tile_rows)
     else:
         prints, component = _similar_components(docs, id_col, text_col, width, similarity)
-    own_id, own_hash = fresh("__id", docs), fresh("__hash", docs)
-    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     counted = prints.join(component, "fingerprint").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-    least = counted.groupBy("root").agg(F.min(F.struct(first.alias("f"), "rows")).alias("m"))
-    chosen = materialize(least.select(F.col("m.f.i").alias(own_id), F.col("m.f.h").alias(own_hash), "m.rows"))
-    text_hash = F.xxhash64(text_col)
-    kept = docs.join(chosen.select(own_id, own_hash), F.col(id_col).eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), "left_semi")
-    if chosen.where("rows > 1").isEmpty():
+    least = counted.groupBy("root").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("keys"), F.max("rows").alias("rows"))
+    crowded = materialize(least.where("keys > 1 or rows > 1").select("root", "least"))
+    # the rows of groups of several: those that go, and those of which one of several equal rows stays
+    members = materialize(counted.join(crowded, "root").select("doc_id", "text_hash", "rows", (key == F.col("least")).alias("stays")).where("not stays or rows > 1"))
+    own_id, own_hash, once = fresh("id", docs), fresh("hash", docs), fresh("once", docs)
+    named = members.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("stays").alias(once))
+    text_hash, same = F.xxhash64(text_col), F.col(id_col).eqNullSafe(F.col(own_id))
+    gone = broadcast_if_small(named.where(~F.col(once)), 500_000)
+    kept = docs.join(gone, same & (text_hash == F.col(own_hash)), "left_anti")
+    repeated = named.where(once)
+    if repeated.isEmpty():
         return kept
-    return kept.withColumn(own_hash, text_hash).dropDuplicates([id_col, own_hash]).drop(own_hash)
+    # only repeated rows are shuffled by key; all others stay where they are
+    told = broadcast_if_small(repeated, 500_000)
+    marked = same & (text_hash == F.col(own_hash))
+    several = kept.join(told, marked, "left_semi").withColumn(own_hash, text_hash).dropDuplicates([id_col, own_hash]).drop(own_hash)
+    return kept.join(told, marked, "left_anti").unionByName(several)
