@@ -108,6 +108,5 @@ def test_passage_in_many_texts_makes_few_pairs(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + passage) for i in range(400)]
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, text_hash long")
-    _, sets = similar.shingle_sets(docs, width=5)
-    assert similar._members(sets, 0.8).count() < 400
+    assert similar._members(similar.sketches(docs, width=5, similarity=0.8)).count() < 400
     assert simhash.keep_first(docs.drop("text_hash"), width=5, similarity=0.8).count() == 400

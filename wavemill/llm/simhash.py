@@ -311,11 +311,13 @@ def _similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     """As ``_components``, with links at an exact Jaccard similarity of the shingle sets; equal sets share a fingerprint."""
     from . import similar
 
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints, sets = similar.shingle_sets(rows, width=width)
+    prints = similar.sketches(rows, width=width, similarity=similarity)
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    labels = connected(similar.similar_links(sets, similarity=similarity))
-    return prints, _rooted(distinct, labels)
+    labels = connected(similar.similar_links(rows, prints, width=width, similarity=similarity))
+    return prints.drop("size", "prefix"), _rooted(distinct, labels)
 
 
 def _rooted(distinct: DataFrame, labels: DataFrame) -> DataFrame:
