@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemill.functions import kernels as k
-from wavemill.operators.features import FeatureConfig, TemporalConfig, build_features, families, feature_names, resolve_names, temporal_features, to_long
+from wavemill.operators.features import FEATURE_SETS, FeatureConfig, TemporalConfig, build_features, families, feature_names, resolve_names, temporal_features, to_long
 
 
 def arrays(spark, *rows):
@@ -123,6 +123,8 @@ def test_name_resolution():
     names = feature_names(tier=3)
     assert resolve_names(names, ["half_width_samples", "ev_half_width_samples", "nothing", "mad_wta_bin_*"]) == ["ev_half_width_samples", *k.temporal_bin_names(8)]
     assert resolve_names(names, ["baseline_*"]) == ["ev_baseline_rms"]
+    assert resolve_names(names, [" peak* ", ""]) == ["peak_amplitude", "ev_peak_amplitude"]
+    assert [len(resolve_names(names, FEATURE_SETS[s])) for s in FEATURE_SETS] == [5, 6, 8, 7, 13, 21]
     f = families(names)
     assert list(f) == ["scalar", "temporal_mad", "event", "full"] and len(f["full"]) == 26
     assert "event" not in families(feature_names(tier=1))
@@ -130,3 +132,20 @@ def test_name_resolution():
 
 def test_sine_of_pi():
     assert math.isclose(sum(b - a for a, b in k.window_bounds(64, 1)), 64)
+
+
+def test_blocks_equal_expressions(spark):
+    """Both engines give the same features and series, for odd, empty and null snippets too."""
+    from wavemill.functions import blocks
+
+    rows = [(0, [1.0, -2.0, 3.0, 0.0] * 16), (1, None), (2, []), (3, [0.0] * 64), (4, [float(i % 7) - 3 for i in range(50)]), (5, [-1.0, 2.0, 0.5]), (6, [0.5])]
+    df = spark.createDataFrame(rows, "snippet_id long, w array<double>")
+    for mode, options in (("none", {}), ("global", {"global_noise_mad": 0.05}), ("snippet_edges", {})):
+        config = FeatureConfig(temporal=TemporalConfig(noise_mode=mode, **options))
+        a, b = (build_features(df, config, tier=3, engine=e).orderBy("snippet_id").collect() for e in ("blocks", "expressions"))
+        for x, y in zip(a, b):
+            for name, value in x.asDict().items():
+                assert (value is None and y[name] is None) or value == pytest.approx(y[name], abs=1e-9), (mode, x["snippet_id"], name)
+    for name in blocks.KERNELS:
+        for r in df.select(blocks.kernel(name, F.col("w"), 16).alias("a"), k.KERNELS[name](F.col("w"), 16).alias("b")).collect():
+            assert r["a"] == (None if r["b"] is None else pytest.approx(r["b"], abs=1e-9))

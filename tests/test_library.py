@@ -47,8 +47,8 @@ def test_features_and_exports(spark, sf_dir, tmp_path):
 
 def test_runs_and_config(spark, tmp_path):
     for d in (datetime(2024, 1, 2), datetime(2025, 1, 2)):
-        storage.write_json(spark, storage.make_run_dir(str(tmp_path), d) + "/x.json", {"n": np.float32(1.5), "t": object})
-    assert storage.list_runs(spark, str(tmp_path)) == ["run_20250102_000000", "run_20240102_000000"]
+        storage.write_json(spark, storage.make_run_dir(spark, str(tmp_path), d) + "/x.json", {"n": np.float32(1.5), "t": object})
+    assert storage.list_runs(spark, str(tmp_path)) == ["20250102_000000", "20240102_000000"]
     assert storage.list_runs(spark, str(tmp_path / "none")) == []
     assert storage.merge_configs({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4}) == {"a": {"b": 3, "c": 2}, "d": 4}
     (tmp_path / "c.json").write_text('{"a": 1}')
@@ -57,15 +57,66 @@ def test_runs_and_config(spark, tmp_path):
 
 
 def test_sorted_units(spark):
-    raw = spark.createDataFrame([("f", 0, 1.0, [1.0], 2.0), ("f", 1, None, [1.0], 2.0), ("f", 2, 3.0, [1.0], 5000.0)], "file string, spike_index long, SPIKETIMES double, newSpikes array<double>, assigned double")
-    u = sorted_units.load_units(raw).orderBy("spike_index").collect()
-    assert [(r["t"], r["unit_id"], r["class_label"]) for r in u] == [(1.0, 2, 1), (3.0, 0, 0)]
+    rows = [("f", 0, 1.0, [1.0], 2.0), ("f", 1, None, [1.0], 2.0), ("f", 2, 3.0, [1.0], 5000.0), ("f", 3, 4.0, [3.0], 2.0), ("f", 4, 5.0, [9.0], 0.0)]
+    raw = spark.createDataFrame(rows, "file string, spike_index long, SPIKETIMES double, snips array<double>, assigns double")
+    u = sorted_units.load_units(raw)
+    assert [(r["t"], r["unit_id"], r["class_label"]) for r in u.orderBy("spike_index").collect()] == [(1.0, 2, 1), (4.0, 2, 1), (5.0, 0, 0)]
+    assert [tuple(r) for r in sorted_units.unit_means(u).collect()] == [("f", 2, 2, [2.0])]
+    for name in ("times", "ts", "spike_times"):
+        assert sorted_units.probe(raw.withColumnRenamed("SPIKETIMES", name), sorted_units.FIELD_NAMES["spike_times"]) == name
+    noisy = raw.withColumn("rejected", F.when(F.col("spike_index") < 2, F.array(F.lit(7.0))))
+    got = sorted_units.load_units(noisy).orderBy("class_label", "spike_index").collect()
+    assert [(r["unit_id"], r["w"]) for r in got] == [(0, [7.0]), (0, [7.0]), (2, [1.0]), (2, [3.0])]
     with pytest.raises(ValueError):
-        sorted_units.load_units(raw.drop("newSpikes"))
+        sorted_units.load_units(raw.drop("snips"))
     sheet = spark.createDataFrame([("Ch", "q", "n", "x"), (" 7 ", "2", "x", "2557, 2907, 2911+2939"), ("8", None, None, None)], "channel string, quality_code string, n_sua string, cluster_ids_raw string")
     assert [tuple(r) for r in sorted_units.curation_sheet(sheet).orderBy("channel").collect()] == [(7, 2, 0, [2557, 2907, 2911]), (8, 0, 0, [])]
 
 
+def test_numpy_archives(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 1.0, -2.0], i % 2, i % 3) for i in range(25)], "snippet_id long, w array<double>, class_label int, unit_id int").repartition(2)
+    names = storage.write_npz(df, f"file://{tmp_path}/out")
+    assert len(names) == 2
+    back = storage.read_npz(spark, f"{tmp_path}/out")
+    assert sorted((r["w"][0], r["class_label"], r["unit_id"]) for r in back.collect()) == [(float(i), i % 2, i % 3) for i in range(25)]
+    np.savez_compressed(tmp_path / "bare.npz", waveforms=np.ones((3, 4), np.float32))
+    assert {(r["class_label"], r["unit_id"], len(r["w"])) for r in storage.read_npz(spark, str(tmp_path / "bare.npz")).collect()} == {(1, 0, 4)}
+
+
+def test_run_artefacts(spark, tmp_path):
+    run = storage.make_run_dir(spark, str(tmp_path), datetime(2024, 5, 6))
+    assert json.loads(open(storage.save_config(spark, run, {"a": {"b": 1}})).read()) == {"a": {"b": 1}}
+    spark.createDataFrame([("x", 1)], "feature string, rank int").write.parquet(f"{run}/single_feature_ranks.parquet")
+    storage.write_json(spark, f"{run}/feature_set_ranks.json", {"set_name": "s", "rank": 1})
+    assert storage.read_run_table(spark, run, "single_feature_ranks").first()["rank"] == 1
+    assert storage.read_run_table(spark, run, "feature_set_ranks").first()["set_name"] == "s"
+    storage.write_json(spark, f"{run}/weight_bank_metrics.json", {"auc": 0.5})
+    storage.write_json(spark, f"{run}/weight_bank.json", {"feature_names": ["x"], "n_bins": 10, "sigma_scale": 1.0, "centers": [[1]]})
+    assert storage.read_weight_bank(spark, run) == {"auc": 0.5, "n_bins": 10, "sigma_scale": 1.0, "feature_names": ["x"], "n_features": 1}
+    (tmp_path / "side.csv").write_text("source_file,cluster_id,label,unit_id,timestamp_s\nf1,2557,SU,3,1.5\nf1,99999999,NOISE,0,2.5\n")
+    assert [tuple(r) for r in storage.read_sidecar(spark, str(tmp_path / "side.csv")).collect()] == [("f1", 2557, "SU", 3, 1.5), ("f1", 99999999, "NOISE", 0, 2.5)]
+
+
+def test_lost_values_fail_the_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.5, float("nan")), (2, None, 2.0)], "k long, a double, b double")
+    got = {r["column"]: r["matches"] for r in validate.csv_round_trip(df, str(tmp_path / "x"), key="k").collect()}
+    assert got["a"]
+    text = spark.createDataFrame([(1, "x,y\nz", 1.0)], "k long, s string, a double")  # an unquoted line end splits the row
+    assert not validate.csv_round_trip(text, str(tmp_path / "y"), key="k").first()["matches"]
+
+
+def test_late_samples_are_dropped():
+    d = streams.Detector(window=16, multiplier=3.0, before=2, after=4, refractory=5)
+    x = np.ones(60) * 0.1
+    x[30] = -5.0
+    state = ([], [], -(1 << 60), [])
+    state, first = d.step(state, np.arange(40), x[:40])
+    state, late = d.step(state, np.arange(10, 20), np.full(10, -9.0))
+    state, rest = d.step(state, np.arange(40, 60), x[40:])
+    whole = d.step(([], [], -(1 << 60), []), np.arange(60), x)[1]
+    assert late == [] and first + rest == whole and [i for i, _ in whole] == [30]
+
+
 def test_alignment(spark):
     w = [0.0] * 100
     w[3], w[90] = -5.0, -4.0
@@ -82,6 +133,9 @@ def test_generator(spark):
     assert df.count() == 60 + 4 * 2 and df.where("size(w) <> 64").count() == 0
     again = synth.generate(spark, n_units=3, per_unit=20, n_noise=10).repartition(7)
     assert df.exceptAll(again).count() == 0
+    for p, (low, high) in synth.CELL_TYPES["regular-spiking"].items():
+        assert df.where("kind = 'regular-spiking'").agg(F.bool_and(F.col(p).between(low, high))).first()[0], p
+    assert df.where("class_label = 1").agg(F.bool_and(F.col("noise_std").between(0, 10))).first()[0]
     r = df.groupBy("class_label").agg(F.avg(F.array_min("w")).alias("m")).collect()
     assert {x["class_label"]: x["m"] for x in r}[1] < -30
     w = spark.range(1).select(synth.waveform().alias("w")).first()["w"]

@@ -95,7 +95,7 @@ def test_purity_of_separated_and_tiny_sets(spark, blobs):
     assert neighbors.knn_purity_sweep(four, [1]).first()[0] == 1
 
 
-@pytest.mark.parametrize("model", ["threshold_code_bank", "nearest_centroid", "lda", "qda", "logistic_regression", "linear_svm"])
+@pytest.mark.parametrize("model", ["threshold_weight_bank", "nearest_centroid", "lda", "qda", "logistic_regression", "linear_svm", "knn_k5"])
 def test_classifiers_separate_blobs(blobs, model):
     scored = models.cross_validated(models.stratified_folds(blobs, 3), NAMES, model, k=3)
     assert models.fold_summary(scored).first()["balanced_acc_mean"] > 0.85
@@ -103,20 +103,20 @@ def test_classifiers_separate_blobs(blobs, model):
 
 def test_logistic_matches_the_gradient_condition(spark, blobs):
     noisy = blobs.withColumn("class_label", F.when(F.col("snippet_id") % 7 == 0, 1 - F.col("class_label")).otherwise(F.col("class_label")))
-    p = noisy.withColumn("p", models.logistic(noisy, ["x0"], "class_label"))
+    p = noisy.withColumn("p", models.fit_one(noisy, ["x0"], "logistic_regression"))
     r = p.agg(F.sum(F.col("class_label") - F.col("p")).alias("b")).first()
     assert abs(r["b"]) < 1e-4
 
 
 def test_threshold_rule(spark, blobs):
-    scored = blobs.withColumn("score", models.threshold_rule(blobs, ["x0"], "class_label"))
+    scored = blobs.withColumn("score", models.fit_one(blobs, ["x0"], "threshold_rule"))
     assert scored.where("(score >= 0.5) = (class_label = 1)").count() >= 118
 
 
 def test_names_of_models():
-    assert models.model_named("  Logistic ") is models.logistic and models.model_named("code-bank") is models.code_bank
+    assert models.model_name("  Logistic ") == "logistic_regression" and models.model_name("code-bank") == "threshold_weight_bank" and models.model_name("kNN") == "knn_k5"
     with pytest.raises(ValueError, match="choose from"):
-        models.model_named("nope")
+        models.model_name("nope")
 
 
 def test_folds_splits_and_samples(blobs):
@@ -145,3 +145,73 @@ def test_clustering_benchmark(spark, blobs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a")).count() == 120 * len(rows)
     assert cluster.benchmark(df, NAMES, enabled=False)[1]["status"] == "disabled"
     assert cluster.benchmark(df.where("unit_id = 1"), NAMES)[1]["status"] == "skipped"
+
+
+def test_folds_are_fitted_as_one_by_one(blobs):
+    """Scores of all folds in the same passes equal those of each fold fitted alone."""
+    noisy = blobs.withColumn("class_label", F.when(F.col("snippet_id") % 7 == 0, 1 - F.col("class_label")).otherwise(F.col("class_label")))
+    df = models.stratified_folds(noisy, 3)
+    for model in ("nearest_centroid", "lda", "qda", "logistic_regression", "linear_svm", "threshold_weight_bank", "threshold_rule"):
+        got = {r["snippet_id"]: r["score"] for r in models.cross_validated(df, NAMES, model, k=3).collect()}
+        for fold in range(3):
+            one = df.where(F.col("fold") == fold).withColumn("s", models.fit_one(df.where(F.col("fold") != fold), NAMES, model))
+            assert all(r["s"] == pytest.approx(got[r["snippet_id"]], abs=1e-6) for r in one.collect()), model
+
+
+def test_single_feature_models_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    y = np.arange(90) % 2
+    x = np.stack([rng.normal(y * 1.2, 1.0), np.round(rng.normal(0, 1, 90), 1)], 1)
+    df = table(spark, x, y)
+    got = {r["feature"]: r for r in models.single_feature_models(df, ["x0", "x1"], k=3).collect()}
+    fold = np.empty(90, int)
+    for c in (0, 1):
+        fold[np.flatnonzero(y == c)] = np.arange((y == c).sum()) % 3
+
+    def lda(v, t, q):
+        m0, m1 = v[t == 0].mean(), v[t == 1].mean()
+        s = (((v[t == 0] - m0) ** 2).sum() + ((v[t == 1] - m1) ** 2).sum()) / (len(v) - 2)
+        return (q - (m0 + m1) / 2) * (m1 - m0) / s + np.log((t == 1).sum() / (t == 0).sum()) >= 0
+
+    def knn(v, t, q):
+        return np.array([t[np.lexsort((np.arange(len(v)), np.round(np.abs(v - z), 9)))[:5]].mean() >= 0.5 for z in q])
+
+    for j, name in enumerate(("x0", "x1")):
+        for model, fit in (("lda", lda), ("knn_k5", knn)):
+            scores = []
+            for f in range(3):
+                p, t = fit(x[fold != f, j], y[fold != f], x[fold == f, j]), y[fold == f]
+                scores.append((p[t == 1].mean() + (~p[t == 0]).mean()) / 2)
+            assert got[name][f"{model}_balanced_acc_mean"] == pytest.approx(np.mean(scores)) and got[name][f"{model}_balanced_acc_std"] == pytest.approx(np.std(scores))
+    assert 0.6 < got["x0"]["auc"] <= 1 and got["x0"]["logistic_regression_balanced_acc_mean"] > 0.6
+
+
+def test_exact_quantiles_at_any_split(spark):
+    from wavemill.sources import scratch
+
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=500), np.round(rng.normal(size=300), 1), [2.0] * 50])
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", 1.0), ("b", None), (None, 3.0), (None, 4.0)], "g string, v double")
+    levels = [i / 9 for i in range(10)]
+    got = {r["g"]: r["quantiles"] for r in scratch.exact_quantiles(df, levels, by=["g"], value="v").collect()}
+    assert got["a"] == pytest.approx(list(np.quantile(v, levels))) and got["b"] == [1.0] * 10 and got[None][-1] == 4.0 and got[None][0] == 3.0
+
+
+def test_no_single_partition_plans(spark, blobs):
+    """Metrics over nearly distinct scores sort nothing in one task; pairs of units meet by equality."""
+    df = blobs.select(F.col("x0").alias("score"), "class_label", "unit_id")
+    for job in (metrics.roc_auc(df), metrics.roc_curve(df), models.pairwise_auc(df), models.stratified_folds(blobs, 3)):
+        plan = job._jdf.queryExecution().executedPlan().toString()
+        windows = plan.count("Window [")
+        assert "BroadcastNestedLoopJoin" not in plan and (windows == 0 or "SinglePartition" not in plan)
+
+
+def test_running_sums(spark):
+    from wavemill.sources import scratch
+
+    rows = [(g, i, i % 3) for g in ("a", "b", None) for i in range(100)]
+    df = spark.createDataFrame(rows, "g string, i int, x int").repartition(7)
+    got = {(r["g"], r["i"]): r["s"] for r in scratch.running_sums(df, {"s": F.col("x")}, by=["g"], order=["i"]).collect()}
+    assert all(got[g, i] == sum(j % 3 for j in range(i + 1)) for g, i, _ in rows)
+    assert sorted(r["n"] for r in scratch.numbered(df, "n", by=[], order=["g", "i"]).collect()) == list(range(1, 301))
+    assert scratch.numbered(df.limit(0), "n", by=[], order=["i"]).count() == 0

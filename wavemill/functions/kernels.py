@@ -101,7 +101,7 @@ def window_wta(w: Column, start: int, end: int) -> Column:
 def edge_noise_mad(w: Column, edge: int = 8) -> Column:
     """MAD of the leading and trailing samples, at most half the snippet from either side."""
     k = F.least(F.lit(edge), F.greatest(F.lit(1), F.floor(F.size(w) / 2).cast("int")))
-    return mad(F.concat(F.slice(w, F.lit(1), k), F.slice(w, F.size(w) - k + 1, k)))
+    return mad(F.concat(F.slice(w, F.lit(1), k), F.slice(w, F.greatest(F.size(w) - k + 1, F.lit(1)), k)))
 
 
 def window_bounds(n_samples: int, n_bins: int, overlap: float = 0.5) -> list[tuple[int, int]]:
@@ -189,8 +189,8 @@ def event_features(w: Column, d1: Column, baseline: int = 8) -> dict[str, Column
         biphasic_ratio(w),
         total(w),
         total(F.transform(w, F.abs)),
-        F.greatest(_zero(), F.array_max(d1)),
-        F.least(_zero(), F.array_min(d1)),
+        F.when(F.array_max(d1).isNotNull(), F.greatest(_zero(), F.array_max(d1))),
+        F.when(F.array_min(d1).isNotNull(), F.least(_zero(), F.array_min(d1))),
         baseline_rms(w, baseline),
         zero_crossings(w),
     )

@@ -3,25 +3,85 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.scratch import materialize
 from . import codebank, features as feats, metrics, neighbors
 
 
-def kmeans(df: DataFrame, k: int, *, vector_col: str = "activations", out_col: str = "cluster_id", n_init: int = 10, max_iter: int = 300, seed: int = 42) -> tuple[DataFrame, float]:
-    """``df`` with a cluster number, and the inertia of the best of ``n_init`` starts."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centers among the rows, each drawn by its squared distance from the nearest one before."""
+    centers = [rows[rng.integers(len(rows))]]
+    near = ((rows - centers[0]) ** 2).sum(1)
+    while len(centers) < k:
+        total = near.sum()
+        centers.append(rows[rng.choice(len(rows), p=near / total) if total > 0 else rng.integers(len(rows))])
+        near = np.minimum(near, ((rows - centers[-1]) ** 2).sum(1))
+    return np.stack(centers)
 
-    data = df.withColumn("features", array_to_vector(vector_col)).cache()
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, maxIter=max_iter, seed=seed + i).fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    out = best.transform(data).withColumnRenamed("prediction", out_col).drop("features")
-    return out, float(best.summary.trainingCost)
+
+def kmeans(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "activations", out_col: str = "cluster_id", n_init: int = 10, max_iter: int = 300, seed: int = 42, seed_rows: int = 10_000) -> tuple[DataFrame, float]:
+    """``df`` with a cluster number, and the inertia of the best of ``n_init`` starts.
+
+    All starts move in the same passes: a task adds up its rows per start and
+    cluster, and what is moved is one vector per task, start and cluster. Starts
+    that stand still take no further part. Starting centers are drawn from
+    about ``seed_rows`` rows chosen by id hash; all rows are clustered.
+    """
+    share = min(1.0, seed_rows / max(1, df.count()))
+    sample = df.where(F.pmod(F.xxhash64(id_col), F.lit(2**32)) < int(share * 2**32)).select(id_col, vector_col).toPandas().sort_values(id_col)
+    if sample.empty:
+        raise ValueError("no rows to cluster")
+    rows = np.stack(sample[vector_col].to_numpy()).astype(float)
+    centers = np.stack([_seeds(rows, k, np.random.default_rng(seed + i)) for i in range(n_init)])
+    d = centers.shape[2]
+
+    def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0.0)
+
+    def passed(moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums (start, cluster, [rows, vector]) and inertia by start of all rows at the present centers."""
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, cost = np.zeros((len(moving), k, d + 1)), np.zeros(len(moving))
+            for pdf in batches:
+                x = np.stack(pdf[vector_col].to_numpy()).astype(float)
+                for i, s in enumerate(moving):
+                    q = squares(x, centers[s])
+                    at = q.argmin(1)
+                    cost[i] += q[np.arange(len(x)), at].sum()
+                    total[i] += np.eye(k)[at].T @ np.column_stack([np.ones(len(x)), x])
+            yield pd.DataFrame({"v": [np.concatenate([total.ravel(), cost])]})
+
+        rows = df.select(vector_col).mapInPandas(sums, "v array<double>").select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()  # starts x clusters x dimensions
+        v = np.zeros(len(rows))
+        for r in rows:
+            v[r["pos"]] = r["v"]
+        return v[: -len(moving)].reshape(len(moving), k, d + 1), v[-len(moving) :]
+
+    moving, inertia = np.arange(n_init), np.full(n_init, np.inf)
+    for _ in range(max_iter):
+        total, inertia[moving] = passed(moving)
+        n = total[:, :, :1]
+        new = np.where(n > 0, total[:, :, 1:] / np.maximum(n, 1), centers[moving])  # an empty cluster stays where it is
+        still = np.abs(new - centers[moving]).max(axis=(1, 2)) < 1e-9
+        centers[moving] = new
+        moving = moving[~still]
+        if not len(moving):
+            break
+    if len(moving):
+        _, inertia[moving] = passed(moving)
+    best = centers[int(np.argmin(inertia))]
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(squares(np.stack(vectors.to_numpy()).astype(float), best).argmin(1), dtype="int32")
+
+    return df.withColumn(out_col, nearest(F.col(vector_col))), float(inertia.min())
 
 
 def lloyd_step(df: DataFrame, centers: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "w") -> DataFrame:
@@ -38,18 +98,18 @@ def benchmark(features: DataFrame, names: list[str], *, id_col: str = "snippet_i
     summary. With fewer than two units, or disabled, there are no rows and the
     summary says so. ``output`` writes assignments partitioned by family.
     """
-    known = features.where((F.col(label_col) == 1) & (F.col(unit_col) > 0))
     if not enabled:
         return [], {"status": "disabled"}
+    known = materialize(features.where((F.col(label_col) == 1) & (F.col(unit_col) > 0)))
     units = known.select(F.countDistinct(unit_col)).first()[0]
     if units < 2:
         return [], {"status": "skipped", "reason": "fewer than two units"}
     bank, rows = codebank.fit(known, names, n_bins=n_bins), []
     for family, members in feats.families(names).items():
-        encoded = codebank.project(known, bank, members).select(id_col, unit_col, "activations")
-        clustered, inertia = kmeans(encoded, units, n_init=n_init, max_iter=max_iter, seed=seed)
-        clustered = clustered.cache()
-        table = metrics.contingency(clustered, truth=unit_col).cache()
+        encoded = materialize(codebank.project(known, bank, members).select(id_col, unit_col, "activations"))
+        clustered, inertia = kmeans(encoded, units, id_col=id_col, n_init=n_init, max_iter=max_iter, seed=seed)
+        clustered = materialize(clustered)
+        table = materialize(metrics.contingency(clustered, truth=unit_col))
         accuracy, mapping = metrics.matched_accuracy(table)
         sweep = neighbors.knn_purity_sweep(clustered, list(ks), id_col=id_col, vector_col="activations", label_col=unit_col).first().asDict()
         rows.append({
@@ -60,8 +120,6 @@ def benchmark(features: DataFrame, names: list[str], *, id_col: str = "snippet_i
         })
         if output:
             clustered.select(F.lit(family).alias("family"), id_col, unit_col, "cluster_id").write.mode("append").partitionBy("family").parquet(output)
-        table.unpersist()
-        clustered.unpersist()
     rows.sort(key=lambda r: (-r["matched_accuracy"], -r["ari"], -r["nmi"], r["family"]))
     rows = [r | {"rank": i + 1} for i, r in enumerate(rows)]
     return rows, {"status": "ok", "best_family": rows[0]["family"] if rows else None, "n_units": units}

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import exact_quantiles
+
 MODEL_SCHEMA = "feature string, feature_index int, weight double, centers array<double>, widths array<double>"
 
 
@@ -48,36 +50,37 @@ def widths_of(centers: list[float], sigma_scale: float = 1.0) -> list[float]:
     return [max(0.5 * sigma_scale * (a + b) / 2, 1e-6) for a, b in zip(left, right)]
 
 
-def quantile_centers(df: DataFrame, features: list[str], n_bins: int, *, exact_rows: int = 5_000_000) -> dict[str, list[float]]:
-    """Evenly spaced quantiles of every feature in one aggregate.
+def quantile_centers(df: DataFrame, features: list[str], n_bins: int, *, approximate: float | None = None) -> dict[str, list[float]]:
+    """Evenly spaced quantiles of every feature, exact and interpolated at any size.
 
-    Exact and interpolated up to ``exact_rows`` rows; beyond, an approximate
-    summary (relative rank error 1e-5) keeps the aggregate's memory bounded.
+    Only with ``approximate``, a relative rank error such as 1e-4, a bounded
+    summary is used instead; it does not interpolate.
     """
     if n_bins < 2:
         raise ValueError("n_bins must be at least 2")
     levels = [b / (n_bins - 1) for b in range(n_bins)]
-    # a bounded probe: no full count of a very large table
-    exact = df.select(F.lit(1)).limit(exact_rows + 1).count() <= exact_rows
-    aggregates = [(F.percentile(f, levels) if exact else F.percentile_approx(f, levels, 100_000)).alias(f) for f in features]
-    row = df.agg(*aggregates).first()
-    if any(row[f] is None for f in features):
+    if approximate is not None:
+        row = df.agg(*[F.percentile_approx(f, levels, int(1 / approximate)).alias(f) for f in features]).first()
+        found = {f: row[f] for f in features if row[f] is not None}
+    else:
+        long = df.select(*[F.col(f).cast("double").alias(f) for f in features]).unpivot([], features, "feature", "value")
+        found = {r["feature"]: r["quantiles"] for r in exact_quantiles(long, levels, by=["feature"], value="value").collect()}  # a row per feature
+    if len(found) < len(features):
         raise ValueError("no rows to fit")
-    return {f: [float(x) for x in row[f]] for f in features}
+    return {f: [float(x) for x in found[f]] for f in features}
 
 
 def fit(df: DataFrame, features: list[str], *, n_bins: int = 10, sigma_scale: float = 1.0, threshold: float = 0.5, weights: list[float] | None = None) -> CodeBank:
     """Fit on all rows of ``df`` (pass the positive class only). Null values are ignored; no rows raises an error."""
-    centers = quantile_centers(df, features, n_bins)
-    return CodeBank(
-        tuple(features),
-        tuple(tuple(centers[f]) for f in features),
-        tuple(tuple(widths_of(centers[f], sigma_scale)) for f in features),
-        tuple(weights) if weights is not None else (1.0,) * len(features),
-        n_bins,
-        sigma_scale,
-        threshold,
-    )
+    return from_centers(features, quantile_centers(df, features, n_bins), sigma_scale=sigma_scale, threshold=threshold, weights=weights)
+
+
+def from_centers(features: list[str], centers: dict[str, list[float]], *, sigma_scale: float = 1.0, threshold: float = 0.5, weights: list[float] | None = None) -> CodeBank:
+    """A code from the centers of its features."""
+    if set(features) - set(centers):
+        raise ValueError("no rows to fit")
+    rows = [tuple(float(x) for x in centers[f]) for f in features]
+    return CodeBank(tuple(features), tuple(rows), tuple(tuple(widths_of(list(r), sigma_scale)) for r in rows), tuple(weights) if weights is not None else (1.0,) * len(features), len(rows[0]), sigma_scale, threshold)
 
 
 def _array(values: tuple[float, ...]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.scratch import materialize, running_sums
+
 EPS = 1e-12
 
 
@@ -65,21 +67,20 @@ def f1_macro(df: DataFrame, *, actual: str, predicted: str) -> DataFrame:
     return per.agg(F.avg(2 * F.col("tp") / (F.col("any") + F.col("tp"))).alias("f1_macro"))
 
 
-def _score_steps(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """Positives and negatives per distinct score, then running counts from the highest score down.
-
-    The window runs over distinct scores after a partial aggregate.
-    """
-    steps = df.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n"))
-    down = W.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    all_ = W.partitionBy(*by)
-    return steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "np": F.sum("p").over(all_), "nn": F.sum("n").over(all_)})
+def _score_steps(df: DataFrame, score: str, label: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """Positives and negatives per distinct score, then running counts from the highest score down, and the totals."""
+    steps = df.groupBy(*by, F.col(score).alias("s")).agg(*[F.coalesce(F.sum(F.when(F.col(label) == k, F.col(weight) if weight else F.lit(1))), F.lit(0)).cast("long").alias(c) for k, c in ((1, "p"), (0, "n"))])
+    ran = materialize(running_sums(steps, {"tp": F.col("p"), "fp": F.col("n")}, by=by, order=[F.desc("s")]))
+    if not by:
+        r = ran.agg(F.max("tp").alias("np"), F.max("fp").alias("nn")).first()
+        return ran.withColumns({"np": F.lit(r["np"]).cast("long"), "nn": F.lit(r["nn"]).cast("long")})
+    return ran.join(ran.groupBy(*by).agg(F.max("tp").alias("np"), F.max("fp").alias("nn")), by)
 
 
-def roc_auc(df: DataFrame, *, score: str = "score", label: str = "class_label", by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve with ties averaged; null if a class is absent."""
+def roc_auc(df: DataFrame, *, score: str = "score", label: str = "class_label", by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Area under the ROC curve with ties averaged; null if a class is absent. Rows may stand for ``weight`` rows each."""
     by = by or []
-    steps = _score_steps(df, score, label, by)
+    steps = _score_steps(df, score, label, by, weight)
     area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
     return steps.groupBy(*by).agg(F.when((F.max("np") > 0) & (F.max("nn") > 0), area / (F.max("np") * F.max("nn"))).alias("auc"))
 

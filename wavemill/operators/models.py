@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.scratch import broadcast_if_small, exact_quantiles, fresh, materialize, numbered
 from . import codebank, metrics, neighbors
 
 
@@ -26,22 +28,33 @@ def sample_rows(df: DataFrame, n: int, *, id_col: str = "snippet_id", seed: int
 
 
 def balanced_sample(df: DataFrame, per_class: int, *, id_col: str = "snippet_id", label_col: str = "class_label", seed: int = 42) -> DataFrame:
+    """The first ``per_class`` rows of every class in shuffled order; partial limits come before the shuffle."""
+    r = fresh("r", df)
     w = W.partitionBy(label_col).orderBy(shuffle_key(id_col, seed), id_col)
-    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_class).drop("__r")
+    # a limit on the row number is kept per task first, so at most per_class rows of a class and task are moved
+    return df.withColumn(r, F.row_number().over(w)).where(F.col(r) <= per_class).drop(r)
+
+
+def _class_order(id_col: str, seed: int | None) -> list[Column]:
+    return [F.col(id_col)] if seed is None else [shuffle_key(id_col, seed), F.col(id_col)]
 
 
 def stratified_folds(df: DataFrame, k: int = 5, *, id_col: str = "snippet_id", label_col: str = "class_label", seed: int | None = 42) -> DataFrame:
-    """``df`` with a fold number 0..k-1, equal within each class; in id order without a seed."""
-    order = [shuffle_key(id_col, seed), F.col(id_col)] if seed is not None else [F.col(id_col)]
-    w = W.partitionBy(label_col).orderBy(*order)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """``df`` with a fold number 0..k-1, equal within each class; in id order without a seed.
+
+    The result is a written table: models read it once per fold.
+    """
+    r = fresh("r", df)
+    return materialize(numbered(df, r, by=[label_col], order=_class_order(id_col, seed)).withColumn("fold", ((F.col(r) - 1) % k).cast("int")).drop(r))
 
 
 def holdout_split(df: DataFrame, share: float = 0.25, *, id_col: str = "snippet_id", label_col: str = "class_label", seed: int = 42) -> DataFrame:
-    """``df`` with ``is_test``: the first ``share`` of each class in shuffled order."""
-    w = W.partitionBy(label_col).orderBy(shuffle_key(id_col, seed), id_col)
-    n = F.count(F.lit(1)).over(W.partitionBy(label_col))
-    return df.withColumn("is_test", F.row_number().over(w) <= F.round(n * share))
+    """``df`` with ``is_test``: the first ``share`` of each class in shuffled order. The result is a written table."""
+    r, n, key = fresh("r", df), fresh("n", df), fresh("key", df)
+    rows = numbered(df, r, by=[label_col], order=_class_order(id_col, seed))
+    sizes = df.groupBy(F.col(label_col).alias(key)).agg(F.count(F.lit(1)).alias(n))  # a row per class
+    told = rows.join(broadcast_if_small(sizes, 100_000), F.col(label_col).eqNullSafe(F.col(key)))
+    return materialize(told.withColumn("is_test", F.col(r) <= F.round(F.col(n) * share)).drop(r, n, key))
 
 
 def standardized(df: DataFrame, names: list[str]) -> DataFrame:
@@ -50,23 +63,48 @@ def standardized(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - row[f"m_{c}"]) / row[f"s_{c}"] if row[f"s_{c}"] else F.lit(0.0) for c in names})
 
 
-# --- classifiers: fit(train, features, label) -> column of a score, predicted if >= 0.5 -------------
+# --- classifiers ------------------------------------------------------------------------------------
+#
+# A fit takes a training table in which column ``held`` numbers the model a row belongs to (a row may occur for
+# several), and gives one score column per model; predicted is a score of 0.5 or more. Cross-validation thus fits
+# all folds in the same passes.
+
+Fits = dict[int, Column]
+HELD = "held"
 
 
 def _vector(names: list[str]) -> Column:
     return F.array(*[F.col(c) for c in names])
 
 
-def _moments(train: DataFrame, names: list[str], label: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """Per class: count, mean and population covariance, from one aggregate of sums and products."""
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    cov = [F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    out = {}
-    for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *cov).collect():
-        c = np.zeros((len(names), len(names)))
-        for i, j in pairs:
-            c[i, j] = c[j, i] = r[f"c{i}_{j}"]
-        out[int(r[label])] = (r["n"], np.array([r[f"m{i}"] for i in range(len(names))]), c)
+def _moments(train: DataFrame, names: list[str], label: str) -> dict[int, dict[int, tuple[int, np.ndarray, np.ndarray]]]:
+    """Per model and class: count, mean and population covariance, in two passes.
+
+    The first gives the means of the table; the second adds up products of what
+    is left after them, in numpy per task, so that no digits cancel.
+    """
+    d = len(names)
+    center = np.array([float(x or 0.0) for x in train.agg(*[F.avg(c) for c in names]).first()])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            x = np.column_stack([pdf[names].to_numpy(float) - center, np.ones(len(pdf))])
+            key = pdf[[HELD, label]].to_numpy()
+            for m, y in np.unique(key, axis=0).tolist():
+                own = x[(key[:, 0] == m) & (key[:, 1] == y)]
+                held[m, y] = held.get((m, y), 0) + own.T @ own
+        yield pd.DataFrame([(m, y, h.ravel()) for (m, y), h in held.items()], columns=[HELD, "y", "sums"], dtype=object)
+
+    rows = train.select(*names, label, HELD).mapInPandas(sums, f"{HELD} long, y long, sums array<double>")
+    found: dict = {}
+    for r in rows.select(HELD, "y", F.posexplode("sums").alias("pos", "v")).groupBy(HELD, "y", "pos").agg(F.sum("v").alias("v")).collect():  # models x classes x features squared
+        found.setdefault((r[HELD], r["y"]), np.zeros((d + 1) * (d + 1)))[r["pos"]] = r["v"]
+    out: dict = {}
+    for (m, y), v in found.items():
+        v = v.reshape(d + 1, d + 1)
+        n, mean = v[d, d], v[d, :d] / v[d, d]
+        out.setdefault(int(m), {})[int(y)] = (int(n), mean + center, v[:d, :d] / n - np.outer(mean, mean))
     return out
 
 
@@ -77,28 +115,29 @@ def _linear(names: list[str], weights: np.ndarray, bias: float) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def nearest_centroid(train: DataFrame, names: list[str], label: str) -> Column:
-    m = _moments(train, names, label)
-    d0, d1 = (sum((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(names, m[k][1])) for k in (0, 1))
-    return 1 / (1 + F.exp(d1 - d0))
+def nearest_centroid(train: DataFrame, names: list[str], label: str) -> Fits:
+    out = {}
+    for model, m in _moments(train, names, label).items():
+        d0, d1 = (sum((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(names, m[k][1])) for k in (0, 1))
+        out[model] = 1 / (1 + F.exp(d1 - d0))
+    return out
 
 
-def lda(train: DataFrame, names: list[str], label: str) -> Column:
+def lda(train: DataFrame, names: list[str], label: str) -> Fits:
     """Gaussian classes with pooled covariance; means and covariances by aggregation, the solve on the driver."""
-    m = _moments(train, names, label)
-    n = sum(x[0] for x in m.values())
-    pooled = sum(x[0] * x[2] for x in m.values()) / max(1, n - len(m))
-    inverse = np.linalg.pinv(pooled)
-    w = inverse @ (m[1][1] - m[0][1])
-    bias = -0.5 * (m[1][1] @ inverse @ m[1][1] - m[0][1] @ inverse @ m[0][1]) + np.log(m[1][0] / m[0][0])
-    return _linear(names, w, bias)
-
+    out = {}
+    for model, m in _moments(train, names, label).items():
+        n = sum(x[0] for x in m.values())
+        pooled = sum(x[0] * x[2] for x in m.values()) / max(1, n - len(m))
+        inverse = np.linalg.pinv(pooled)
+        w = inverse @ (m[1][1] - m[0][1])
+        bias = -0.5 * (m[1][1] @ inverse @ m[1][1] - m[0][1] @ inverse @ m[0][1]) + np.log(m[1][0] / m[0][0])
+        out[model] = _linear(names, w, bias)
+    return out
 
-def qda(train: DataFrame, names: list[str], label: str) -> Column:
-    m = _moments(train, names, label)
 
-    def log_density(k: int) -> Column:
-        n, mean, cov = m[k]
+def qda(train: DataFrame, names: list[str], label: str) -> Fits:
+    def log_density(n: int, mean: np.ndarray, cov: np.ndarray) -> Column:
         cov = cov * n / max(1, n - 1)
         inverse, (_, logdet) = np.linalg.pinv(cov), np.linalg.slogdet(cov + 1e-12 * np.eye(len(names)))
         total = F.lit(float(np.log(n) - 0.5 * logdet))
@@ -107,103 +146,143 @@ def qda(train: DataFrame, names: list[str], label: str) -> Column:
                 total = total - 0.5 * float(inverse[i, j]) * (F.col(a) - float(mean[i])) * (F.col(b) - float(mean[j]))
         return total
 
-    return 1 / (1 + F.exp(log_density(0) - log_density(1)))
+    return {model: 1 / (1 + F.exp(log_density(*m[0]) - log_density(*m[1]))) for model, m in _moments(train, names, label).items()}
 
 
-def _weighted_sums(train: DataFrame, names: list[str], weight: Column, target: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of weight * x x' and weight * target * x over all rows, x with a constant 1 at the end: one aggregate."""
-    x = [F.col(c) for c in names] + [F.lit(1.0)]
-    n = len(x)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    r = train.select(*names, weight.alias("__w"), target.alias("__t")).agg(
-        *[F.coalesce(F.sum(F.col("__w") * x[i] * x[j]), F.lit(0.0)) for i, j in pairs], *[F.coalesce(F.sum(F.col("__w") * F.col("__t") * x[i]), F.lit(0.0)) for i in range(n)]
-    ).first()
-    h = np.zeros((n, n))
-    for (i, j), v in zip(pairs, r):
-        h[i, j] = h[j, i] = v
-    return h, np.array(r[len(pairs) :])
+def _weighted_sums(train: DataFrame, names: list[str], label: str, weights: dict[int, np.ndarray], step: Callable) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per model the sums of weight * x x' and weight * target * x, x with a constant 1 at the end.
 
+    ``step(z, y)`` gives weight and target of rows with margin z. Tasks add up
+    their rows in numpy; what is moved is one vector per task and model.
+    """
+    d = len(names) + 1
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {m: np.zeros((d, d + 1)) for m in weights}
+        for pdf in batches:
+            x, y, model = np.column_stack([pdf[names].to_numpy(float), np.ones(len(pdf))]), pdf[label].to_numpy(float), pdf[HELD].to_numpy()
+            for m in np.unique(model).tolist():
+                xm, ym = x[model == m], y[model == m]
+                w, t = step(xm @ weights[m], ym)
+                held[m] += xm.T @ np.column_stack([xm * w[:, None], w * t])
+        yield pd.DataFrame({HELD: list(held), "sums": [h.ravel() for h in held.values()]})
+
+    rows = train.select(*names, label, HELD).mapInPandas(sums, f"{HELD} long, sums array<double>")
+    total = rows.select(HELD, F.posexplode("sums").alias("pos", "v")).groupBy(HELD, "pos").agg(F.sum("v").alias("v")).collect()  # models x features squared
+    out = {m: np.zeros(d * (d + 1)) for m in weights}
+    for r in total:
+        out[r[HELD]][r["pos"]] = r["v"]
+    return {m: (v.reshape(d, d + 1)[:, :d], v.reshape(d, d + 1)[:, d]) for m, v in out.items()}
+
+
+def _iterated(train: DataFrame, names: list[str], label: str, step: Callable, solve: Callable, max_iter: int) -> dict[int, np.ndarray]:
+    """Repeats weighted sums and solves until no weight of any model moves by 1e-6; models that are done stay as they are."""
+    weights = {int(r[HELD]): np.zeros(len(names) + 1) for r in train.select(HELD).distinct().collect()}  # a row per model
+    moving = dict(weights)
+    for _ in range(max_iter):
+        for m, (h, g) in _weighted_sums(train.where(F.col(HELD).isin(list(moving))), names, label, moving, step).items():
+            new = solve(h, g)
+            if np.abs(new - weights[m]).max() < 1e-6:
+                del moving[m]
+            else:
+                moving[m] = new
+            weights[m] = new
+        if not moving:
+            break
+    return weights
 
-def _margin(names: list[str], w: np.ndarray) -> Column:
-    z = F.lit(float(w[-1]))
-    for c, v in zip(names, w):
-        z = z + F.col(c) * float(v)
-    return z
 
+def logistic(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 25) -> Fits:
+    """Logistic regression with an L2 penalty on all but the intercept, by Newton steps of one pass each."""
+    ridge = np.diag([1.0] * len(names) + [0.0])
 
-def logistic(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 25) -> Column:
-    """Logistic regression with an L2 penalty on all but the intercept, by Newton steps of one aggregate each."""
-    w, ridge = np.zeros(len(names) + 1), np.diag([1.0] * len(names) + [0.0])
-    train = train.select(*names, label).persist()  # read once per step
-    for _ in range(max_iter):
-        z = _margin(names, w)
-        p = 1 / (1 + F.exp(-z))
-        weight = F.greatest(p * (1 - p), F.lit(1e-9))
-        h, g = _weighted_sums(train, names, weight, z + (F.col(label) - p) / weight)
-        new = np.linalg.lstsq(c * h + ridge, c * g, rcond=None)[0]
-        step, w = np.abs(new - w).max(), new
-        if step < 1e-6:
-            break
-    train.unpersist()
-    return _linear(names, w[:-1], w[-1])
+    def step(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        w = np.maximum(p * (1 - p), 1e-9)
+        return w, z + (y - p) / w
+
+    fitted = _iterated(train, names, label, step, lambda h, g: np.linalg.lstsq(c * h + ridge, c * g, rcond=None)[0], max_iter)
+    return {m: _linear(names, w[:-1], w[-1]) for m, w in fitted.items()}
 
 
-def linear_svm(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 50) -> Column:
+def linear_svm(train: DataFrame, names: list[str], label: str, *, c: float = 1.0, max_iter: int = 50) -> Fits:
     """Linear machine with squared hinge loss and L2 penalty: each step solves for the rows inside the margin."""
-    w = np.zeros(len(names) + 1)
-    y = 2.0 * F.col(label) - 1
-    train = train.select(*names, label).persist()
-    for _ in range(max_iter):
-        inside = F.when(y * _margin(names, w) < 1, F.lit(1.0)).otherwise(F.lit(0.0))
-        h, g = _weighted_sums(train, names, inside, y)
-        new = np.linalg.lstsq(2 * c * h + np.eye(len(w)), 2 * c * g, rcond=None)[0]
-        step, w = np.abs(new - w).max(), new
-        if step < 1e-6:
-            break
-    train.unpersist()
-    return _linear(names, w[:-1], w[-1])
+
+    def step(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        side = 2 * y - 1
+        return (side * z < 1).astype(float), side
+
+    fitted = _iterated(train, names, label, step, lambda h, g: np.linalg.lstsq(2 * c * h + np.eye(len(g)), 2 * c * g, rcond=None)[0], max_iter)
+    return {m: _linear(names, w[:-1], w[-1]) for m, w in fitted.items()}
 
 
-def code_bank(train: DataFrame, names: list[str], label: str) -> Column:
-    return codebank.score(codebank.fit(train.where(F.col(label) == 1), names))
+def code_bank(train: DataFrame, names: list[str], label: str, *, n_bins: int = 10) -> Fits:
+    """The population code of the positive rows; quantiles of all models and features from one exact ranking."""
+    long = train.where(F.col(label) == 1).select(HELD, *[F.col(c).cast("double").alias(c) for c in names]).unpivot([HELD], names, "feature", "value")
+    found: dict = {}
+    for r in exact_quantiles(long, [b / (n_bins - 1) for b in range(n_bins)], by=[HELD, "feature"], value="value").collect():  # a row per model and feature
+        found.setdefault(int(r[HELD]), {})[r["feature"]] = r["quantiles"]
+    return {m: codebank.score(codebank.from_centers(names, centers)) for m, centers in found.items()}
 
 
-def threshold_rule(train: DataFrame, names: list[str], label: str, *, polarity: int = 1) -> Column:
+def threshold_rule(train: DataFrame, names: list[str], label: str, *, polarity: int = 1) -> Fits:
     """One feature against the threshold of the largest J, as a soft score of 0.5 at the threshold."""
     x = F.col(names[0]) * polarity
-    row = metrics.best_threshold(train.select(x.alias("score"), F.col(label).alias("class_label"))).first()
-    return 1 / (1 + F.exp(-(x - float(row["threshold"]))))
+    rows = metrics.best_threshold(train.select(HELD, x.alias("score"), F.col(label).alias("class_label")), by=[HELD]).collect()
+    return {int(r[HELD]): 1 / (1 + F.exp(-(x - float(r["threshold"])))) for r in rows}
 
 
-Fit = Callable[[DataFrame, list[str], str], Column]
-MODELS: dict[str, Fit] = {
-    "threshold_code_bank": code_bank,
+Fit = Callable[[DataFrame, list[str], str], Fits]
+KNN = "knn_k5"
+# The names of the models, which configurations use.
+MODELS: dict[str, Fit | None] = {
+    "threshold_weight_bank": code_bank,
     "nearest_centroid": nearest_centroid,
     "lda": lda,
     "qda": qda,
     "logistic_regression": logistic,
     "linear_svm": linear_svm,
+    KNN: None,  # has no score column: neighbours are searched
     "threshold_rule": threshold_rule,
 }
-_ALIASES = {"centroid": "nearest_centroid", "logistic": "logistic_regression", "logreg": "logistic_regression", "svm": "linear_svm", "code_bank": "threshold_code_bank", "threshold": "threshold_rule"}
+RANKED_MODELS = ["threshold_weight_bank", "nearest_centroid", "lda", "logistic_regression", "linear_svm", KNN]
+SCOREBOARD_MODELS = ["threshold_weight_bank", "lda", "logistic_regression", KNN]
+_ALIASES = {
+    "centroid": "nearest_centroid", "logistic": "logistic_regression", "logreg": "logistic_regression", "svm": "linear_svm", "knn": KNN,
+    "code_bank": "threshold_weight_bank", "weight_bank": "threshold_weight_bank", "threshold_code_bank": "threshold_weight_bank", "threshold": "threshold_rule",
+}
 
 
-def model_named(name: str) -> Fit:
-    """A model by name or alias (case, spaces and hyphens do not matter)."""
+def model_name(name: str) -> str:
+    """The name of a model given by name or alias (case, spaces and hyphens do not matter)."""
     key = name.strip().lower().replace("-", "_").replace(" ", "_")
     key = _ALIASES.get(key, key)
     if key not in MODELS:
         raise ValueError(f"unknown model {name!r}; choose from {sorted(MODELS)}")
-    return MODELS[key]
-
-
-def cross_validated(df: DataFrame, names: list[str], model: str | Fit, *, k: int = 5, label: str = "class_label") -> DataFrame:
-    """Out-of-fold scores of a table with ``fold``: the input with score and predicted."""
-    fit = model_named(model) if isinstance(model, str) else model
-    scored = None
-    for fold in range(k):
-        part = df.where(F.col("fold") == fold).withColumn("score", fit(df.where(F.col("fold") != fold), names, label))
-        scored = part if scored is None else scored.unionByName(part)
+    return key
+
+
+def fit_one(train: DataFrame, names: list[str], model: str | Fit, label: str = "class_label") -> Column:
+    """The score column of one model fitted on all of ``train``."""
+    fit = MODELS[model_name(model)] if isinstance(model, str) else model
+    if fit is None:
+        raise ValueError(f"{KNN} has no score column; use cross_validated or neighbors.knn_classify")
+    return fit(train.withColumn(HELD, F.lit(0).cast("long")), names, label)[0]
+
+
+def cross_validated(df: DataFrame, names: list[str], model: str | Fit, *, k: int = 5, label: str = "class_label", id_col: str = "snippet_id") -> DataFrame:
+    """Out-of-fold scores of a table with ``fold``: the input with score and predicted. All folds are fitted together."""
+    if isinstance(model, str) and model_name(model) == KNN:
+        votes = neighbors.fold_votes(df.withColumn("__v", _vector(names)), 5, id_col=id_col, vector_col="__v", label_col=label)
+        scored = df.join(votes.select(F.col("id").alias(id_col), F.col("share").alias("score")), id_col)
+    else:
+        fit = MODELS[model_name(model)] if isinstance(model, str) else model
+        others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda f: f != F.col("fold")))
+        found = fit(df.select(*dict.fromkeys([*names, label, "fold"])).withColumn(HELD, others), names, label)
+        score = None
+        for m, c in sorted(found.items()):
+            score = F.when(F.col("fold") == m, c) if score is None else score.when(F.col("fold") == m, c)
+        scored = df.withColumn("score", score)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -221,14 +300,89 @@ def single_feature_ranks(long: DataFrame, *, label_col: str = "class_label") ->
     return f.join(m, "feature").join(a, "feature").withColumn("key", F.round("fisher_score", 12)).withColumn("rank", F.row_number().over(order)).drop("key")
 
 
-def feature_set_ranks(df: DataFrame, sets: dict[str, list[str]], models: list[str], *, k: int = 5, label: str = "class_label") -> list[dict]:
-    """One row per set and model, best balanced accuracy first; a failing fit is a row with its error."""
+def _single_lda(df: DataFrame, names: list[str], label: str, k: int) -> DataFrame:
+    """(id, fold, label, feature, score) by one-dimensional Gaussians with pooled variance: one aggregate for all features and folds."""
+    long = df.unpivot(["id", "fold", label], names, "feature", "value")
+    held = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold")))
+    a, b = F.col(label) == 0, F.col(label) == 1
+    x0, x1 = F.when(a, F.col("value")), F.when(b, F.col("value"))
+    m = long.withColumn(HELD, held).groupBy("feature", HELD).agg(
+        F.count(x0).alias("n0"), F.count(x1).alias("n1"), F.avg(x0).alias("m0"), F.avg(x1).alias("m1"), F.var_pop(x0).alias("v0"), F.var_pop(x1).alias("v1")
+    )
+    pooled = (F.col("n0") * F.col("v0") + F.col("n1") * F.col("v1")) / (F.col("n0") + F.col("n1") - 2)
+    m = m.select(F.col("feature").alias("f"), F.col(HELD).alias("h"), "n0", "n1", "m0", "m1", pooled.alias("v"))  # a row per feature and fold
+    z = F.when(F.col("v") > 0, (F.col("value") - (F.col("m0") + F.col("m1")) / 2) * (F.col("m1") - F.col("m0")) / F.col("v")).otherwise(F.lit(0.0)) + F.log(F.col("n1") / F.col("n0"))
+    joined = long.join(F.broadcast(m), (F.col("feature") == F.col("f")) & (F.col("fold") == F.col("h")))
+    return joined.select("id", "fold", label, "feature", (1 / (1 + F.exp(-z))).alias("score"))
+
+
+def _single_logistic(df: DataFrame, names: list[str], label: str, k: int, *, c: float = 1.0, max_iter: int = 25) -> DataFrame:
+    """As ``_single_lda`` by one-dimensional logistic regressions: Newton steps for all features and folds in one pass each."""
+    n = len(names)
+    w = np.zeros((k, n, 2))  # slope, intercept
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, n, 5))
+        for pdf in batches:
+            x, y, fold = pdf[names].to_numpy(float), pdf[label].to_numpy(float)[:, None], pdf["fold"].to_numpy()
+            for f in range(k):
+                xf, yf = x[fold != f], y[fold != f]
+                z = xf * w[f, :, 0] + w[f, :, 1]
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                q = np.maximum(p * (1 - p), 1e-9)
+                r = yf - p
+                total[f] += np.stack([(q * xf * xf).sum(0), (q * xf).sum(0), q.sum(0), (r * xf).sum(0), r.sum(0)], 1)
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    rows = df.select(*names, label, "fold")
+    for _ in range(max_iter):
+        total = rows.mapInPandas(sums, "sums array<double>").select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()  # features x folds x 5
+        t = np.zeros(k * n * 5)
+        for r in total:
+            t[r["pos"]] = r["v"]
+        xx, x1, one, gx, g1 = np.moveaxis(t.reshape(k, n, 5), 2, 0)
+        a, b, d = c * xx + 1, c * x1, np.maximum(c * one, 1e-12)
+        gx, g1 = c * gx - w[:, :, 0], c * g1
+        det = a * d - b * b
+        step = np.stack([(d * gx - b * g1) / det, (a * g1 - b * gx) / det], 2)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    long = df.unpivot(["id", "fold", label], names, "feature", "value")
+    model = df.sparkSession.createDataFrame([(name, f, float(w[f, j, 0]), float(w[f, j, 1])) for f in range(k) for j, name in enumerate(names)], "f string, h int, slope double, bias double")
+    joined = long.join(F.broadcast(model), (F.col("feature") == F.col("f")) & (F.col("fold") == F.col("h")))  # a row per feature and fold
+    return joined.select("id", "fold", label, "feature", (1 / (1 + F.exp(-(F.col("value") * F.col("slope") + F.col("bias"))))).alias("score"))
+
+
+def single_feature_models(df: DataFrame, names: list[str], *, k: int = 5, label: str = "class_label", id_col: str = "snippet_id") -> DataFrame:
+    """Per feature: mean and deviation of the folds' balanced accuracy of lda, logistic_regression and knn_k5, and the AUC of
+    the out-of-fold logistic scores. Folds are stratified in id order."""
+    folds = stratified_folds(df.select(id_col, label, *names), k, id_col=id_col, label_col=label, seed=None).withColumnRenamed(id_col, "id")
+    logit = materialize(_single_logistic(folds, names, label, k))
+    votes = neighbors.fold_votes(folds.withColumn("__v", _vector(names)), 5, id_col="id", vector_col="__v", label_col=label, per_dimension=True)
+    order = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("dimension") + 1)
+    knn = votes.join(folds.select("id", "fold", label), "id").select("id", "fold", label, order.alias("feature"), F.col("share").alias("score"))
+    out = metrics.roc_auc(logit, label=label, by=["feature"])
+    for name, scored in (("lda", _single_lda(folds, names, label, k)), ("logistic_regression", logit), (KNN, knn)):
+        per = metrics.balanced_accuracy(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), actual=label, by=["feature", "fold"])
+        out = out.join(per.groupBy("feature").agg(F.avg("balanced_accuracy").alias(f"{name}_balanced_acc_mean"), F.stddev_pop("balanced_accuracy").alias(f"{name}_balanced_acc_std")), "feature")
+    return out
+
+
+def feature_set_ranks(df: DataFrame, sets: dict[str, list[str]], models: list[str], *, k: int = 5, label: str = "class_label", id_col: str = "snippet_id") -> list[dict]:
+    """One row per set and model with the set's silhouette, best balanced accuracy first; a failing fit is a row with its error."""
     rows = []
     for set_name, names in sets.items():
+        if not names:
+            continue
+        silhouette = None
+        if set(names) <= set(df.columns):
+            vectors = df.select(id_col, label, _vector(names).alias("__v"))
+            silhouette = neighbors.silhouette(vectors, id_col=id_col, vector_col="__v", label_col=label).first()["silhouette"]
         for model in models:
-            row = {"set_name": set_name, "n_features": len(names), "features_used": ",".join(names), "model": model, "balanced_acc_mean": None, "balanced_acc_std": None, "error": None}
+            row = {"set_name": set_name, "n_features_in_set": len(names), "features_used": ",".join(names), "model": model, "balanced_acc_mean": None, "balanced_acc_std": None, "silhouette": silhouette, "error": None}
             try:
-                r = fold_summary(cross_validated(df, names, model, k=k, label=label)).first()
+                r = fold_summary(cross_validated(df, names, model, k=k, label=label, id_col=id_col)).first()
                 row |= {"balanced_acc_mean": r["balanced_acc_mean"], "balanced_acc_std": r["balanced_acc_std"]}
             except Exception as e:  # a set's failure is a result of the ranking
                 row["error"] = str(e).split("\n")[0][:200]
@@ -249,13 +403,16 @@ def feature_combinations(names: list[str], largest: int, *, limit: int | None =
 def pairwise_auc(df: DataFrame, *, unit_col: str = "unit_id", score_col: str = "score") -> DataFrame:
     """AUC of a score for every pair of units (first < second), the second as positive.
 
-    Pairs come from the distinct units; rows are joined to the pairs of their
-    unit, so the row count grows with the number of units only.
+    Pairs come from the distinct units; the counts of a unit's distinct scores
+    are joined to its pairs by equality, so their number grows with the number
+    of units only.
     """
-    units = df.select(F.col(unit_col).alias("u")).distinct()
-    pairs = units.alias("a").join(units.alias("b"), F.col("a.u") < F.col("b.u")).select(F.col("a.u").alias("unit_a"), F.col("b.u").alias("unit_b"))
-    rows = df.select(F.col(unit_col).alias("u"), F.col(score_col).alias("score")).join(F.broadcast(pairs), (F.col("u") == F.col("unit_a")) | (F.col("u") == F.col("unit_b")))
-    return metrics.roc_auc(rows.withColumn("class_label", (F.col("u") == F.col("unit_b")).cast("int")), by=["unit_a", "unit_b"])
+    units = df.select(F.col(unit_col).alias("u")).where("u is not null").distinct()
+    pairs = units.alias("a").crossJoin(units.alias("b")).where(F.col("a.u") < F.col("b.u")).select(F.col("a.u").alias("unit_a"), F.col("b.u").alias("unit_b"))
+    sides = materialize(pairs.select(F.explode(F.array("unit_a", "unit_b")).alias("u"), "unit_a", "unit_b"))  # units squared, not rows
+    counts = df.groupBy(F.col(unit_col).alias("u"), F.col(score_col).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(broadcast_if_small(sides, 100_000), "u")
+    return metrics.roc_auc(rows.withColumn("class_label", (F.col("u") == F.col("unit_b")).cast("int")), by=["unit_a", "unit_b"], weight="n")
 
 
 knn_model = neighbors.knn_classify
@@ -271,9 +428,8 @@ def min_max_scaled(df: DataFrame, column: str = "score") -> DataFrame:
 
 def holdout_scores(df: DataFrame, names: list[str], model: str | Fit, *, share: float = 0.25, label: str = "class_label", id_col: str = "snippet_id") -> DataFrame:
     """Scores and predictions of the held-out rows by a model fitted on the others; scores scaled to [0, 1]."""
-    fit = model_named(model) if isinstance(model, str) else model
     split = holdout_split(df, share, id_col=id_col, label_col=label)
-    scored = split.where("is_test").withColumn("score", fit(split.where("not is_test"), names, label))
+    scored = split.where("is_test").withColumn("score", fit_one(split.where("not is_test"), names, model, label))
     return min_max_scaled(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 

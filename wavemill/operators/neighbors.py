@@ -2,7 +2,9 @@
 
 Rows are dealt into blocks; every pair of blocks is one bounded task that
 compares vectors in numpy and keeps only each row's best candidates (or its sums
-per cluster). Pairs of rows are never emitted.
+per cluster). Pairs of rows are never emitted. A row is sent once per block and
+side, so large blocks keep the copies few; within a task, distances are made for
+a few hundred rows at a time.
 """
 
 from __future__ import annotations
@@ -12,14 +14,51 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 _DIGITS = 9
+#: Distances that one task holds at a time: 16 MB.
+_CELLS = 2_000_000
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, rounded so that ties do not depend on the order of summation."""
-    out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    return np.round(out, _DIGITS)
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by a matrix product: fast, and right but for rounding."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0.0)
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of rows to rows, rounded so that ties do not depend on the order of summation."""
+    return np.round(np.sqrt(((a - b) ** 2).sum(axis=-1)), _DIGITS)
+
+
+def _nearest(q: np.ndarray, b: np.ndarray, k: int, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, base place, distance) of the ``k`` nearest base rows of every query, ties by place.
+
+    The matrix product picks every row that rounding could put among the
+    nearest; those are compared exactly. ``other`` says which pairs count.
+    """
+    out_q, out_b, out_d = [], [], []
+    slack = 1e-11 * (1 + (q * q).sum(1).max(initial=0) + (b * b).sum(1).max(initial=0))
+    step = max(1, _CELLS // max(1, len(b)))
+    for i in range(0, len(q), step):
+        d = _squares(q[i : i + step], b)
+        if other is not None:
+            d[~other[i : i + step]] = np.inf
+        m = min(k, d.shape[1])
+        limit = np.partition(d, m - 1, axis=1)[:, m - 1]
+        # rounding to nine digits can make equal what differs by up to 1e-9 of distance
+        reach = (np.sqrt(np.where(np.isfinite(limit), limit, 0)) + 2e-9) ** 2 + slack
+        r, c = np.nonzero(np.where(np.isfinite(limit)[:, None], d <= reach[:, None], np.isfinite(d)))
+        e = _exact(q[i + r], b[c])
+        order = np.lexsort((c, e, r))
+        r, c, e = r[order], c[order], e[order]
+        first = np.searchsorted(r, r)  # of the row's candidates
+        keep = np.arange(len(r)) - first < k
+        out_q.append(r[keep] + i)
+        out_b.append(c[keep])
+        out_d.append(e[keep])
+    return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_b, out_d))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
 
 
 def _block_pairs(df: DataFrame, cols: list[str], id_col: str, block_rows: int) -> DataFrame:
@@ -32,26 +71,53 @@ def _block_pairs(df: DataFrame, cols: list[str], id_col: str, block_rows: int) -
     return query.unionAll(base)
 
 
-def knn(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "w", block_rows: int = 2048) -> DataFrame:
+def knn(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "w", block_rows: int = 16384) -> DataFrame:
     """(id, neighbor_id, distance, rank): the ``k`` nearest other rows, ties by id. Ids must be unique."""
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values(id_col)
         if q.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbor_id": [], "distance": []}, dtype=float).astype({"id": "int64", "neighbor_id": "int64"})
-        d = _distances(np.stack(q[vector_col].to_numpy()), np.stack(b[vector_col].to_numpy()))
         ids, own = b[id_col].to_numpy(), q[id_col].to_numpy()
-        d[own[:, None] == ids[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(own, order.shape[1]), "neighbor_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
+        # one more than wanted: a row's own place may be among them
+        r, c, d = _nearest(_matrix(q[vector_col]), _matrix(b[vector_col]), k + 1)
+        out = pd.DataFrame({"id": own[r], "neighbor_id": ids[c], "distance": d})
+        return out[out["id"] != out["neighbor_id"]]
 
     found = _block_pairs(df, [id_col, vector_col], id_col, block_rows).groupBy("q", "o").applyInPandas(best, "id long, neighbor_id long, distance double")
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def neighbor_labels(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "unit_id", block_rows: int = 2048) -> DataFrame:
+def fold_votes(df: DataFrame, k: int = 5, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "class_label", fold_col: str = "fold", per_dimension: bool = False, block_rows: int = 4096) -> DataFrame:
+    """(id, dimension, share): share of label 1 among the ``k`` nearest rows of other folds, all folds in one search.
+
+    With ``per_dimension`` every element of the vector is searched by itself;
+    else dimension is 0. Ties by id.
+    """
+    cols = [id_col, vector_col, label_col, fold_col]
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values(id_col)
+        names = ["id", "dimension", "neighbor_id", "label", "distance"]
+        if q.empty or b.empty:
+            return pd.DataFrame({c: [] for c in names}, dtype=float).astype({c: "int64" for c in names[:4]})
+        x, y = _matrix(q[vector_col]), _matrix(b[vector_col])
+        other = q[fold_col].to_numpy()[:, None] != b[fold_col].to_numpy()[None, :]
+        own, ids, label = q[id_col].to_numpy(), b[id_col].to_numpy(), b[label_col].to_numpy(np.int64)
+        parts = []
+        for j in range(x.shape[1]) if per_dimension else [None]:
+            r, c, d = _nearest(x if j is None else x[:, [j]], y if j is None else y[:, [j]], k, other)
+            parts.append(pd.DataFrame({"id": own[r], "dimension": j or 0, "neighbor_id": ids[c], "label": label[c], "distance": d}))
+        return pd.concat(parts)
+
+    found = _block_pairs(df, cols, id_col, block_rows).groupBy("q", "o").applyInPandas(best, "id long, dimension long, neighbor_id long, label long, distance double")
+    nearest = W.partitionBy("id", "dimension").orderBy("distance", "neighbor_id")
+    top = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return top.groupBy("id", F.col("dimension").cast("int").alias("dimension")).agg(F.avg((F.col("label") == 1).cast("double")).alias("share"))
+
+
+def neighbor_labels(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "unit_id", block_rows: int = 16384) -> DataFrame:
     """(id, label, neighbor_id, neighbor_label, rank)."""
     near = knn(df, k, id_col=id_col, vector_col=vector_col, block_rows=block_rows)
     own = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
@@ -77,7 +143,7 @@ def knn_purity_sweep(df: DataFrame, ks: list[int], *, by_label: bool = False, **
     return per.groupBy(*keys).agg(*stats)
 
 
-def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "class_label", block_rows: int = 2048) -> DataFrame:
+def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "class_label", block_rows: int = 16384) -> DataFrame:
     """(id, predicted): majority label of the k nearest training rows, the smallest label on ties."""
     cols = [id_col, vector_col, label_col]
     blocks = max(1, -(-train.count() // block_rows))
@@ -90,10 +156,8 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, *, id_col: str =
         q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values(id_col)
         if q.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbor_id": [], "label": [], "distance": []}, dtype=float).astype({"id": "int64", "neighbor_id": "int64", "label": "int64"})
-        d = _distances(np.stack(q[vector_col].to_numpy()), np.stack(b[vector_col].to_numpy()))
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        n = order.shape[1]
-        return pd.DataFrame({"id": np.repeat(q[id_col].to_numpy(), n), "neighbor_id": b[id_col].to_numpy()[order].ravel(), "label": b[label_col].to_numpy(np.int64)[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
+        r, at, d = _nearest(_matrix(q[vector_col]), _matrix(b[vector_col]), k)
+        return pd.DataFrame({"id": q[id_col].to_numpy()[r], "neighbor_id": b[id_col].to_numpy()[at], "label": b[label_col].to_numpy(np.int64)[at], "distance": d})
 
     names = [*cols, "q", "o", "is_query"]
     found = base.select(*names).unionAll(query.select(*names)).groupBy("q", "o").applyInPandas(best, "id long, neighbor_id long, label long, distance double")
@@ -102,20 +166,27 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, *, id_col: str =
     return votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("predicted"))
 
 
-def silhouette(df: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "unit_id", block_rows: int = 2048) -> DataFrame:
+def silhouette(df: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "unit_id", block_rows: int = 16384) -> DataFrame:
     """Mean Euclidean silhouette over all rows; rows alone in their cluster count 0; 0 with fewer than two clusters."""
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
         if q.empty or b.empty:
             return pd.DataFrame({"id": [], "own": [], "label": [], "d": [], "n": []}, dtype=float).astype({"id": "int64", "own": "int64", "label": "int64", "n": "int64"})
-        d = _distances(np.stack(q[vector_col].to_numpy()), np.stack(b[vector_col].to_numpy()))
-        ids, labels = b[id_col].to_numpy(), b[label_col].to_numpy(np.int64)
-        other = q[id_col].to_numpy()[:, None] != ids[None, :]
-        out = []
-        for c in np.unique(labels):
-            m = labels == c
-            out.append(pd.DataFrame({"id": q[id_col], "own": q[label_col].astype("int64"), "label": c, "d": (d[:, m] * other[:, m]).sum(axis=1), "n": other[:, m].sum(axis=1)}))
+        x, y = _matrix(q[vector_col]), _matrix(b[vector_col])
+        ids, own, labels = b[id_col].to_numpy(), q[id_col].to_numpy(), b[label_col].to_numpy(np.int64)
+        names, code = np.unique(labels, return_inverse=True)
+        member = np.eye(len(names))[code]  # base rows x clusters
+        out, step = [], max(1, _CELLS // max(1, len(y)))
+        for at in range(0, len(x), step):
+            d = np.sqrt(_squares(x[at : at + step], y))
+            other = own[at : at + step, None] != ids[None, :]
+            total, n = (d * other) @ member, other.astype(float) @ member
+            m = len(d)
+            out.append(pd.DataFrame({
+                "id": np.repeat(own[at : at + m], len(names)), "own": np.repeat(q[label_col].to_numpy(np.int64)[at : at + m], len(names)),
+                "label": np.tile(names, m), "d": total.ravel(), "n": n.ravel().astype(np.int64),
+            }))
         return pd.concat(out)
 
     parts = _block_pairs(df, [id_col, vector_col, label_col], id_col, block_rows).groupBy("q", "o").applyInPandas(sums, "id long, own long, label long, d double, n long")

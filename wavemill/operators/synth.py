@@ -72,7 +72,7 @@ def biphasic(n: int = 64, *, width_neg: float = 5.0, **shape: Column | float) ->
 NOISE_TYPES = ("gaussian", "colored", "clipped", "irregular")
 
 
-def noise(kind: str, row: Column, *, n: int = 64, amplitude: float = 50.0, seed: int = 42) -> Column:
+def noise(kind: str, row: Column, *, n: int = 64, amplitude: float | Column = 50.0, seed: int = 42) -> Column:
     """A noise snippet of one of the known types, from the row's key."""
     axis = time_axis(n)
     if kind == "gaussian":
@@ -104,41 +104,71 @@ def noise(kind: str, row: Column, *, n: int = 64, amplitude: float = 50.0, seed:
     raise ValueError(f"unknown noise type {kind!r}; choose from {NOISE_TYPES}")
 
 
-#: Cell types: ranges (low, high) of shape parameters; units cycle through them.
+# Ranges (low, high) of the shape parameters of three cell types; units cycle through them.
 CELL_TYPES = {
-    "narrow": {"tau_rise": (2.5, 3.5), "tau_fall": (9.0, 12.0), "amp_neg": (-140.0, -90.0), "amp_pos": (30.0, 55.0), "delay_pos": (8, 12), "width_pos": (5.0, 7.0)},
-    "broad": {"tau_rise": (5.0, 6.5), "tau_fall": (16.0, 22.0), "amp_neg": (-120.0, -70.0), "amp_pos": (20.0, 45.0), "delay_pos": (14, 20), "width_pos": (7.0, 10.0)},
-    "small": {"tau_rise": (3.0, 5.0), "tau_fall": (11.0, 16.0), "amp_neg": (-70.0, -40.0), "amp_pos": (10.0, 25.0), "delay_pos": (10, 16), "width_pos": (6.0, 9.0)},
-}
+    "fast-spiking": {
+        "tau_rise": (2.0, 3.5), "tau_fall": (7.0, 11.0), "amp_neg": (-150.0, -100.0), "amp_pos": (40.0, 70.0), "delay_pos": (8, 12),
+        "width_pos": (5.0, 8.0), "amp_ahp": (3.0, 10.0), "delay_ahp": (20, 26), "amp_pre": (2.0, 8.0),
+    },
+    "regular-spiking": {
+        "tau_rise": (4.0, 6.5), "tau_fall": (14.0, 22.0), "amp_neg": (-90.0, -50.0), "amp_pos": (20.0, 40.0), "delay_pos": (14, 20),
+        "width_pos": (7.0, 11.0), "amp_ahp": (6.0, 16.0), "delay_ahp": (28, 36), "amp_pre": (4.0, 14.0),
+    },
+    "intermediate": {
+        "tau_rise": (3.0, 4.5), "tau_fall": (11.0, 15.0), "amp_neg": (-120.0, -70.0), "amp_pos": (30.0, 55.0), "delay_pos": (11, 15),
+        "width_pos": (6.0, 9.5), "amp_ahp": (4.0, 13.0), "delay_ahp": (24, 32), "amp_pre": (3.0, 10.0),
+    },
+}
+#: Range of the amplitude that each noise type draws.
+NOISE_AMPLITUDE = (30.0, 120.0)
+
+
+def unit_parameters(unit: Column, seed: int = 42) -> dict[str, Column]:
+    """Shape parameters of a unit (from 1): drawn from its cell type's ranges, whole numbers where the ranges are."""
+    names, out = list(CELL_TYPES), {}
+    kind = cell_type(unit)
+    for parameter in CELL_TYPES[names[0]]:
+        value, u = None, uniform(seed, unit, F.lit(parameter))
+        for name in names:
+            low, high = CELL_TYPES[name][parameter]
+            draw = F.floor(low + (high + 1 - low) * u).cast("double") if isinstance(low, int) else low + (high - low) * u
+            value = F.when(kind == name, draw) if value is None else value.when(kind == name, draw)
+        out[parameter] = value
+    return out
 
 
-def generate(spark: SparkSession, *, n_units: int = 3, per_unit: int = 300, n_noise: int = 300, n_samples: int = 64, noise_std: float = 5.0, seed: int = 42) -> DataFrame:
-    """(snippet_id, w, unit_id, class_label, source, kind): spikes of all units, then noise of every type.
+def cell_type(unit: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in CELL_TYPES]), (F.pmod(unit - 1, F.lit(len(CELL_TYPES))) + 1).cast("int"))
 
-    Each noise type gets max(1, n_noise // types) rows. Rows are made where they
-    are read; nothing is built on the driver.
-    """
-    names = list(CELL_TYPES)
-    row = F.col("id")
-    unit = (F.floor(row / per_unit) + 1).cast("int")
-    kind = F.element_at(F.array(*[F.lit(x) for x in names]), (F.pmod(unit - 1, F.lit(len(names))) + 1).cast("int"))
 
-    def between(parameter: str) -> Column:
-        value = None
-        for name in names:
-            low, high = CELL_TYPES[name][parameter]
-            draw = low + (high - low) * uniform(seed, unit, F.lit(parameter))
-            value = F.when(kind == name, draw) if value is None else value.when(kind == name, draw)
-        return value
+def generate(spark: SparkSession, *, n_units: int = 3, per_unit: int = 300, n_noise: int = 300, n_samples: int = 64, noise_std: tuple[float, float] = (0.0, 10.0), noise_types: tuple[str, ...] = NOISE_TYPES, seed: int = 42) -> DataFrame:
+    """Spikes of all units, then noise of every type: (snippet_id, w, unit_id, class_label, source, kind, noise_std, amplitude, shape parameters).
 
-    shape = waveform(n_samples, **{p: between(p) for p in CELL_TYPES["narrow"]})
-    noisy = F.transform(shape, lambda x, i: x + noise_std * normal(seed, row, i))
-    spikes = spark.range(n_units * per_unit).select(row.alias("snippet_id"), noisy.alias("w"), unit.alias("unit_id"), F.lit(1).alias("class_label"), F.lit("procedural").alias("source"), kind.alias("kind"))
-    each, out = max(1, n_noise // len(NOISE_TYPES)), spikes
-    for i, name in enumerate(NOISE_TYPES):
+    Each spike draws its noise level from the range ``noise_std``; each noise
+    type draws one amplitude and gets max(1, n_noise // types) rows. Columns that
+    do not apply are null. Rows are made where they are read; nothing is built
+    on the driver.
+    """
+    row, unit = F.col("id"), F.col("unit_id")
+    parameters = unit_parameters(unit, seed)
+    level = noise_std[0] + (noise_std[1] - noise_std[0]) * uniform(seed, row, F.lit("noise_std"))
+    made = spark.range(n_units * per_unit).select(row, (F.floor(row / per_unit) + 1).cast("int").alias("unit_id"), level.alias("noise_std"))
+    made = made.withColumns(parameters)
+    shape = waveform(n_samples, **{p: F.col(p) for p in parameters})
+    noisy = F.transform(shape, lambda x, i: x + F.col("noise_std") * normal(seed, row, i))
+    spikes = made.select(
+        row.alias("snippet_id"), noisy.alias("w"), "unit_id", F.lit(1).alias("class_label"), F.lit("procedural_spike").alias("source"), cell_type(unit).alias("kind"),
+        "noise_std", F.lit(None).cast("double").alias("amplitude"), *parameters,
+    )
+    each, out = max(1, n_noise // len(noise_types)), spikes
+    for i, name in enumerate(noise_types):
         first = n_units * per_unit + i * each
-        part = spark.range(first, first + each).select(row.alias("snippet_id"), noise(name, row, n=n_samples, seed=seed).alias("w"), F.lit(0).alias("unit_id"), F.lit(0).alias("class_label"), F.lit("procedural").alias("source"), F.lit(name).alias("kind"))
-        out = out.unionByName(part)
+        amplitude = NOISE_AMPLITUDE[0] + (NOISE_AMPLITUDE[1] - NOISE_AMPLITUDE[0]) * uniform(seed, F.lit(name))
+        part = spark.range(first, first + each).select(
+            row.alias("snippet_id"), noise(name, row, n=n_samples, amplitude=amplitude, seed=seed).alias("w"), F.lit(0).alias("unit_id"), F.lit(0).alias("class_label"),
+            F.lit(f"noise_{name}").alias("source"), F.lit(name).alias("kind"), amplitude.alias("amplitude"),
+        )
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import align
@@ -53,20 +56,48 @@ def feature_stats(long: DataFrame, *, label_col: str = "class_label", digits: in
     )
 
 
-def checksums(spark, path: str) -> DataFrame:
-    """SHA-256 and size of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def checksums(spark, path: str, *, chunk: int = 1 << 20) -> DataFrame:
+    """SHA-256 and size of every file under ``path``, each read by a task in chunks, so that size does not matter."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    schema = "path string, length long, sha256 string"
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            rows = []
+            for name, length in zip(batch["path"], batch["length"]):
+                system, place = FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(place, compression=None) as stream:
+                    while data := stream.read(chunk):
+                        digest.update(data)
+                rows.append((name, length, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "length", "sha256"])
+
+    return files.mapInPandas(hashes, schema)
 
 
 def csv_round_trip(df: DataFrame, path: str, *, key: str, tolerance: float = 1e-5) -> DataFrame:
-    """Write as CSV, read back and compare all double columns: (column, worst relative difference, matches)."""
+    """Write as CSV, read back and compare all double columns: (column, worst relative difference, n_lost, matches).
+
+    A value that is missing on one side only, or a row that is, counts as lost;
+    any loss fails the column. ``key`` must be unique and not null.
+    """
     names = [c for c, t in df.dtypes if t == "double"]
     df.write.mode("overwrite").option("header", True).csv(path)
     back = df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
-    pairs = df.select(key, *names).join(back.select(key, *[F.col(c).alias(f"{c}__b") for c in names]), key)
-    worst = [F.max(F.abs(F.col(c) - F.col(f"{c}__b")) / F.greatest(F.abs(c), F.lit(1e-12))).alias(c) for c in names]
-    return pairs.agg(*worst).unpivot([], names, "column", "worst").withColumn("matches", F.coalesce(F.col("worst") <= tolerance, F.lit(True)))
+    a = df.select(key, F.lit(1).alias("here__a"), *names)
+    b = back.select(key, F.lit(1).alias("here__b"), *[F.col(c).alias(f"{c}__b") for c in names])
+    pairs = a.join(b, key, "full")
+    missing = F.col("here__a").isNull() | F.col("here__b").isNull()
+    stats = []
+    for c in names:
+        lost = missing | (F.col(c).isNull() != F.col(f"{c}__b").isNull())
+        worst = F.max(F.abs(F.col(c) - F.col(f"{c}__b")) / F.greatest(F.abs(c), F.lit(1e-12)))
+        stats.append(F.struct(F.lit(c).alias("column"), worst.alias("worst"), F.count_if(lost).alias("n_lost")))
+    rows = pairs.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    return rows.withColumn("matches", (F.col("n_lost") == 0) & F.coalesce(F.col("worst") <= tolerance, F.lit(True)))
 
 
 def evaluate(features: DataFrame, bank, *, by_source: str | None = None) -> dict[str, DataFrame]:

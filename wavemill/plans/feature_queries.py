@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import kernels as k
+from ..functions import blocks, kernels as k
 from ..operators import codebank
 from ..operators.features import FeatureConfig, TemporalConfig, build_features, feature_names, families, to_long
+from ..sources.scratch import materialize
 from ..sources.snippets import snippets
 from . import sql
 from .registry import register
@@ -27,7 +28,7 @@ _F = {"amplitude": "f01", "first_derivative": "f02", "second_derivative": "f03",
 for _name, _id in _F.items():
 
     def _kernel(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
-        series = k.KERNELS[name](F.col("w"), 16)
+        series = blocks.kernel(name, F.col("w"), 16)
         return snippets(spark, sf_dir).select("snippet_id", F.posexplode(series).alias("pos", "v")).select("snippet_id", "pos", F.round("v", DIGITS).alias("value"))
 
     register(f"{_id}_{_name}", f"WITH {sql.SNIPPETS}, x AS (SELECT snippet_id, {sql.KERNEL[_name]} AS v, unnest(range(1, len(w) + 1)) AS i FROM s) SELECT snippet_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i], {DIGITS}) AS value FROM x")(_kernel)
@@ -143,7 +144,7 @@ _SCALAR_CODE = f"{sql.features(event=False, bins=None)}, {sql.long_features(list
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(snippets(spark, sf_dir), tier=3)
+    return materialize(build_features(snippets(spark, sf_dir), tier=3))
 
 
 def _bank(df: DataFrame, names: list[str] = _NAMES) -> codebank.CodeBank:
@@ -166,7 +167,7 @@ def bank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("m04_projection", f"WITH {_SCALAR_CODE} SELECT snippet_id, feature, CAST(i - 1 AS INTEGER) AS bin, round(act[i], 6) AS activation FROM (SELECT *, unnest(range(1, 11)) AS i FROM a)")
 def bank_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = list(k.SCALAR_FEATURES)
-    df = build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(enabled=False)))
+    df = materialize(build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(enabled=False))))
     flat = codebank.project(df, _bank(df, names)).select("snippet_id", F.posexplode("activations").alias("at", "v"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.floor(F.col("at") / 10) + 1).cast("int"))
     return flat.select("snippet_id", name.alias("feature"), (F.col("at") % 10).alias("bin"), F.round("v", 6).alias("activation"))
@@ -182,7 +183,7 @@ def bank_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("flagship_unit_scores", f"WITH {_SCALAR_CODE} SELECT unit_id, count(*) AS n, round(avg(CAST(round(score, 9) >= 0.5 AS DOUBLE)), 6) AS recall, round(avg(score), 6) AS mean_score FROM sc WHERE class_label = 1 GROUP BY unit_id ORDER BY mean_score DESC, unit_id")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets to features, code bank on the spikes, score and gate, recall per unit."""
-    df = build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(enabled=False)))
+    df = materialize(build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(enabled=False))))
     scored = codebank.apply(df, _bank(df, list(k.SCALAR_FEATURES)))
     per = scored.where("class_label = 1").groupBy("unit_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg((F.round("score", 9) >= 0.5).cast("double")), 6).alias("recall"), F.round(F.avg("score"), 6).alias("mean_score")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import kernels as k
 from ..operators import cluster, codebank, metrics, models, neighbors
-from ..operators.features import FeatureConfig, TemporalConfig, build_features, feature_names, to_long
+from ..operators.features import FEATURE_SETS, FeatureConfig, TemporalConfig, build_features, feature_names, resolve_names, to_long
+from ..sources.scratch import materialize
 from ..sources.snippets import snippets
 from . import sql
 from .registry import register
@@ -24,11 +25,12 @@ def r6(c: Column | str) -> Column:
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(snippets(spark, sf_dir), tier=3)
+    """The feature matrix, written once: rankings and fits read it several times."""
+    return materialize(build_features(snippets(spark, sf_dir), tier=3))
 
 
 def scalar_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(enabled=False)))
+    return materialize(build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(enabled=False))))
 
 
 def long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +213,7 @@ FROM l JOIN m ON l.feature = m.feature AND l.fold = m.k GROUP BY snippet_id, fol
 
 @register("m07_m23_code_bank_cv", _bank_cv_sql())
 def bank_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cv(spark, sf_dir, "threshold_code_bank", SCALARS).select("snippet_id", "fold", r6("score").alias("score"))
+    return _cv(spark, sf_dir, "threshold_weight_bank", SCALARS).select("snippet_id", "fold", r6("score").alias("score"))
 
 
 @register("m12_logistic_cv")
@@ -224,14 +226,17 @@ def svm_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cv(spark, sf_dir, "linear_svm", SCALARS).select("snippet_id", "fold", "predicted")
 
 
+@register("m18_single_feature_models")
+def single_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.single_feature_models(matrix(spark, sf_dir), NAMES)
+
+
 @register("m20_feature_set_ranks")
 def set_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.features import FEATURE_SETS, resolve_names
-
-    df = models.stratified_folds(matrix(spark, sf_dir).cache(), k=3)
-    sets = {n: resolve_names(NAMES, w) for n, w in FEATURE_SETS.items() if n != "set_E_all"}
-    rows = models.feature_set_ranks(df, sets, ["nearest_centroid", "threshold_code_bank"], k=3)
-    return spark.createDataFrame(rows, "set_name string, n_features int, features_used string, model string, balanced_acc_mean double, balanced_acc_std double, error string, rank int")
+    """All named sets, all ranked models, five folds."""
+    sets = {n: resolve_names(NAMES, w) for n, w in FEATURE_SETS.items()}
+    rows = models.feature_set_ranks(models.stratified_folds(matrix(spark, sf_dir)), sets, models.RANKED_MODELS)
+    return spark.createDataFrame(rows, "set_name string, n_features_in_set int, features_used string, model string, balanced_acc_mean double, balanced_acc_std double, silhouette double, error string, rank int")
 
 
 # --- neighbours ---------------------------------------------------------------------------------------
@@ -347,8 +352,8 @@ hp AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS predicted FROM hs)"""
 SELECT tp, fp, tn, fn, round(tp / (tp + fp + 1e-12), 6) AS precision, round(tp / (tp + fn + 1e-12), 6) AS recall, round(fp / (fp + tn + 1e-12), 6) AS fpr,
   round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(auc, 6) AS auc FROM c, au""")
 def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def rounded_centroid(train: DataFrame, names: list[str], label: str) -> Column:
-        return F.round(models.nearest_centroid(train, names, label), 12)
+    def rounded_centroid(train: DataFrame, names: list[str], label: str) -> models.Fits:
+        return {m: F.round(c, 12) for m, c in models.nearest_centroid(train, names, label).items()}
 
     r = models.holdout_evaluation(scalar_matrix(spark, sf_dir), SCALARS, rounded_centroid)
     return r.select("tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "fpr", "f1", "balanced_accuracy", "auc")])
@@ -356,5 +361,19 @@ def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("m24_scoreboard")
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = models.stratified_folds(scalar_matrix(spark, sf_dir).cache(), 3)
-    return models.scoreboard(df, {"slopes": ["max_slope", "min_slope"], "scalars": SCALARS}, ["nearest_centroid"], k=3)
+    """Scalar, event and temporal features alone and together, the models of the scoreboard, five folds."""
+    bins, events = list(k.temporal_bin_names(8)), list(k.EVENT_FEATURES)
+    candidates = {"scalar": SCALARS, "event": events, "temporal": bins, "scalar_temporal": SCALARS + bins, "full": NAMES}
+    return models.scoreboard(models.stratified_folds(matrix(spark, sf_dir)), candidates, models.SCOREBOARD_MODELS)
+
+
+@register("m25_temporal_sweep")
+def temporal_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temporal features of 3 to 16 bins, alone and beside the scalar ones, with the models of the scoreboard."""
+    out = None
+    for n in (3, 5, 8, 12, 16):
+        df = models.stratified_folds(build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(n_bins=n))))
+        names = list(k.temporal_bin_names(n))
+        rows = models.scoreboard(df, {f"bins_{n:02d}": names, f"scalar_bins_{n:02d}": SCALARS + names}, models.SCOREBOARD_MODELS)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -318,11 +318,11 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(spark, sf_dir).select("snippet_id", "unit_id", "class_label", F.size("w").alias("n"))
 
 
-@register("s07_sorted_units", f"WITH {_S} SELECT 'f' || (snippet_id % 3) AS file, CASE WHEN unit_id BETWEEN 1 AND 5 THEN unit_id ELSE 0 END AS unit_id, count(*) AS n, round(avg(list_sum(w)), 6) + 0.0 AS mean_area FROM s WHERE snippet_id % 11 <> 0 GROUP BY ALL")
+@register("s07_sorted_units", f"WITH {_S} SELECT 'f' || (snippet_id % 3) AS file, unit_id, count(*) AS n, round(avg(list_sum(w)), 6) + 0.0 AS mean_area FROM s WHERE snippet_id % 11 <> 0 AND unit_id <= 5 GROUP BY ALL")
 def sorted_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = snippets(spark, sf_dir).select(
         F.concat(F.lit("f"), (F.col("snippet_id") % 3).cast("string")).alias("file"), F.col("snippet_id").alias("spike_index"),
-        F.when(F.col("snippet_id") % 11 != 0, F.col("snippet_id") / 30000.0).alias("newspiketimes"), F.col("w").alias("waveforms"), F.col("unit_id").cast("double").alias("unitIDs"),
+        F.when(F.col("snippet_id") % 11 != 0, F.col("snippet_id") / 30000.0).alias("newspiketimes"), F.col("w").alias("snippets"), F.col("unit_id").cast("double").alias("unitIDs"),
     )
     u = sorted_units.load_units(raw, highest=5)
     area = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
@@ -461,6 +461,11 @@ def meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.catalog(spark)
 
 
+@register("v16_feature_guide", "SELECT * FROM (VALUES " + ", ".join("('{}', {}, '{}', '{}', '{}', '{}')".format(*[str(x).replace("'", "''") for x in (n, *g)]) for n, g in catalog.GUIDE.items()) + ", " + ", ".join(f"('mad_wta_bin_{i:02d}', 2, 'max |x - median| in the window', 'uV', 'largest distance from the window''s median', 'where in time an event stands out from its surroundings')" for i in range(8)) + ") v(name, tier, formula, unit, meaning, reason)")
+def feature_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.guide(spark)
+
+
 @register("v18_top_features", f"""WITH {_LONG}, fi AS (SELECT feature, pow(avg(value) FILTER (class_label = 1) - avg(value) FILTER (class_label = 0), 2) / (var_pop(value) FILTER (class_label = 1) + var_pop(value) FILTER (class_label = 0) + 1e-12) AS fs FROM l GROUP BY feature)
 SELECT feature, round(fs, 6) AS fisher_score FROM fi ORDER BY round(fs, 12) DESC, feature LIMIT 14""")
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -505,7 +510,8 @@ def peri(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("s11_array_trains", f"WITH {_E}, u AS (SELECT unit_id, list(t) AS times FROM e GROUP BY unit_id) SELECT unit_id, round(unnest(times), 3) AS t FROM u")
 def array_trains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = trains(spark, sf_dir).groupBy("unit_id").agg(F.collect_list("t").alias("spike_times"))
+    # an array per unit and hour: no unit is gathered into one row
+    units = trains(spark, sf_dir).groupBy("unit_id", F.floor(F.col("t") / 3600)).agg(F.collect_list("t").alias("spike_times"))
     return sorted_units.explode_trains(units).select("unit_id", F.round("t", 3).alias("t"))
 
 
@@ -516,7 +522,7 @@ def column_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-@register("s17_run_listing", "SELECT DISTINCT 'run_' || strftime(ts, '%Y%m%d') AS run FROM events ORDER BY run DESC")
+@register("s17_run_listing", "SELECT DISTINCT strftime(ts, '%Y%m%d_%H%M%S') AS run FROM events ORDER BY run DESC")
 def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "events").select(F.concat(F.lit("run_"), F.date_format("ts", "yyyyMMdd")).alias("run"))
+    runs = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMdd_HHmmss").alias("run"))
     return runs.distinct().orderBy(F.desc("run"))

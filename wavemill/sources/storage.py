@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -75,23 +80,101 @@ def run_id(now: datetime | None = None) -> str:
     return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
 
 
-def make_run_dir(base: str, now: datetime | None = None) -> str:
-    return f"{base.rstrip('/')}/run_{run_id(now)}"
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, so that any store works."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def make_run_dir(spark: SparkSession, base: str, now: datetime | None = None) -> str:
+    """Create and return the folder of a run, named by its time."""
+    path = f"{base.rstrip('/')}/{run_id(now)}"
+    p, fs = _folder(spark, path)
+    fs.mkdirs(p)
+    return path
 
 
 def list_runs(spark: SparkSession, base: str) -> list[str]:
-    """Names of the run folders under ``base``, newest first."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Names of the run folders under ``base``, newest first; hidden ones are left out."""
+    p, fs = _folder(spark, base)
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted((n for n in names if n.startswith("run_")), reverse=True)
+    return sorted((n for n in names if not n.startswith(".")), reverse=True)
+
+
+def save_config(spark: SparkSession, run_dir: str, config: dict) -> str:
+    """The configuration of a run, beside its results; JSON, which YAML readers read too."""
+    path = f"{run_dir}/config_snapshot.yaml"
+    _write_text(spark, path, json.dumps(config, indent=2, sort_keys=True))
+    return path
+
+
+def read_run_table(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
+    """A table of a run by name (single_feature_ranks, feature_set_ranks, ...): Parquet if there, else JSON rows."""
+    p, fs = _folder(spark, f"{run_dir}/{name}.parquet")
+    if fs.exists(p):
+        return spark.read.parquet(f"{run_dir}/{name}.parquet")
+    return spark.read.option("multiLine", True).json(f"{run_dir}/{name}.json")
+
+
+def read_weight_bank(spark: SparkSession, run_dir: str) -> dict:
+    """Metrics of a run's stored code with its shape; the matrices of centers and widths are left out."""
+    out = read_json(spark, f"{run_dir}/weight_bank_metrics.json")
+    p, fs = _folder(spark, f"{run_dir}/weight_bank.json")
+    if fs.exists(p):
+        bank = read_json(spark, f"{run_dir}/weight_bank.json")
+        names = bank.get("feature_names", bank.get("features", []))
+        out |= {"n_bins": bank.get("n_bins"), "sigma_scale": bank.get("sigma_scale"), "feature_names": names, "n_features": len(names)}
+    return out
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """Snippets (file, snippet_id, w, class_label, unit_id) of NumPy archives, each file read by a task.
+
+    Missing labels are class 1 and unit 0. ``path`` is a file or a folder; an
+    archive must fit one task, as its format cannot be read in parts.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    w = held["waveforms"]
+                    n = len(w)
+                    label = held["class_labels"] if "class_labels" in held.files else np.ones(n, np.int32)
+                    unit = held["unit_ids"] if "unit_ids" in held.files else np.zeros(n, np.int32)
+                for at in range(0, n, 10_000):
+                    part = slice(at, at + 10_000)
+                    yield pd.DataFrame({"file": name, "snippet_id": np.arange(at, at + len(w[part])), "w": list(w[part].astype(np.float64)), "class_label": label[part].astype(np.int32), "unit_id": unit[part].astype(np.int32)})
+
+    return files.mapInPandas(rows, "file string, snippet_id long, w array<double>, class_label int, unit_id int")
+
+
+def write_npz(df: DataFrame, folder: str) -> list[str]:
+    """Snippets as NumPy archives under ``folder``, one per partition; returns their names."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        system, path = FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        held = [b for b in batches if len(b)]
+        if held:
+            rows, out = pd.concat(held), io.BytesIO()
+            np.savez_compressed(out, waveforms=np.stack(rows["w"].to_numpy()).astype(np.float32), class_labels=rows["class_label"].to_numpy(np.int32), unit_ids=rows["unit_id"].to_numpy(np.int32))
+            name = f"part-{uuid.uuid4().hex}.npz"
+            with system.open_output_stream(f"{path}/{name}", compression=None) as stream:
+                stream.write(out.getvalue())
+            yield pd.DataFrame({"name": [name]})
+
+    # one name per partition
+    return sorted(r["name"] for r in df.select("w", "class_label", "unit_id").mapInPandas(write, "name string").collect())
 
 
-def export_csv(value, spark: SparkSession, path: str) -> None:
-    """CSV of a table, a list of rows, a mapping (key, value; nested values as JSON) or one value."""
+def export_csv(value, spark: SparkSession, path: str, *, compression: str | None = None) -> None:
+    """CSV of a table, a list of rows, a mapping (key, value; nested values as JSON) or one value; ``compression`` such as gzip packs the files."""
     if isinstance(value, DataFrame):
         nested = [f.name for f in value.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
         df = value.withColumns({c: F.to_json(c) for c in nested})
@@ -101,7 +184,7 @@ def export_csv(value, spark: SparkSession, path: str) -> None:
         df = spark.createDataFrame([(k, json.dumps(v) if isinstance(v, (dict, list)) else str(v)) for k, v in value.items()], "key string, value string")
     else:
         df = spark.createDataFrame([(str(value),)], "value string")
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("compression", compression or "none").csv(path)
 
 
 def export_scoreboard(df: DataFrame, path: str) -> None:

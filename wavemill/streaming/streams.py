@@ -66,15 +66,25 @@ class Detector:
         self.window, self.multiplier, self.before, self.after, self.refractory = window, multiplier, before, after, refractory
 
     def step(self, state: tuple, index: np.ndarray, value: np.ndarray) -> tuple[tuple, list[tuple[int, list[float]]]]:
-        """(new state, found snippets) for the next samples in order. State: (indexes, values, last, pending)."""
+        """(new state, found snippets) for the next samples in order. State: (indexes, values, last, pending).
+
+        Samples that are not newer than the newest seen are late and dropped:
+        what was decided with them missing stays.
+        """
         old_i, old_v, last, pending = state
+        if len(old_i):
+            fresh = index > old_i[-1]
+            index, value = index[fresh], value[fresh]
+        if not len(index):
+            return state, []
         i, v = np.concatenate([np.array(old_i, np.int64), index]), np.concatenate([np.array(old_v, float), value])
         cum = np.concatenate([[0.0], np.cumsum(v * v)])
+        at = np.arange(len(old_i), len(i))
+        begin = np.maximum(0, at - self.window + 1)
+        rms = np.sqrt((cum[at + 1] - cum[begin]) / (at + 1 - begin))
         pending = list(pending)
-        for k in range(len(old_i), len(i)):
-            a = max(0, k - self.window + 1)
-            rms = np.sqrt((cum[k + 1] - cum[a]) / (k + 1 - a))
-            if v[k] < -self.multiplier * rms and i[k] - last >= self.refractory:
+        for k in at[v[at] < -self.multiplier * rms].tolist():  # crossings only
+            if i[k] - last >= self.refractory:
                 last = int(i[k])
                 pending.append(last)
         found, waiting = [], []
@@ -91,7 +101,7 @@ class Detector:
 
 
 def detect(signal: DataFrame, detector: Detector = Detector()) -> DataFrame:
-    """Snippets around threshold crossings of a stream (channel, sample_index, value), per channel in arrival order."""
+    """Snippets around threshold crossings of a stream (channel, sample_index, value), per channel; late samples are dropped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else ([], [], -(1 << 60), [])
