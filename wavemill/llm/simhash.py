@@ -317,7 +317,7 @@ def _similar_components(docs: DataFrame, id_col: str, text_col: str, width: int,
     prints = similar.sketches(rows, width=width, similarity=similarity)
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     labels = connected(similar.similar_links(rows, prints, width=width, similarity=similarity))
-    return prints.drop("size", "prefix"), _rooted(distinct, labels)
+    return prints.drop("size", "bands"), _rooted(distinct, labels)
 
 
 def _rooted(distinct: DataFrame, labels: DataFrame) -> DataFrame:
