@@ -169,40 +169,57 @@ def trigram_query(pattern: str) -> Clauses:
 _FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
 
 
+def _rarity(gram: str) -> tuple[int, str]:
+    return -sum(_FREQUENT.find(c) if c in _FREQUENT else len(_FREQUENT) for c in gram), gram
+
+
 def rare_query(clauses: Clauses, per_clause: int = 2) -> Clauses:
     """Every clause with its rarest trigrams only: any part of a clause is mandatory too, so no match is lost.
 
     Rare is judged by the letters, so that the index holds few long lists.
     """
-
-    def rarity(gram: str) -> tuple[int, str]:
-        return -sum(_FREQUENT.find(c) if c in _FREQUENT else len(_FREQUENT) for c in gram), gram
-
-    return _minimal([frozenset(sorted(c, key=rarity)[:per_clause]) for c in clauses])
+    return _minimal([frozenset(sorted(c, key=_rarity)[:per_clause]) for c in clauses])
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def build_postings(docs: DataFrame, trigrams: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_postings(docs: DataFrame, clauses: Clauses | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The inverted index: one row (trigram, key) per distinct trigram of a document, folded to lower case.
 
-    With ``trigrams`` the postings of these only: a rule set can read no others.
-    Without, those of every trigram of the text. Null texts have none.
+    With ``clauses`` only the postings that a clause can use: those of its
+    trigrams in documents that hold them all. The rarest trigram of a clause is
+    looked for first and the others only where it stands, so a text is read
+    about once per clause. Without, the postings of every trigram of the text.
+    Null texts have none.
     """
     # folded once, in a projection of its own
     low = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.lower(F.col(text_col)).alias("low"))
-    if trigrams is None:
+    if clauses is None:
         return low.select("key", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("trigram"))
-    # one flag per trigram, in as many 62-bit words as it takes; rows without any are gone before they are exploded
-    words = [trigrams[i : i + 62] for i in range(0, len(trigrams), 62)]
+    # clauses with an underscore are tried only where the text has one
+    seen = low.select("key", "low", F.col("low").contains("_").alias("under"))
+
+    def holds(clause: frozenset[str]) -> Column:
+        tests = [F.col("low").contains(t) for t in sorted(clause, key=_rarity)]
+        return reduce(lambda a, b: a & b, [F.col("under"), *tests] if any("_" in t for t in clause) else tests)
+
+    words = [clauses[i : i + 62] for i in range(0, len(clauses), 62)]
+
+    def flags(word: Clauses) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(holds(c), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(word)])
 
-    def flags(word: list[str]) -> Column:
-        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("low").contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(word)])
+    def any_of(x: list[Column]) -> Column:
+        return reduce(lambda a, b: a | b, x)
 
-    flagged = low.select("key", *[flags(w).alias(f"w{k}") for k, w in enumerate(words)]).where(reduce(lambda a, b: a | b, [F.col(f"w{k}") != 0 for k in range(len(words))]))
-    held = [F.when(F.col(f"w{k}").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(t)) for k, w in enumerate(words) for i, t in enumerate(w)]
+    flagged = seen.select("key", *[flags(w).alias(f"w{k}") for k, w in enumerate(words)]).where(any_of([F.col(f"w{k}") != 0 for k in range(len(words))]))
+    of: dict[str, list[Column]] = {}
+    for k, w in enumerate(words):
+        for i, c in enumerate(w):
+            for t in c:
+                of.setdefault(t, []).append(F.col(f"w{k}").bitwiseAND(F.lit(1 << i).cast("long")) != 0)
+    held = [F.when(any_of(x), F.lit(t)) for t, x in sorted(of.items())]
     return flagged.select("key", F.explode(F.array_compact(F.array(*held))).alias("trigram"))
 
 
@@ -266,8 +283,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = ALL_RULES, *, id_col
     names = [c for c in docs.columns if c.lower() != out_col.lower()]
     key, kinds = fresh("__key", docs), fresh("__kinds", docs)
     if indexed:
-        vocabulary = sorted({t for clauses in indexed.values() for c in clauses for t in c})
-        found = candidates(build_postings(docs.select(id_col, text_col), vocabulary, id_col=id_col, text_col=text_col), indexed)
+        clauses = sorted({c for q in indexed.values() for c in q}, key=sorted)
+        found = candidates(build_postings(docs.select(id_col, text_col), clauses, id_col=id_col, text_col=text_col), indexed)
         found = materialize(found.withColumnsRenamed({"key": key, "kinds": kinds}))
         docs = docs.withColumn(key, row_key(id_col, text_col)).join(broadcast_if_small(found, small_rows), key, "left")
     empty = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
