@@ -111,3 +111,38 @@ FROM d LEFT JOIN agg USING (k)
 
 
 ORACLES["op1_trigram_secrets"] = _secrets_sql()
+
+
+def _contamination_sql() -> str:
+    """Windows of one to ten words as strings, joined to the windows of the items."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    leads = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, 10))
+    keys = " UNION ALL ".join(
+        f"SELECT k, p, {n} AS n, concat_ws(' ', {', '.join(['w', *[f'w{i}' for i in range(1, n)]])}) AS key FROM pos WHERE {f'w{n - 1}' if n > 1 else 'w'} IS NOT NULL AND {n} IN (SELECT n FROM win)"
+        for n in range(1, 11)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS ws FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[p:p + least(10, len(ws)) - 1], ' ') AS key
+        FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS p FROM i WHERE len(ws) > 0)),
+one AS (SELECT k, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+pos AS (SELECT k, p, w, {leads} FROM one WINDOW o AS (PARTITION BY k ORDER BY p)),
+hit AS (SELECT k, p, n, item FROM ({keys}) JOIN win USING (n, key)),
+cover AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS q FROM hit) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM hit) GROUP BY k)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (k) LEFT JOIN items USING (k)
+"""
+
+
+ORACLES["op6_fm_decontamination"] = _contamination_sql()
+
+#: What the archives must give back, from the pages themselves.
+ORACLES["op9_warc_round_trip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+s AS (SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, max(page_id) OVER (PARTITION BY t) AS last FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM r
+"""
