@@ -320,10 +320,23 @@ def nmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.nmi(metrics.contingency(clustered(spark, sf_dir))).select(r6("nmi").alias("nmi"))
 
 
-@register("a23_matched_accuracy")
+def _matched_sql(units: int = 9) -> str:
+    """The best one-to-one matching by dynamic programming over sets of used clusters, one step per unit."""
+    steps = ["m0 AS (SELECT CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS total)"]
+    for i in range(1, units + 1):
+        steps.append(
+            f"m{i} AS (SELECT mask, max(total) AS total FROM (SELECT mask, total FROM m{i - 1} UNION ALL "
+            f"SELECT mask + (1 << cluster), total + n FROM m{i - 1} JOIN t ON truth = {i} AND mask & (1 << cluster) = 0) GROUP BY mask)"
+        )
+    return f"WITH {_CLUSTERED}, {', '.join(steps)} SELECT matched, total, round(matched / total, 6) AS matched_accuracy FROM (SELECT CAST(max(total) AS BIGINT) AS matched FROM m{units}), (SELECT CAST(sum(n) AS BIGINT) AS total FROM t)"
+
+
+@register("a23_matched_accuracy", _matched_sql())
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accuracy, pairs = metrics.matched_accuracy(metrics.contingency(clustered(spark, sf_dir)))
-    return spark.createDataFrame([(accuracy, c, t) for c, t in sorted(pairs.items())], "matched_accuracy double, cluster int, unit int")
+    table = materialize(metrics.contingency(clustered(spark, sf_dir)))
+    accuracy, _ = metrics.matched_accuracy(table)
+    total = table.agg(F.sum("n")).first()[0]
+    return spark.createDataFrame([(round(accuracy * total), total, round(accuracy, 6))], "matched long, total long, matched_accuracy double")
 
 
 @register("m21_lloyd_step", f"""WITH {sql.SNIPPETS}, ce AS (SELECT CAST(snippet_id AS INTEGER) AS cluster_id, w AS center FROM s WHERE snippet_id < 5)

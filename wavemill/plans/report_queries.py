@@ -351,9 +351,16 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("channel", "quality_code", "n_sua", F.array_join(F.col("cluster_ids").cast("array<string>"), "|").alias("ids"))
 
 
-@register("s12_procedural_counts")
+@register("s12_procedural_counts", """SELECT unit_id, 1 AS class_label, kind, 300 AS n, TRUE AS in_range FROM (VALUES (1, 'fast-spiking'), (2, 'regular-spiking'), (3, 'intermediate')) v(unit_id, kind)
+UNION ALL SELECT 0, 0, kind, 300 // 4, TRUE FROM (VALUES ('gaussian'), ('colored'), ('clipped'), ('irregular')) v(kind)""")
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.generate(spark).groupBy("unit_id", "class_label", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.array_min("w"))).alias("mean_trough"))
+    """Rows per unit and noise type, and whether all drawn parameters lie in the ranges of their kind."""
+    inside = F.lit(True)
+    for name, ranges in synth.CELL_TYPES.items():
+        for parameter, (low, high) in ranges.items():
+            inside = inside & F.when(F.col("kind") == name, F.col(parameter).between(low, high)).otherwise(F.lit(True))
+    inside = inside & F.coalesce(F.col("amplitude").between(*synth.NOISE_AMPLITUDE), F.lit(True)) & F.coalesce(F.col("noise_std").between(0, 10), F.lit(True)) & (F.size("w") == 64)
+    return synth.generate(spark).groupBy("unit_id", "class_label", "kind").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"))
 
 
 # --- alignment and generation -----------------------------------------------------------------------------
