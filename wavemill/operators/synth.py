@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) from a hash; the same on every run and partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) from a hash that any engine can repeat; the same on every run and partitioning."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def normal(seed: int, *keys: Column) -> Column:

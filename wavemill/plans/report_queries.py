@@ -427,16 +427,37 @@ def biphasic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("amp", F.posexplode(synth.biphasic(amp_neg=F.col("amp"))).alias("pos", "v")).select("amp", "pos", (r6("v") + 0.0).alias("value"))
 
 
-@register("g07_noise_types")
+def _u(*keys: object) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', 42, {', '.join(map(str, keys))})), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+def _n(*keys: object) -> str:
+    return f"sqrt(-2 * ln(1 - {_u(1, *keys)})) * cos(2 * pi() * {_u(2, *keys)})"
+
+
+_NOISE_SQL = f"""WITH i AS (SELECT unnest(range(50)) AS id), x AS (SELECT id, CAST(unnest(range(64)) AS DOUBLE) AS t FROM i),
+ga AS (SELECT id, max(({_n('id', 't')}) * 50 / 3) AS peak FROM x GROUP BY id),
+st AS (SELECT id, (({_n('id', 't + 1')}) - ({_n('id', 't')})) * 50 / 3 AS v FROM x),
+co AS (SELECT id, max(v) * 50 / (stddev_pop(v) + 1e-12) AS peak FROM st GROUP BY id),
+cl AS (SELECT id, max(sign(sin(2 * pi() * t / p)) * l) AS peak FROM (SELECT *, floor(8 + 12 * ({_u('id', 3)})) AS p, 50 * (0.3 + 0.7 * ({_u('id', 4)})) AS l FROM x) GROUP BY id),
+bu AS (SELECT id, unnest(range(1, 4 + CAST(floor(4 * ({_u('id', 5)})) AS INTEGER))) AS b FROM i),
+bp AS (SELECT id, 64 * ({_u('id', 'b', 6)}) AS mu, 2 + 8 * ({_u('id', 'b', 7)}) AS s, 50 * (2 * ({_u('id', 'b', 8)}) - 1) AS a FROM bu),
+ir AS (SELECT id, max(v) AS peak FROM (SELECT x.id, t, sum(a * exp(-0.5 * pow((t - mu) / s, 2))) AS v FROM x JOIN bp USING (id) GROUP BY ALL) GROUP BY id)
+SELECT kind, id, round(peak, 6) + 0.0 AS peak FROM (SELECT 'gaussian' AS kind, * FROM ga UNION ALL SELECT 'colored', * FROM co UNION ALL SELECT 'clipped', * FROM cl UNION ALL SELECT 'irregular', * FROM ir)"""
+
+
+@register("g07_noise_types", _NOISE_SQL)
 def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [spark.range(50).select(F.lit(n).alias("kind"), "id", r6(F.array_max(synth.noise(n, F.col("id")))).alias("peak")) for n in synth.NOISE_TYPES]
+    parts = [spark.range(50).select(F.lit(n).alias("kind"), "id", (r6(F.array_max(synth.noise(n, F.col("id")))) + 0.0).alias("peak")) for n in synth.NOISE_TYPES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@register("g08_stress_levels")
+@register("g08_stress_levels", f"""WITH {_S}, lv AS (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS scale), nv AS (SELECT unnest([0.0, 0.05]::DOUBLE[]) AS noise),
+x AS (SELECT snippet_id, w[i + 1] AS v, i FROM (SELECT *, unnest(range(len(w))) AS i FROM s))
+SELECT scale, noise, count(*) AS n, round(avg(m), 6) AS mean_trough FROM (SELECT snippet_id, scale, noise, min(v * scale + noise * ({_n('snippet_id', 'scale', 'noise', 'i')})) AS m FROM x, lv, nv GROUP BY ALL) GROUP BY scale, noise""")
 def stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = synth.stressed(snippets(spark, sf_dir), [0.5, 1.0, 2.0], [0.0, 0.05])
     return s.groupBy("scale", "noise").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.array_min("w"))).alias("mean_trough"))
