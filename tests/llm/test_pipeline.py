@@ -51,6 +51,22 @@ def test_run(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+def test_stages_on_edge_rows(spark, folder):
+    """Nulls, empty texts, repeated rows, ties, further columns with clashing names, and an empty table."""
+    long = " ".join(f"u{i}" for i in range(30_000))
+    rows = [(1, sentence(1, 120), "en", "s", None, "c", "c"), (1, sentence(1, 120), "en", "s", None, "c", "c"), (1, sentence(700, 90), "en", "s", None, "c", "c"), (None, sentence(40, 50), None, None, None, "c", "c")]
+    rows += [(5, None, None, None, None, None, None), (6, "", "en", "s", 0, "c", "c"), (7, long, "fr", "s", len(long), "c", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, metrics string, fingerprint string")
+    for start in (docs, docs.limit(0)):
+        got = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, got, folder)
+            assert got.columns == docs.columns, name
+        texts = sorted(r["text"] for r in got.collect())
+        assert texts == (sorted([sentence(1, 120), sentence(700, 90), sentence(40, 50), long]) if start is docs else [])
+    assert corpus_pipeline.pack(spark, docs.limit(0), folder).count() == 0
+
+
 def test_scratch_is_dropped(spark):
     from wavemill.llm import common
 
