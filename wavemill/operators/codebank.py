@@ -97,12 +97,18 @@ def activation(x: Column, centers: tuple[float, ...], widths: tuple[float, ...])
     return F.zip_with(_array(centers), _array(widths), curve)
 
 
+def _largest_activation(x: Column, centers: tuple[float, ...], widths: tuple[float, ...]) -> Column:
+    """The activation of the bin whose scaled distance is least, without arrays, so that it is compiled."""
+    scaled = [(x - float(c)) / (float(s) + 1e-10) for c, s in zip(centers, widths)]
+    return F.exp(-0.5 * F.least(*[d * d for d in scaled]))
+
+
 def score(bank: CodeBank) -> Column:
     """Weighted mean over features of the largest activation; 0 if the weights sum to 0."""
     total = sum(bank.weights)
     if total <= 0:
         return F.lit(0.0)
-    parts = [F.array_max(activation(F.col(f), c, s)) * float(w) for f, c, s, w in zip(bank.features, bank.centers, bank.widths, bank.weights)]
+    parts = [_largest_activation(F.col(f), c, s) * float(w) for f, c, s, w in zip(bank.features, bank.centers, bank.widths, bank.weights)]
     return sum(parts[1:], parts[0]) / total
 
 
