@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, divergence, langid, packing, pii, quality, secrets, sharding, simhash, warc
+from . import chat, decontam, divergence, langid, packing, phrases, pii, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,14 @@ def op10_preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_preference_turns"] = chat.ORACLE
 
 
+@_register
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrase_collocations"] = phrases.ORACLE
+
+
 @_register
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
