@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, divergence, langid, packing, phrases, pii, quality, secrets, sharding, simhash, warc
+from . import chat, decontam, divergence, langid, packing, phrases, pieces, pii, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The public sentence piece model on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @_register
 def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
@@ -83,6 +90,11 @@ def op10_preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_preference_turns"] = chat.ORACLE
 
 
+@_register
+def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), piece_model_path())
+
+
 @_register
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
