@@ -129,7 +129,7 @@ def test_folds_splits_and_samples(blobs):
 
 
 def test_feature_set_ranking_reports_failures(blobs):
-    rows = models.feature_set_ranks(models.stratified_folds(blobs, 2), {"good": NAMES, "bad": ["absent"]}, ["nearest_centroid"], k=2)
+    rows = models.feature_set_ranks(models.stratified_folds(blobs, 2), {"good": NAMES, "bad": ["absent"]}, ["nearest_centroid"])
     assert rows[0]["set_name"] == "good" and rows[1]["error"] and [r["rank"] for r in rows] == [1, 2]
 
 

@@ -7,41 +7,119 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.scratch import materialize
 from . import codebank, features as feats, metrics, neighbors
 
 
-def _seeds(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Starting centers among the rows, each drawn by its squared distance from the nearest one before."""
-    centers = [rows[rng.integers(len(rows))]]
-    near = ((rows - centers[0]) ** 2).sum(1)
-    while len(centers) < k:
-        total = near.sum()
-        centers.append(rows[rng.choice(len(rows), p=near / total) if total > 0 else rng.integers(len(rows))])
-        near = np.minimum(near, ((rows - centers[-1]) ** 2).sum(1))
-    return np.stack(centers)
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0.0)
 
 
-def kmeans(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "activations", out_col: str = "cluster_id", n_init: int = 10, max_iter: int = 300, seed: int = 42, seed_rows: int = 10_000) -> tuple[DataFrame, float]:
-    """``df`` with a cluster number, and the inertia of the best of ``n_init`` starts.
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) from row hashes, others for each salt; fixed values are those of the published 64-bit finaliser."""
+    x = h.astype(np.int64).view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
 
-    All starts move in the same passes: a task adds up its rows per start and
-    cluster, and what is moved is one vector per task, start and cluster. Starts
-    that stand still take no further part. Starting centers are drawn from
-    about ``seed_rows`` rows chosen by id hash; all rows are clustered.
+def _draw(rows: DataFrame, chosen: list[np.ndarray], n: int, salt: int) -> list[np.ndarray]:
+    """For every start ``n`` rows, drawn by squared distance from the start's chosen ones (evenly where there are none), in one pass.
+
+    A row's key is log(u) / weight; the largest keys of all rows are a weighted
+    draw without replacement, so tasks keep their largest only.
     """
-    share = min(1.0, seed_rows / max(1, df.count()))
-    sample = df.where(F.pmod(F.xxhash64(id_col), F.lit(2**32)) < int(share * 2**32)).select(id_col, vector_col).toPandas().sort_values(id_col)
-    if sample.empty:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, list] = {}
+        for pdf in batches:
+            x, h = np.stack(pdf["v"].to_numpy()).astype(float), pdf["h"].to_numpy()
+            for s, have in enumerate(chosen):
+                weight = _squares(x, have).min(1) if len(have) else np.ones(len(x))
+                if len(have):
+                    weight[weight <= 1e-12 * (1 + (x * x).sum(1))] = 0  # rounding of the product
+                at = np.flatnonzero(weight > 0)
+                key = np.log(_uniform(h[at], salt + s)) / weight[at]
+                old = best.get(s, [np.zeros(0), np.zeros(0, np.int64), np.zeros((0, x.shape[1]))])
+                key, own, vec = np.concatenate([old[0], key]), np.concatenate([old[1], h[at]]), np.concatenate([old[2], x[at]])
+                top = np.lexsort((own, -key))[:n]
+                best[s] = [key[top], own[top], vec[top]]
+        for s, (key, own, vec) in best.items():
+            if not len(key):
+                continue
+            yield pd.DataFrame({"start": s, "key": key, "h": own, "v": list(vec)})
+
+    order = W.partitionBy("start").orderBy(F.desc("key"), "h")
+    top = rows.mapInPandas(run, "start int, key double, h long, v array<double>").withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+    out: list[list] = [[] for _ in chosen]
+    for r in top.orderBy("start", "r").collect():  # starts x n
+        out[r["start"]].append(r["v"])
+    return [np.array(v, float).reshape(-1, have.shape[1]) for v, have in zip(out, chosen)]
+
+
+def _weighted_seeds(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator, steps: int = 20) -> np.ndarray:
+    """``k`` centers of weighted points: drawn by weight and squared distance, best of a few tries each, then moved."""
+    centers = points[[rng.choice(len(points), p=weights / weights.sum())]]
+    near = _squares(points, centers)[:, 0]
+    tries = 2 + int(np.log(max(k, 1)))
+    while len(centers) < k:
+        mass = weights * near
+        total = mass.sum()
+        picks = rng.choice(len(points), tries, p=mass / total) if total > 0 else rng.integers(len(points), size=1)
+        after = np.minimum(near[:, None], _squares(points, points[picks]))
+        best = int(np.argmin(weights @ after))
+        centers, near = np.vstack([centers, points[picks[best]]]), after[:, best]
+    for _ in range(steps):
+        member = np.eye(k)[_squares(points, centers).argmin(1)] * weights[:, None]
+        n = member.sum(0)[:, None]
+        centers = np.where(n > 0, member.T @ points / np.maximum(n, 1e-300), centers)
+    return centers
+
+
+def seed_centers(rows: DataFrame, k: int, starts: int, *, rounds: int = 4, seed: int = 42) -> np.ndarray:
+    """Starting centers (starts, k, dimensions) from all rows (h, v), by oversampling in parallel rounds.
+
+    Each round draws 2 k rows per start, all starts in one pass; one more pass
+    counts the rows nearest to every drawn one, and the few weighted rows are
+    reduced to k on the driver (starts x (1 + 2 k rounds) vectors).
+    """
+    first = rows.select("v").first()
+    if first is None:
         raise ValueError("no rows to cluster")
-    rows = np.stack(sample[vector_col].to_numpy()).astype(float)
-    centers = np.stack([_seeds(rows, k, np.random.default_rng(seed + i)) for i in range(n_init)])
-    d = centers.shape[2]
+    chosen = [np.zeros((0, len(first["v"])))] * starts
+    for r in range(rounds + 1):
+        drawn = _draw(rows, chosen, 1 if r == 0 else 2 * k, seed * 1_000_003 + r * 1_009)
+        chosen = [np.concatenate([a, b]) for a, b in zip(chosen, drawn)]
+    size = max(len(c) for c in chosen)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((starts, size))
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_numpy()).astype(float)
+            for s, have in enumerate(chosen):
+                total[s] += np.bincount(_squares(x, have).argmin(1), minlength=size)
+        yield pd.DataFrame({"n": [total.ravel()]})
+
+    weights = np.zeros(starts * size)
+    for r in rows.select("v").mapInPandas(count, "n array<double>").select(F.posexplode("n").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect():
+        weights[r["pos"]] = r["n"]
+    weights = weights.reshape(starts, size)
+    return np.stack([_weighted_seeds(c, weights[s, : len(c)], k, np.random.default_rng(seed + s)) for s, c in enumerate(chosen)])
+
+
+def kmeans(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "activations", out_col: str = "cluster_id", n_init: int = 10, max_iter: int = 300, seed: int = 42, rounds: int = 4) -> tuple[DataFrame, float]:
+    """``df`` with a cluster number, and the inertia of the best of ``n_init`` starts.
 
-    def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0.0)
+    Starting centers come from all rows (``seed_centers``). All starts move in the
+    same passes: a task adds up its rows per start and cluster, and what is moved
+    is one vector per task, start and cluster. Starts that stand still take no
+    further part.
+    """
+    rows = df.select(F.xxhash64(id_col).alias("h"), F.col(vector_col).cast("array<double>").alias("v"))
+    centers, squares = seed_centers(rows, k, n_init, rounds=rounds, seed=seed), _squares
+    d = centers.shape[2]
 
     def passed(moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums (start, cluster, [rows, vector]) and inertia by start of all rows at the present centers."""

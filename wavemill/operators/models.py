@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.scratch import broadcast_if_small, exact_quantiles, fresh, materialize, numbered
-from . import codebank, metrics, neighbors
+from . import candidates, codebank, metrics, neighbors
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -369,24 +369,19 @@ def single_feature_models(df: DataFrame, names: list[str], *, k: int = 5, label:
     return out
 
 
-def feature_set_ranks(df: DataFrame, sets: dict[str, list[str]], models: list[str], *, k: int = 5, label: str = "class_label", id_col: str = "snippet_id") -> list[dict]:
-    """One row per set and model with the set's silhouette, best balanced accuracy first; a failing fit is a row with its error."""
-    rows = []
-    for set_name, names in sets.items():
-        if not names:
-            continue
-        silhouette = None
-        if set(names) <= set(df.columns):
-            vectors = df.select(id_col, label, _vector(names).alias("__v"))
-            silhouette = neighbors.silhouette(vectors, id_col=id_col, vector_col="__v", label_col=label).first()["silhouette"]
-        for model in models:
-            row = {"set_name": set_name, "n_features_in_set": len(names), "features_used": ",".join(names), "model": model, "balanced_acc_mean": None, "balanced_acc_std": None, "silhouette": silhouette, "error": None}
-            try:
-                r = fold_summary(cross_validated(df, names, model, k=k, label=label, id_col=id_col)).first()
-                row |= {"balanced_acc_mean": r["balanced_acc_mean"], "balanced_acc_std": r["balanced_acc_std"]}
-            except Exception as e:  # a set's failure is a result of the ranking
-                row["error"] = str(e).split("\n")[0][:200]
-            rows.append(row)
+def feature_set_ranks(df: DataFrame, sets: dict[str, list[str]], models: list[str], *, label: str = "class_label", id_col: str = "snippet_id") -> list[dict]:
+    """One row per set and model with the set's silhouette, best balanced accuracy first; a failing fit is a row with its error.
+
+    All sets, models and folds share their passes. Features are taken as they are.
+    """
+    told = candidates.board(df, [candidates.Candidate(n, f) for n, f in sets.items() if f], models, label=label, unit_col=None, id_col=id_col, scaled=False)
+    rows = [
+        {
+            "set_name": r["candidate"], "n_features_in_set": r["n_features"], "features_used": ",".join(r["features"]), "model": r["model"],
+            "balanced_acc_mean": r["balanced_acc_mean"], "balanced_acc_std": r["balanced_acc_std"], "silhouette": r["silhouette_class"], "error": r["error"],
+        }
+        for r in told.collect()  # sets x models
+    ]
     rows.sort(key=lambda r: (-(r["balanced_acc_mean"] if r["balanced_acc_mean"] is not None else -1.0), r["set_name"], r["model"]))
     return [r | {"rank": i + 1} for i, r in enumerate(rows)]
 
@@ -440,19 +435,3 @@ def holdout_evaluation(df: DataFrame, names: list[str], model: str | Fit, **opti
     a, p = F.col(label), F.col("predicted")
     counts = scored.agg(*[c.alias(n) for n, c in metrics.confusion(a, p).items()], metrics.f1(a, p).alias("f1"))
     return counts.crossJoin(metrics.balanced_accuracy(scored, actual=label)).crossJoin(metrics.roc_auc(scored, label=label))
-
-
-def scoreboard(df: DataFrame, candidates: dict[str, list[str]], models: list[str], *, k: int = 5, label: str = "class_label", unit_col: str = "unit_id") -> DataFrame:
-    """One row per candidate and model: cross-validated balanced accuracy and AUC, and the silhouettes of the
-    candidate's standardized features by class and by unit; best first."""
-    spark, rows = df.sparkSession, []
-    for name, features in candidates.items():
-        vectors = standardized(df, features).withColumn("__v", _vector(features))
-        by_class = neighbors.silhouette(vectors, vector_col="__v", label_col=label).first()["silhouette"]
-        by_unit = neighbors.silhouette(vectors.where(F.col(unit_col) > 0), vector_col="__v", label_col=unit_col).first()["silhouette"]
-        for model in models:
-            scored = cross_validated(df, features, model, k=k, label=label)
-            r, auc = fold_summary(scored).first(), metrics.roc_auc(scored, label=label).first()["auc"]
-            rows.append((name, model, len(features), features, r["balanced_acc_mean"], r["balanced_acc_std"], auc, by_class, by_unit))
-    schema = "candidate string, model string, n_features int, features array<string>, balanced_acc_mean double, balanced_acc_std double, auc double, silhouette_class double, silhouette_units double"
-    return spark.createDataFrame(rows, schema).orderBy(F.desc_nulls_last("balanced_acc_mean"), F.desc_nulls_last("auc"), "candidate", "model")

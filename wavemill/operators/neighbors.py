@@ -1,6 +1,7 @@
-"""Nearest neighbours and silhouettes by tiles of rows.
+"""Nearest neighbours by a metric index; votes across folds and silhouettes by tiles of rows.
 
-Rows are dealt into blocks; every pair of blocks is one bounded task that
+A silhouette needs the sums of all distances, and votes search a space per fold
+or feature, so these compare all blocks: rows are dealt into blocks; every pair of blocks is one bounded task that
 compares vectors in numpy and keeps only each row's best candidates (or its sums
 per cluster). Pairs of rows are never emitted. A row is sent once per block and
 side, so large blocks keep the copies few; within a task, distances are made for
@@ -13,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from . import metric_index
+
 _DIGITS = 9
 #: Distances that one task holds at a time: 16 MB.
 _CELLS = 2_000_000
@@ -71,22 +74,17 @@ def _block_pairs(df: DataFrame, cols: list[str], id_col: str, block_rows: int) -
     return query.unionAll(base)
 
 
-def knn(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "w", block_rows: int = 16384) -> DataFrame:
-    """(id, neighbor_id, distance, rank): the ``k`` nearest other rows, ties by id. Ids must be unique."""
+def knn(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "w", block_rows: int = 16384, report: list | None = None) -> DataFrame:
+    """(id, neighbor_id, distance, rank): the ``k`` nearest other rows, ties by id, by the metric index. Ids must be unique.
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values(id_col)
-        if q.empty or b.empty:
-            return pd.DataFrame({"id": [], "neighbor_id": [], "distance": []}, dtype=float).astype({"id": "int64", "neighbor_id": "int64"})
-        ids, own = b[id_col].to_numpy(), q[id_col].to_numpy()
-        # one more than wanted: a row's own place may be among them
-        r, c, d = _nearest(_matrix(q[vector_col]), _matrix(b[vector_col]), k + 1)
-        out = pd.DataFrame({"id": own[r], "neighbor_id": ids[c], "distance": d})
-        return out[out["id"] != out["neighbor_id"]]
-
-    found = _block_pairs(df, [id_col, vector_col], id_col, block_rows).groupBy("q", "o").applyInPandas(best, "id long, neighbor_id long, distance double")
+    ``report`` gets the number of visits of every round.
+    """
+    own, members, n = metric_index.distinct_vectors(df, k + 1, id_col=id_col, vector_col=vector_col)
+    index = metric_index.build(own, n, block_rows=block_rows)
+    found = metric_index.search(index, own, k + 1, report=report)  # a row's own place may be among them
+    pairs = members.join(found, "rep").where(F.col("id") != F.col("neighbor_id"))
     nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return pairs.select("id", "neighbor_id", "distance", F.row_number().over(nearest).alias("rank")).where(F.col("rank") <= k)
 
 
 def fold_votes(df: DataFrame, k: int = 5, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "class_label", fold_col: str = "fold", per_dimension: bool = False, block_rows: int = 4096) -> DataFrame:
@@ -145,25 +143,13 @@ def knn_purity_sweep(df: DataFrame, ks: list[int], *, by_label: bool = False, **
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "class_label", block_rows: int = 16384) -> DataFrame:
     """(id, predicted): majority label of the k nearest training rows, the smallest label on ties."""
-    cols = [id_col, vector_col, label_col]
-    blocks = max(1, -(-train.count() // block_rows))
-    parts = max(1, -(-test.count() // block_rows))
-    base = train.select(*cols).withColumn("o", F.pmod(F.xxhash64(id_col), F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("is_query", F.lit(False))
-    query = test.select(id_col, vector_col, F.lit(None).cast(train.schema[label_col].dataType).alias(label_col)).withColumn("q", F.pmod(F.xxhash64(id_col), F.lit(parts)))
-    query = query.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("is_query", F.lit(True))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values(id_col)
-        if q.empty or b.empty:
-            return pd.DataFrame({"id": [], "neighbor_id": [], "label": [], "distance": []}, dtype=float).astype({"id": "int64", "neighbor_id": "int64", "label": "int64"})
-        r, at, d = _nearest(_matrix(q[vector_col]), _matrix(b[vector_col]), k)
-        return pd.DataFrame({"id": q[id_col].to_numpy()[r], "neighbor_id": b[id_col].to_numpy()[at], "label": b[label_col].to_numpy(np.int64)[at], "distance": d})
-
-    names = [*cols, "q", "o", "is_query"]
-    found = base.select(*names).unionAll(query.select(*names)).groupBy("q", "o").applyInPandas(best, "id long, neighbor_id long, label long, distance double")
-    nearest = W.partitionBy("id").orderBy("distance", "neighbor_id")
-    votes = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("predicted"))
+    own, _, n = metric_index.distinct_vectors(train, k, id_col=id_col, vector_col=vector_col)
+    asked, members, _ = metric_index.distinct_vectors(test, 1, id_col=id_col, vector_col=vector_col)
+    found = metric_index.search(metric_index.build(own, n, block_rows=block_rows), asked, k)
+    labels = train.select(F.col(id_col).cast("long").alias("neighbor_id"), F.col(label_col).alias("label"))
+    votes = found.join(labels, "neighbor_id").groupBy("rep", "label").agg(F.count(F.lit(1)).alias("n"))
+    told = votes.groupBy("rep").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("predicted"))
+    return members.join(told, "rep").select("id", "predicted")
 
 
 def silhouette(df: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "w", label_col: str = "unit_id", block_rows: int = 16384) -> DataFrame:
@@ -195,3 +181,80 @@ def silhouette(df: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "
     per = mean.groupBy("id").agg(inside.alias("a"), outside.alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return per.agg(F.avg(value).alias("silhouette"))
+
+
+def _tiles(df: DataFrame, id_col: str, block_rows: int) -> DataFrame:
+    return _block_pairs(df, df.columns, id_col, block_rows)
+
+
+def set_votes(df: DataFrame, names: list[str], sets: dict[int, list[int]], means: dict[int, np.ndarray], scales: dict[int, np.ndarray], k: int = 5, *, id_col: str = "snippet_id", label_col: str = "class_label", fold_col: str = "fold", block_rows: int = 4096) -> DataFrame:
+    """(candidate, id, score): share of label 1 among the ``k`` nearest rows of other folds, for many sets of features in one search.
+
+    A row is compared in the scale of its own fold's training rows. Ties by id.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("y"), F.col(fold_col).cast("long").alias("fold"), *names)
+    schema = "candidate int, id long, neighbor_id long, label long, distance double"
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values("id")
+        parts = [pd.DataFrame({c: [] for c in ("candidate", "id", "neighbor_id", "label", "distance")}, dtype=float).astype({"candidate": "int32", "id": "int64", "neighbor_id": "int64", "label": "int64"})]
+        for f in sorted(q["fold"].unique().tolist()):
+            mine, other = q[q["fold"] == f], b[b["fold"] != f]
+            if other.empty:
+                continue
+            x, z = ((t[names].to_numpy(float) - means[f]) / scales[f] for t in (mine, other))
+            own, ids, label = mine["id"].to_numpy(), other["id"].to_numpy(), other["y"].to_numpy()
+            for c, at in sets.items():
+                r, n, d = _nearest(x[:, at], z[:, at], k)
+                parts.append(pd.DataFrame({"candidate": np.int32(c), "id": own[r], "neighbor_id": ids[n], "label": label[n], "distance": d}))
+        return pd.concat(parts)
+
+    found = _tiles(rows, "id", block_rows).groupBy("q", "o").applyInPandas(best, schema)
+    nearest = W.partitionBy("candidate", "id").orderBy("distance", "neighbor_id")
+    top = found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return top.groupBy("candidate", "id").agg(F.avg((F.col("label") == 1).cast("double")).alias("score"))
+
+
+def set_silhouettes(df: DataFrame, names: list[str], sets: dict[int, list[int]], labels: list[str], *, scaled: bool = True, block_rows: int = 4096) -> dict[tuple[int, str], float | None]:
+    """Mean silhouette per set of features and labelling, for all of them in one pass over the tiles.
+
+    ``df`` has a unique whole-number ``id``. Features are scaled over the rows a
+    labelling covers (those where it is not null), unless told not to be; constant ones count nothing.
+    Tasks of the second step add up; the driver gets one number per set and labelling.
+    """
+    moments = df.agg(*[f(F.when(F.col(lab).isNotNull(), F.col(n))).alias(f"{kind}{i}_{j}") for i, lab in enumerate(labels) for j, n in enumerate(names) for kind, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean = [np.array([moments[f"m{i}_{j}"] or 0.0 for j in range(len(names))]) for i in range(len(labels))]
+    scale = [np.array([moments[f"s{i}_{j}"] or 1.0 for j in range(len(names))]) for i in range(len(labels))]
+    if not scaled:
+        mean, scale = [np.zeros(len(names))] * len(labels), [np.ones(len(names))] * len(labels)
+    columns = ["candidate", "labelling", "id", "own", "label", "d", "n"]
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, b = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
+        parts = [pd.DataFrame({c: [] for c in columns}, dtype=float)]
+        for i, lab in enumerate(labels):
+            mine, other = q[q[lab].notna()], b[b[lab].notna()]
+            if mine.empty or other.empty:
+                continue
+            x, z = ((t[names].to_numpy(float) - mean[i]) / scale[i] for t in (mine, other))
+            own, ids, to = mine["id"].to_numpy(), other["id"].to_numpy(), mine[lab].to_numpy(np.int64)
+            found, code = np.unique(other[lab].to_numpy(np.int64), return_inverse=True)
+            member = np.eye(len(found))[code]
+            step = max(1, _CELLS // max(1, len(z)))
+            for at in range(0, len(x), step):
+                differ = own[at : at + step, None] != ids[None, :]
+                n, m = differ.astype(float) @ member, len(differ)
+                head = {"labelling": i, "id": np.repeat(own[at : at + m], len(found)), "own": np.repeat(to[at : at + m], len(found)), "label": np.tile(found, m), "n": n.ravel()}
+                for c, cols in sets.items():
+                    d = np.sqrt(_squares(x[at : at + step][:, cols], z[:, cols])) * differ
+                    parts.append(pd.DataFrame(head | {"candidate": c, "d": (d @ member).ravel()})[columns])
+        return pd.concat(parts).astype({c: "int64" for c in columns if c != "d"})
+
+    schema = "candidate long, labelling long, id long, own long, label long, d double, n long"
+    found = _tiles(df.select("id", *labels, *names), "id", block_rows).groupBy("q", "o").applyInPandas(sums, schema)
+    keys = ["candidate", "labelling", "id"]
+    each = found.groupBy(*keys, "own", "label").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    inside, outside = F.max(F.when((F.col("own") == F.col("label")) & (F.col("n") > 0), F.col("m"))), F.min(F.when(F.col("own") != F.col("label"), F.col("m")))
+    per = each.groupBy(*keys).agg(inside.alias("a"), outside.alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return {(r["candidate"], labels[r["labelling"]]): r["s"] for r in per.groupBy("candidate", "labelling").agg(F.avg(value).alias("s")).collect()}

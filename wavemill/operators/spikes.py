@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..sources.scratch import exact_quantiles, fresh, materialize, running_sums
+from ..sources.scratch import exact_quantiles, fresh, materialize, numbered, running_sums
 
 
 def intervals(trains: DataFrame, *, unit_col: str = "unit_id", t_col: str = "t", tie_col: str = "event_id", block_s: float = 3600.0) -> DataFrame:
@@ -63,11 +63,21 @@ def bursts(trains: DataFrame, gap_s: float, *, unit_col: str = "unit_id", t_col:
     return marked.groupBy(unit_col, "burst").agg(F.count(F.lit(1)).alias("n"), F.min(t_col).alias("start_t"), F.max(t_col).alias("end_t"))
 
 
-def rolling_threshold(signal: DataFrame, *, channel_col: str, order_col: str, value_col: str, window: int = 512, multiplier: float = 4.5) -> DataFrame:
-    """``signal`` with the rolling RMS of the last ``window`` samples and a flag for values under minus the threshold."""
-    w = W.partitionBy(channel_col).orderBy(order_col).rowsBetween(-(window - 1), 0)
-    rms = F.sqrt(F.avg(F.col(value_col) * F.col(value_col)).over(w))
-    return signal.withColumn("rms", rms).withColumn("crossing", F.col(value_col) < -multiplier * F.col("rms"))
+def rolling_threshold(signal: DataFrame, *, channel_col: str, order_col: str, value_col: str, window: int = 512, multiplier: float = 4.5, block_rows: int | None = None) -> DataFrame:
+    """``signal`` with the rolling RMS of the last ``window`` samples and a flag for values under minus the threshold.
+
+    Samples are numbered in their channel's order by range partitions and cut
+    into blocks; each block also gets the last ``window`` - 1 samples of the block
+    before, so a channel is spread over as many tasks as it has blocks.
+    """
+    size = max(block_rows or 65_536, window)
+    place, block, home = (fresh(n, signal) for n in ("place", "block", "home"))
+    rows = numbered(signal, place, by=[channel_col], order=[order_col]).withColumn(block, F.floor((F.col(place) - 1) / size))
+    tail = (F.col(place) - 1) % size > size - window
+    spread = rows.withColumn(home, F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn(block, F.col(block) + F.col(home))
+    w = W.partitionBy(channel_col, block).orderBy(place).rowsBetween(-(window - 1), 0)
+    rms = spread.withColumn("rms", F.sqrt(F.avg(F.col(value_col) * F.col(value_col)).over(w)))
+    return rms.where(F.col(home) == 0).drop(place, block, home).withColumn("crossing", F.col(value_col) < -multiplier * F.col("rms"))
 
 
 def peri_event(trains: DataFrame, onsets: DataFrame, before_s: float, after_s: float, *, unit_col: str = "unit_id", bucket_s: float | None = None) -> DataFrame:

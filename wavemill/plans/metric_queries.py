@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import kernels as k
-from ..operators import cluster, codebank, metrics, models, neighbors
+from ..operators import candidates, cluster, codebank, metrics, models, neighbors
 from ..operators.features import FEATURE_SETS, FeatureConfig, TemporalConfig, build_features, feature_names, resolve_names, to_long
 from ..sources.scratch import materialize
 from ..sources.snippets import snippets
@@ -288,6 +288,24 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.pairwise_auc(scored(spark, sf_dir)).select("unit_a", "unit_b", r6("auc").alias("auc"))
 
 
+_UNIT_MEANS = ", ".join(f"avg({n}) AS {n}" for n in SCALARS)
+_TO_MEANS = " + ".join(f"2 * f.{n} * (b.{n} - a.{n}) + a.{n} * a.{n} - b.{n} * b.{n}" for n in SCALARS)
+
+
+@register("m16_pairwise_models", f"""WITH {_SCALAR}, mu AS (SELECT unit_id, {_UNIT_MEANS} FROM f GROUP BY unit_id),
+y AS (SELECT a.unit_id AS unit_a, b.unit_id AS unit_b, CAST(f.unit_id = b.unit_id AS INTEGER) AS class_label, round({_TO_MEANS}, 6) AS score FROM mu a JOIN mu b ON a.unit_id < b.unit_id JOIN f ON f.unit_id IN (a.unit_id, b.unit_id))
+SELECT CAST(unit_a AS BIGINT) AS unit_a, CAST(unit_b AS BIGINT) AS unit_b, round(auc, 6) AS auc FROM ({_auc('y', 'unit_a, unit_b')})""")
+def pairwise_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nearest-centroid model per pair of units, from one pass of unit moments."""
+    return candidates.pairwise_auc(scalar_matrix(spark, sf_dir), SCALARS, "nearest_centroid", digits=6).select("unit_a", "unit_b", r6("auc").alias("auc"))
+
+
+@register("m16_pairwise_lda")
+def pairwise_lda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian classes with pooled covariance per pair of units on the whole feature matrix."""
+    return candidates.pairwise_auc(matrix(spark, sf_dir), NAMES, "lda").select("unit_a", "unit_b", r6("auc").alias("auc"))
+
+
 # --- clusterings (a fixed assignment, so that SQL can repeat it) ----------------------------------------
 
 _CLUSTERED = f"{sql.SNIPPETS}, c AS (SELECT *, CAST(snippet_id * 7 % 10 AS INTEGER) AS cluster_id FROM s WHERE unit_id > 0), t AS (SELECT unit_id AS truth, cluster_id AS cluster, count(*) AS n FROM c GROUP BY ALL)"
@@ -372,21 +390,79 @@ def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("tp", "fp", "tn", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "fpr", "f1", "balanced_accuracy", "auc")])
 
 
+def _closed_board_sql() -> str:
+    """Single scalar features and their pairs: centroid, Gaussian classes of one or two features, and the code bank, by fold."""
+    sets = [(a,) for a in SCALARS] + [(a, b) for i, a in enumerate(SCALARS) for b in SCALARS[i + 1 :]]
+    rows = " UNION ALL ".join(
+        f"SELECT '{' + '.join(c)}' AS candidate, {len(c)} AS n_features, snippet_id, class_label, fold, {c[0]} AS x, {c[1] if len(c) > 1 else '0.0'} AS y FROM fo" for c in sets
+    )
+    means = ", ".join(f"avg({v}) FILTER (t.class_label = {c}) AS {v}{c}" for v in "xy" for c in (0, 1))
+    sizes = ", ".join(f"count(*) FILTER (t.class_label = {c}) AS n{c}" for c in (0, 1))
+    pooled = ", ".join(
+        f"(regr_count({a}, {b}) FILTER (t.class_label = 0) * covar_pop({a}, {b}) FILTER (t.class_label = 0) + regr_count({a}, {b}) FILTER (t.class_label = 1) * covar_pop({a}, {b}) FILTER (t.class_label = 1)) / (count(*) - 2) AS {a}{b}"
+        for a, b in ("xx", "xy", "yy")
+    )
+    members = ", ".join(f"('{' + '.join(c)}', '{f}')" for c in sets for f in c)
+    levels = ", ".join(str(b / 9) for b in range(10))
+    return f"""WITH {_SCALAR}, {_FOLDS}, r AS ({rows}),
+g AS (SELECT candidate, k, {means}, {sizes}, {pooled} FROM r t, (SELECT unnest(range(5)) AS k) WHERE t.fold <> k GROUP BY candidate, k),
+w AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, CASE WHEN yy = 0 THEN 1.0 ELSE yy END AS yv FROM g),
+v AS (SELECT *, (yv * dx - xy * dy) / (xx * yv - xy * xy) AS wx, (xx * dy - xy * dx) / (xx * yv - xy * xy) AS wy FROM w),
+{sql.long_features(SCALARS, '(SELECT * FROM fo)').replace('SELECT snippet_id', 'SELECT fold, snippet_id')},
+q AS (SELECT feature, k, quantile_cont(value, [{levels}]) AS c FROM l, (SELECT unnest(range(5)) AS k) WHERE fold <> k AND class_label = 1 GROUP BY ALL),
+m AS (SELECT feature, k, c, list_transform(range(1, 11), lambda i: greatest(1e-6, 0.5 * ((c[greatest(i, 2)] - c[greatest(i, 2) - 1]) + (c[least(i + 1, 10)] - c[least(i + 1, 10) - 1])) / 2)) AS s FROM q),
+act AS (SELECT snippet_id, class_label, fold, l.feature, list_max(list_transform(range(1, 11), lambda i: exp(-0.5 * ((value - c[i]) / (s[i] + 1e-10)) * ((value - c[i]) / (s[i] + 1e-10))))) AS a FROM l JOIN m ON l.feature = m.feature AND l.fold = m.k),
+mem AS (SELECT * FROM (VALUES {members}) t(candidate, feature)),
+sc AS (
+  SELECT r.candidate, 'nearest_centroid' AS model, fold, class_label, 1 / (1 + exp(-(2 * x * dx + 2 * y * dy + x0 * x0 + y0 * y0 - x1 * x1 - y1 * y1))) AS score FROM r JOIN v ON r.candidate = v.candidate AND fold = k
+  UNION ALL SELECT r.candidate, 'lda', fold, class_label, 1 / (1 + exp(-(x * wx + y * wy - 0.5 * ((x1 + x0) * wx + (y1 + y0) * wy) + ln(n1 / n0)))) FROM r JOIN v ON r.candidate = v.candidate AND fold = k
+  UNION ALL SELECT candidate, 'threshold_weight_bank', fold, class_label, avg(a) FROM act JOIN mem USING (feature) GROUP BY candidate, snippet_id, fold, class_label),
+z AS (SELECT candidate, model, fold, class_label, round(score, 9) AS score FROM sc),
+ba AS (SELECT candidate, model, fold, avg(h) AS b FROM (SELECT candidate, model, fold, class_label, avg(CAST(class_label = CAST(score >= 0.5 AS INTEGER) AS DOUBLE)) AS h FROM z GROUP BY ALL) GROUP BY ALL),
+au AS ({_auc('z', 'candidate, model, fold')})
+SELECT candidate, model, CAST(any_value(n_features) AS INTEGER) AS n_features, round(avg(b), 6) AS balanced_acc_mean, round(stddev_pop(b), 6) AS balanced_acc_std, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std
+FROM ba JOIN au USING (candidate, model, fold) JOIN (SELECT DISTINCT candidate, n_features FROM r) USING (candidate) GROUP BY candidate, model"""
+
+
+@register("m24_closed_form_board", _closed_board_sql())
+def closed_form_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoreboard's rows for which SQL has closed forms: one and two scalar features, three models, five folds."""
+    df = models.stratified_folds(scalar_matrix(spark, sf_dir))
+    told = candidates.board(df, candidates.scalar_combinations(SCALARS, 2), list(candidates.CLOSED), silhouettes=False, digits=9)
+    return told.select("candidate", "model", "n_features", *[r6(c).alias(c) for c in ("balanced_acc_mean", "balanced_acc_std", "auc_mean", "auc_std")])
+
+
+_BINS = (3, 5, 8, 12, 16)
+
+
 @register("m24_scoreboard")
 def scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalar, event and temporal features alone and together, the models of the scoreboard, five folds."""
+    """Feature families alone and together, single scalar features and their pairs; scaled in the fold; five folds."""
     bins, events = list(k.temporal_bin_names(8)), list(k.EVENT_FEATURES)
-    candidates = {"scalar": SCALARS, "event": events, "temporal": bins, "scalar_temporal": SCALARS + bins, "full": NAMES}
-    return models.scoreboard(models.stratified_folds(matrix(spark, sf_dir)), candidates, models.SCOREBOARD_MODELS)
+    families = {"scalar": SCALARS, "event": events, "temporal": bins, "scalar_temporal": SCALARS + bins, "full": NAMES}
+    listed = [candidates.Candidate(n, f, "family") for n, f in families.items()] + candidates.scalar_combinations(SCALARS, 2)
+    return candidates.board(models.stratified_folds(matrix(spark, sf_dir)), listed, models.SCOREBOARD_MODELS)
 
 
 @register("m25_temporal_sweep")
 def temporal_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temporal features of 3 to 16 bins, alone and beside the scalar ones, with the models of the scoreboard."""
-    out = None
-    for n in (3, 5, 8, 12, 16):
-        df = models.stratified_folds(build_features(snippets(spark, sf_dir), FeatureConfig(temporal=TemporalConfig(n_bins=n))))
-        names = list(k.temporal_bin_names(n))
-        rows = models.scoreboard(df, {f"bins_{n:02d}": names, f"scalar_bins_{n:02d}": SCALARS + names}, models.SCOREBOARD_MODELS)
-        out = rows if out is None else out.unionByName(rows)
+    """Temporal features of 3 to 16 bins, alone and beside the scalar ones: one matrix of all bins, shared passes."""
+    return candidates.board(models.stratified_folds(sweep_matrix(spark, sf_dir)), sweep_candidates(), models.SCOREBOARD_MODELS)
+
+
+def sweep_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar features and the temporal ones of every bin count, named by it."""
+    out = snippets(spark, sf_dir)
+    for n in _BINS:
+        w = out.columns if n == _BINS[0] else None  # scalar features come with the first
+        made = build_features(out.withColumn("__w", F.col("w")), FeatureConfig(temporal=TemporalConfig(n_bins=n)), only=None if w else k.temporal_bin_names(n))
+        out = made.withColumnsRenamed({b: f"bins{n:02d}_{b}" for b in k.temporal_bin_names(n)}).withColumnRenamed("__w", "w")
+    return materialize(out.drop("w"))
+
+
+def sweep_candidates() -> list[candidates.Candidate]:
+    out = []
+    for n in _BINS:
+        own = [f"bins{n:02d}_{b}" for b in k.temporal_bin_names(n)]
+        out += [candidates.Candidate(f"bins_{n:02d}", own, "temporal", n), candidates.Candidate(f"scalar_bins_{n:02d}", SCALARS + own, "scalar_temporal", n)]
     return out

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import codebank
 from ..operators.features import FeatureConfig, build_features
@@ -100,19 +100,71 @@ class Detector:
         return (i[-keep:].tolist(), v[-keep:].tolist(), last, waiting), found
 
 
-def detect(signal: DataFrame, detector: Detector = Detector()) -> DataFrame:
-    """Snippets around threshold crossings of a stream (channel, sample_index, value), per channel; late samples are dropped."""
+class _Reordering(StatefulProcessor):
+    """Holds a channel's samples until the watermark passes them, then feeds them to the detector in sample order.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], -(1 << 60), [])
-        rows = pd.concat(list(batches)).sort_values("sample_index")
-        held, found = detector.step(held, rows["sample_index"].to_numpy(np.int64), rows["value"].to_numpy(float))
-        state.update((list(held[0]), list(held[1]), held[2], list(held[3])))
-        yield pd.DataFrame([(key[0], i, s) for i, s in found], columns=["channel", "trough_index", "snippet"])
+    List state has the samples that wait, value state the detector's own. A
+    timer stands at the newest sample of every batch. A row without a sample
+    index marks the end of its channel: all that waits is taken at once.
+    """
 
-    return signal.groupBy("channel").applyInPandasWithState(
-        run, DETECTED, "i array<long>, v array<double>, last long, pending array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    def __init__(self, detector: Detector) -> None:
+        self.detector = detector
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "sample_index bigint, value double, at bigint")
+        self.state = handle.getValueState("state", "i array<bigint>, v array<double>, last bigint, pending array<bigint>")
+
+    def _taken(self, key: tuple, until: int | None, new: list[tuple] = ()) -> pd.DataFrame:  # type: ignore[assignment]
+        """Snippets found in what is no newer than ``until`` (all without it); the rest waits on."""
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows += new
+        ready = sorted({r for r in rows if until is None or r[2] <= until})
+        rest = [r for r in rows if until is not None and r[2] > until]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        held = self.state.get() if self.state.exists() else ([], [], -(1 << 60), [])
+        held, found = self.detector.step((list(held[0]), list(held[1]), held[2], list(held[3])), np.array([r[0] for r in ready], np.int64), np.array([r[1] for r in ready], float))
+        self.state.update((list(held[0]), list(held[1]), held[2], list(held[3])))
+        return pd.DataFrame([(key[0], i, s) for i, s in found], columns=["channel", "trough_index", "snippet"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
+        new, ended = [], False
+        for pdf in rows:
+            ended |= bool(pdf["sample_index"].isna().any())
+            own = pdf[pdf["sample_index"].notna()]
+            at = own["ts"].to_numpy("datetime64[ms]").astype(np.int64)
+            new += list(zip(own["sample_index"].astype(np.int64).tolist(), own["value"].astype(float).tolist(), at.tolist()))
+        if ended:
+            yield self._taken(key, None, new)
+        else:
+            if new:
+                self.waiting.appendList(new)
+                self.handle.registerTimer(max(r[2] for r in new))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._taken(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def detect(signal: DataFrame, detector: Detector = Detector(), *, late: str = "10 seconds") -> DataFrame:
+    """Snippets around threshold crossings of a stream (channel, sample_index, value, ts), per channel.
+
+    Samples may come in any order within ``late`` of the newest one: each waits
+    until the watermark has passed it. Rows with a null sample_index end their
+    channel. The state store must be the RocksDB one (``state_store``).
+    """
+    return signal.withWatermark("ts", late).groupBy("channel").transformWithStateInPandas(_Reordering(detector), DETECTED, "Append", "EventTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Use the state store that stateful processors need in this session."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_to_table(stream: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
