@@ -13,7 +13,7 @@ from wavemill.functions import catalog
 from wavemill.operators import align, codebank, profiling, spikes, synth, validate
 from wavemill.operators.features import build_features, feature_names
 from wavemill.plans import registry
-from wavemill.sources import sorted_units, storage
+from wavemill.sources import archives, sorted_units, storage
 from wavemill.sources.snippets import snippets, trains
 from wavemill.streaming import streams
 
@@ -77,10 +77,10 @@ def test_numpy_archives(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 1.0, -2.0], i % 2, i % 3) for i in range(25)], "snippet_id long, w array<double>, class_label int, unit_id int").repartition(2)
     names = storage.write_npz(df, f"file://{tmp_path}/out")
     assert len(names) == 2
-    back = storage.read_npz(spark, f"{tmp_path}/out")
+    back = archives.read_npz(spark, f"{tmp_path}/out")
     assert sorted((r["w"][0], r["class_label"], r["unit_id"]) for r in back.collect()) == [(float(i), i % 2, i % 3) for i in range(25)]
     np.savez_compressed(tmp_path / "bare.npz", waveforms=np.ones((3, 4), np.float32))
-    assert {(r["class_label"], r["unit_id"], len(r["w"])) for r in storage.read_npz(spark, str(tmp_path / "bare.npz")).collect()} == {(1, 0, 4)}
+    assert {(r["class_label"], r["unit_id"], len(r["w"])) for r in archives.read_npz(spark, str(tmp_path / "bare.npz")).collect()} == {(1, 0, 4)}
 
 
 def test_run_artefacts(spark, tmp_path):

@@ -129,31 +129,8 @@ def read_weight_bank(spark: SparkSession, run_dir: str) -> dict:
     return out
 
 
-def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """Snippets (file, snippet_id, w, class_label, unit_id) of NumPy archives, each file read by a task.
-
-    Missing labels are class 1 and unit 0. ``path`` is a file or a folder; an
-    archive must fit one task, as its format cannot be read in parts.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as held:
-                    w = held["waveforms"]
-                    n = len(w)
-                    label = held["class_labels"] if "class_labels" in held.files else np.ones(n, np.int32)
-                    unit = held["unit_ids"] if "unit_ids" in held.files else np.zeros(n, np.int32)
-                for at in range(0, n, 10_000):
-                    part = slice(at, at + 10_000)
-                    yield pd.DataFrame({"file": name, "snippet_id": np.arange(at, at + len(w[part])), "w": list(w[part].astype(np.float64)), "class_label": label[part].astype(np.int32), "unit_id": unit[part].astype(np.int32)})
-
-    return files.mapInPandas(rows, "file string, snippet_id long, w array<double>, class_label int, unit_id int")
-
-
-def write_npz(df: DataFrame, folder: str) -> list[str]:
-    """Snippets as NumPy archives under ``folder``, one per partition; returns their names."""
+def write_npz(df: DataFrame, folder: str, *, compressed: bool = True) -> list[str]:
+    """Snippets as NumPy archives under ``folder``, one per partition; returns their names. Without compression readers can split them by rows."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
@@ -163,7 +140,7 @@ def write_npz(df: DataFrame, folder: str) -> list[str]:
         held = [b for b in batches if len(b)]
         if held:
             rows, out = pd.concat(held), io.BytesIO()
-            np.savez_compressed(out, waveforms=np.stack(rows["w"].to_numpy()).astype(np.float32), class_labels=rows["class_label"].to_numpy(np.int32), unit_ids=rows["unit_id"].to_numpy(np.int32))
+            (np.savez_compressed if compressed else np.savez)(out, waveforms=np.stack(rows["w"].to_numpy()).astype(np.float32), class_labels=rows["class_label"].to_numpy(np.int32), unit_ids=rows["unit_id"].to_numpy(np.int32))
             name = f"part-{uuid.uuid4().hex}.npz"
             with system.open_output_stream(f"{path}/{name}", compression=None) as stream:
                 stream.write(out.getvalue())
