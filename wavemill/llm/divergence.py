@@ -62,30 +62,37 @@ def audit(docs: DataFrame, *, least_docs: int = 3, top_terms: int = 200, max_gro
     """
     counts = materialize(term_counts(docs, **columns))
     vocabulary = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("occurrences").alias("all_count"), F.sum("documents").alias("df"))
-    vocabulary = vocabulary.where(F.col("df") >= least_docs).drop("df")
-    kept = materialize(vocabulary)
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all_count").alias("all_total"))
-    mine = counts.join(kept.select("lang", "term"), ["lang", "term"])
-    totals = mine.groupBy("lang", "source").agg(F.sum("occurrences").alias("total"))
-    groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "terms", "all_total")])
+    # numbers stand for terms and groups in the wide joins; they are written, so they stay as they are
+    kept = materialize(vocabulary.where(F.col("df") >= least_docs).drop("df").withColumn("tid", F.monotonically_increasing_id()))
+    named = materialize(counts.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    mine = counts.join(kept.select("lang", "term", "tid"), ["lang", "term"]).join(broadcast_if_small(named, max_groups), ["lang", "source"])
+    mine = materialize(mine.select("gid", "tid", "occurrences"))
+    sizes = materialize(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("all_count").alias("all_total")))
+    totals = mine.groupBy("gid").agg(F.sum("occurrences").alias("total"))
+    groups = named.join(totals, "gid", "left").join(sizes, "lang", "left")
+    groups = groups.select("lang", "source", "gid", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "terms")])
     zero = F.when(F.col("terms") > 0, _share("0", "total", "terms"))  # the share of a term that a group lacks
     groups = materialize(groups.withColumn("p_zero", zero))
-    shared = kept.join(broadcast_if_small(sizes, max_groups), "lang").select("lang", "term", _share("all_count", "all_total", "terms").alias("q"))
-    crossed = shared.join(broadcast_if_small(groups, max_groups), "lang")
-    dense = crossed.join(counts.drop("documents"), ["lang", "source", "term"], "left")
-    p = F.when(F.col("occurrences").isNull(), F.col("p_zero")).otherwise(_share("occurrences", "total", "terms"))
-    dense = materialize(dense.select("lang", "source", "term", F.col("occurrences").isNotNull().alias("present"), p.alias("p"), "q"))
-    one = dense.select("lang", "term", "source", "p")
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p_other"))
-    met = one.join(other, ["lang", "term"]).where("source <> item")
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(_distance("p", "p_other")).alias("value"))
+    small = broadcast_if_small(groups, max_groups)
+    present = mine.join(small, "gid").select("tid", "gid", _share("occurrences", "total", "terms").alias("p_own"))
+    shared = kept.join(broadcast_if_small(sizes, max_groups), "lang").select("lang", "tid", _share("all_count", "all_total", "terms").alias("q"))
+    crossed = shared.join(small, "lang").select("tid", "gid", "q", "p_zero")
+    dense = crossed.join(present, ["tid", "gid"], "left")
+    dense = materialize(dense.select("tid", "gid", F.coalesce("p_own", "p_zero").alias("p"), "q", F.col("p_own").isNotNull().alias("present")))
+    one, other = dense.select("tid", "gid", "p"), dense.select("tid", F.col("gid").alias("gid_other"), F.col("p").alias("p_other"))
+    met = one.join(other, "tid").where("gid < gid_other")  # a term has one language; both directions of a pair are summed at once
+    both = met.groupBy("gid", "gid_other").agg(F.sum(_distance("p", "p_other")).alias("there"), F.sum(_distance("p_other", "p")).alias("back"))
+    there, back = (F.struct(F.col(g).alias("gid"), F.col(o).alias("item_gid"), F.col(v).alias("value")) for g, o, v in (("gid", "gid_other", "there"), ("gid_other", "gid", "back")))
+    names = groups.select("gid", "lang", "source")
+    sums = both.select(F.explode(F.array(there, back)).alias("x")).select("x.*").join(broadcast_if_small(names, max_groups), "gid")
+    sums = sums.join(broadcast_if_small(names.select(F.col("gid").alias("item_gid"), F.col("source").alias("item")), max_groups), "item_gid").select("lang", "source", "item", "value")
     # languages without a kept term have no dense rows, yet pairs of value 0
     bare = groups.where("terms = 0").select("lang", "source")
-    zero = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
+    zeros = bare.join(bare.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
     by = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = sums.unionByName(zero).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by).alias("rank"))
-    over = dense.where("present and p > q").select("lang", "source", F.col("term").alias("item"), _distance("p", "q").alias("value"))
+    pairs = sums.unionByName(zeros).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by).alias("rank"))
+    over = dense.where("present and p > q").select("tid", "gid", _distance("p", "q").alias("value"))
+    over = over.join(kept.select("tid", F.col("term").alias("item")), "tid").join(broadcast_if_small(names, max_groups), "gid")
     terms = over.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_terms)
     return pairs.unionByName(terms.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
 
