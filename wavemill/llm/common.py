@@ -31,13 +31,14 @@ def drop_scratch(spark: SparkSession) -> None:
     delete(spark, _scratch(spark))
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, path: str | None = None, *, block_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: later stages restart from files that survive a lost executor.
+    ``block_bytes`` bounds the row groups, and so what a reader of long arrays holds at once.
     """
     path = path or work_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
