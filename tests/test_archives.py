@@ -120,3 +120,48 @@ def test_other_formats_are_named(spark, tmp_path):
     (tmp_path / "h.mat").write_bytes(mat_file({"k": np.array([[7]], np.int16)}, compressed=False))
     with pytest.raises(ValueError, match="spike_times"):
         archives.read_sorter_files(spark, str(tmp_path))
+
+
+def test_runs_are_listed_with_their_results(spark, tmp_path):
+    base = str(tmp_path / "runs")
+    for i, run in enumerate(("20240101_000000", "20250101_000000", "20240601_120000")):
+        storage.write_json(spark, f"{base}/{run}/other.json", {"a": i})
+        if i:
+            storage.write_json(spark, f"{base}/{run}/run_summary.json", {"n": i, "best": f"b{i}"})
+    storage.write_json(spark, f"{base}/.hidden/run_summary.json", {"n": 9, "best": "h"})
+    rows = storage.runs(spark, base, "n long, best string").collect()
+    assert [(r["run"], r["place"], r["n"], r["best"], r["n_files"]) for r in rows] == [("20250101_000000", 1, 1, "b1", 2), ("20240601_120000", 2, 2, "b2", 2), ("20240101_000000", 3, None, None, 1)]
+    assert all(r["bytes"] > 0 and r["changed"] is not None for r in rows) and storage.list_runs(spark, base) == [r["run"] for r in rows]
+
+
+def test_results_of_a_run_in_one_archive(spark, tmp_path):
+    import io
+    import zipfile
+
+    run = str(tmp_path / "run")
+    storage.write_json(spark, f"{run}/summary.json", {"a": 1, "b": {"c": [1, 2]}})
+    storage._write_text(spark, f"{run}/sub/ranks.json", '[{"f": "x,y", "r": 1}, {"f": "z"}]')
+    storage._write_text(spark, f"{run}/one.json", "[3, 4]")
+    storage._write_text(spark, f"{run}/broken.json", "{")
+    assert sorted(storage.export_zip(spark, run, str(tmp_path / "out.zip"))) == ["one.csv", "sub__ranks.csv", "summary.csv"]
+    with zipfile.ZipFile(io.BytesIO((tmp_path / "out.zip").read_bytes())) as z:
+        assert z.read("sub__ranks.csv").decode().splitlines() == ["f,r", '"x,y",1', "z,"]
+        assert z.read("summary.csv").decode().splitlines() == ["key,value", "a,1", 'b,"{""c"": [1, 2]}"'] and z.read("one.csv").decode().splitlines() == ["value", '"[3, 4]"']
+
+
+def test_profiles_are_records(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from wavemill.operators import profiling
+
+    df = spark.createDataFrame([(i, [float(i)] * 8) for i in range(40)], "snippet_id long, w array<double>")
+    rows = profiling.profile(df, repeats=1, notes="test", path=str(tmp_path / "p"))
+    back = {r["kernel"]: r for r in spark.read.parquet(str(tmp_path / "p")).collect()}
+    assert len(rows) == len(back) == 6
+    for r in back.values():
+        assert (r["n_snippets"], r["n_samples"], r["notes"]) == (40, 320, "test") and r["arith_total"] == 320 * r["arith_per_sample"]
+        assert r["samples_per_s"] == pytest.approx(320 / r["seconds"]) and r["spark_version"] == spark.version and r["run_at"]
+    own = profiling.profile_kernel(df, "mine", lambda w: F.transform(w, lambda x: x + 1), repeats=2, backend="own")
+    assert (own["kernel"], own["backend"], own["n_samples"], own["arith_total"]) == ("mine", "own", 320, None)
+    assert profiling.profile_kernel(df.limit(0), "mine", lambda w: w)["n_samples"] == 0
+    assert profiling.profile_block("teager_energy", np.ones((10, 64)))["n_samples"] == 640

@@ -191,11 +191,24 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.orderBy(F.desc("mean_score"), "unit_id")
 
 
-@register("r07_window_bounds", "SELECT * FROM (VALUES " + ", ".join(f"({b}, {i}, {s}, {e})" for b in (3, 5, 8, 12, 16) for i, (s, e) in enumerate(k.window_bounds(64, b))) + ") t(n_bins, bin, start_at, end_at)")
+_BOUNDS = [(b, i, s, e) for b in (3, 5, 8, 12, 16) for i, (s, e) in enumerate(k.window_bounds(64, b))]
+
+
+@register("r07_window_bounds", f"WITH {sql.SNIPPETS}, b AS (SELECT * FROM (VALUES {', '.join(map(str, _BOUNDS))}) t(n_bins, bin, start_at, end_at)) "
+          "SELECT n_bins, bin, start_at, end_at, count(snippet_id) AS troughs FROM b LEFT JOIN s ON list_position(w, list_min(w)) - 1 >= start_at AND list_position(w, list_min(w)) - 1 < end_at GROUP BY ALL")
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(b, i, s, e) for b in (3, 5, 8, 12, 16) for i, (s, e) in enumerate(k.window_bounds(64, b))], "n_bins int, bin int, start_at int, end_at int")
+    """The windows of every bin count, and how many snippets have their trough in each."""
+    windows = spark.createDataFrame(_BOUNDS, "n_bins int, bin int, start_at int, end_at int")
+    places = snippets(spark, sf_dir).groupBy((F.array_position("w", F.array_min("w")) - 1).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    inside = windows.withColumn("place", F.explode(F.sequence(F.col("start_at").cast("long"), F.col("end_at").cast("long") - 1)))  # a row per window and sample
+    return inside.join(places, "place", "left").groupBy("n_bins", "bin", "start_at", "end_at").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("troughs"))
 
 
-@register("p08_families", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}')" for f, m in families(_NAMES).items() for n in m) + ") t(family, feature)")
+@register("p08_families", f"WITH {sql.features()}, {sql.long_features(_NAMES)}, fam AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{n}')" for f, m in families(_NAMES).items() for n in m) + ") t(family, feature)) SELECT family, feature, round(avg(value), 6) AS mean_value FROM fam JOIN l USING (feature) GROUP BY ALL")
 def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(f, n) for f, m in families(_NAMES).items() for n in m], "family string, feature string")
+    """The matrix's own columns by family, with their means."""
+    df = build_features(snippets(spark, sf_dir), tier=3)
+    own = [c for c in df.columns if c not in IDS]
+    means = df.agg(*[F.avg(c).alias(c) for c in own]).unpivot([], own, "feature", "mean_value")
+    table = spark.createDataFrame([(f, n) for f, m in families(own).items() for n in m], "family string, feature string")
+    return table.join(means, "feature").select("family", "feature", F.round("mean_value", DIGITS).alias("mean_value"))

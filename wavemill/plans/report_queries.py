@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions import catalog
 from ..operators import align, models, profiling, spikes, synth, validate
-from ..sources import sorted_units
+from ..sources import sorted_units, storage
+from ..sources.scratch import work_dir
 from ..sources.snippets import snippets, table, trains
 from ..streaming import streams
 from . import sql
@@ -73,16 +74,22 @@ def by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("snippet_id", "unit_id", "event_id")
 
 
-@register("j06_recording_grid", "SELECT d AS distance_um, a * 360.0 / 8 AS angle_deg, n AS noise_uv_rms FROM (SELECT unnest([10.0, 20.0, 50.0]::DOUBLE[]) AS d), (SELECT unnest(range(8)) AS a), (SELECT unnest([0.0, 5.0, 10.0]::DOUBLE[]) AS n)")
+@register("j06_recording_grid", f"""WITH {_S}, u AS (SELECT unit_id, avg(list_min(w)) AS trough FROM s WHERE class_label = 1 GROUP BY unit_id)
+SELECT unit_id, d AS distance_um, a * 360.0 / 8 AS angle_deg, n AS noise_uv_rms, round(trough * 10.0 / d, 6) AS expected_trough FROM u, (SELECT unnest([10.0, 20.0, 50.0]::DOUBLE[]) AS d), (SELECT unnest(range(8)) AS a), (SELECT unnest([0.0, 5.0, 10.0]::DOUBLE[]) AS n)""")
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.distance_grid(spark, [10.0, 20.0, 50.0], 8, [0.0, 5.0, 10.0])
+    """Every unit of the table at every place of the recording grid, its mean trough falling with the distance."""
+    units = snippets(spark, sf_dir).where("class_label = 1").groupBy("unit_id").agg(F.avg(F.array_min("w")).alias("trough"))
+    places = synth.distance_grid(spark, [10.0, 20.0, 50.0], 8, [0.0, 5.0, 10.0])
+    told = units.crossJoin(F.broadcast(places))  # the grid's size is fixed
+    return told.select("unit_id", "distance_um", "angle_deg", "noise_uv_rms", r6(F.col("trough") * 10.0 / F.col("distance_um")).alias("expected_trough"))
 
 
-@register("j07_set_model_grid", "SELECT s AS set_name, m AS model, CAST(f AS INTEGER) AS fold FROM (SELECT unnest(['A', 'B', 'C']) AS s), (SELECT unnest(['lda', 'qda']) AS m), (SELECT unnest(range(5)) AS f)")
+@register("j07_set_model_grid", f"WITH {_S}, fo AS (SELECT *, (row_number() OVER (PARTITION BY class_label ORDER BY {_KEY}) - 1) % 5 AS fold FROM s), n AS (SELECT fold, count(*) AS n_test FROM fo GROUP BY fold) SELECT s AS set_name, m AS model, CAST(fold AS INTEGER) AS fold, n_test FROM (SELECT unnest(['A', 'B', 'C']) AS s), (SELECT unnest(['lda', 'qda']) AS m), n")
 def set_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.createDataFrame([("A",), ("B",), ("C",)], "set_name string")
-    m = spark.createDataFrame([("lda",), ("qda",)], "model string")
-    return s.crossJoin(m).crossJoin(spark.range(5).select(F.col("id").cast("int").alias("fold")))
+    """Sets x models x the table's folds, with the rows each fold holds out."""
+    folds = models.stratified_folds(snippets(spark, sf_dir)).groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    s = spark.createDataFrame([(x, m) for x in "ABC" for m in ("lda", "qda")], "set_name string, model string")
+    return folds.crossJoin(F.broadcast(s)).select("set_name", "model", "fold", "n_test")  # the list's size is fixed
 
 
 _DEPTH = f"WITH {_S}, k AS (SELECT {_SRC} AS source, CASE WHEN unit_id IN (1, 2, 3) THEN 'SU' WHEN unit_id IN (4, 5) THEN 'EXCL' WHEN unit_id = 99999999 THEN 'NOISE' ELSE 'OTHER' END AS kind, list_min(w) AS depth FROM s)"
@@ -278,9 +285,18 @@ def row_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.sample_rows(snippets(spark, sf_dir), 25).select("snippet_id")
 
 
-@register("t11_feature_combinations", "SELECT a || coalesce(',' || b, '') AS features FROM (VALUES " + ", ".join(f"('{a}', {i})" for i, a in enumerate(SCALARS)) + ") x(a, i) JOIN (SELECT NULL AS b, 99 AS j UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{a}', {i})" for i, a in enumerate(SCALARS)) + ") y(b, j)) z ON j > i")
+_COMBOS = ", ".join(f"('{','.join(c)}', '{f}')" for c in models.feature_combinations(SCALARS, 2) for f in c)
+
+
+@register("t11_feature_combinations", f"WITH {_SCALAR}, {sql.long_features(SCALARS)}, c AS (SELECT * FROM (VALUES {_COMBOS}) t(features, feature)) SELECT features, round(avg(value), 6) AS mean_value FROM c JOIN l USING (feature) GROUP BY features")
 def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(",".join(c),) for c in models.feature_combinations(SCALARS, 2)], "features string")
+    """Combinations of the matrix's columns, with the mean over all their values."""
+    df = scalar_matrix(spark, sf_dir)
+    own = [c for c in df.columns if c not in ("snippet_id", "unit_id", "class_label")]
+    combos = models.feature_combinations(own, 2)
+    means = df.agg(*[F.avg(c).alias(c) for c in own]).unpivot([], own, "feature", "m")
+    table = spark.createDataFrame([(",".join(c), f) for c in combos for f in c], "features string, feature string")
+    return table.join(means, "feature").groupBy("features").agg(r6(F.avg("m")).alias("mean_value"))  # all columns have as many values
 
 
 # --- set operations -------------------------------------------------------------------------------------
@@ -303,11 +319,12 @@ def distinct_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(spark, sf_dir).select("unit_id").distinct()
 
 
-@register("u05_missing_features", "SELECT unnest(['unknown_feature']) AS missing")
+@register("u05_missing_features", f"WITH {_S} SELECT 'unknown_feature' AS missing, count(*) AS n_rows FROM s")
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = F.array(*[F.lit(x) for x in [*SCALARS, "unknown_feature"]])
-    have = F.array(*[F.lit(x) for x in NAMES])
-    return spark.range(1).select(F.explode(F.array_except(wanted, have)).alias("missing"))
+    """Wanted features that the table's matrix does not have, with the rows they are missing for."""
+    df = scalar_matrix(spark, sf_dir)
+    wanted, have = F.array(*[F.lit(x) for x in [*SCALARS, "unknown_feature"]]), F.array(*[F.lit(x) for x in df.columns])
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array_except(wanted, have)).alias("missing"), "n_rows")
 
 
 # --- sources --------------------------------------------------------------------------------------------
@@ -351,16 +368,20 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("channel", "quality_code", "n_sua", F.array_join(F.col("cluster_ids").cast("array<string>"), "|").alias("ids"))
 
 
-@register("s12_procedural_counts", """SELECT unit_id, 1 AS class_label, kind, 300 AS n, TRUE AS in_range FROM (VALUES (1, 'fast-spiking'), (2, 'regular-spiking'), (3, 'intermediate')) v(unit_id, kind)
-UNION ALL SELECT 0, 0, kind, 300 // 4, TRUE FROM (VALUES ('gaussian'), ('colored'), ('clipped'), ('irregular')) v(kind)""")
+@register("s12_procedural_counts", f"""WITH {_S}, c AS (SELECT count(DISTINCT unit_id) FILTER (class_label = 1) AS units, count(*) FILTER (class_label = 1) AS spikes, count(*) FILTER (class_label = 0) AS noise FROM s)
+SELECT CAST(unit_id AS INTEGER) AS unit_id, 1 AS class_label, (['fast-spiking', 'regular-spiking', 'intermediate'])[(unit_id - 1) % 3 + 1] AS kind, CAST(spikes // units AS BIGINT) AS n, TRUE AS in_range FROM (SELECT *, unnest(range(1, units + 1)) AS unit_id FROM c)
+UNION ALL SELECT 0, 0, kind, CAST(greatest(1, noise // 4) AS BIGINT), TRUE FROM c, (VALUES ('gaussian'), ('colored'), ('clipped'), ('irregular')) v(kind)""")
 def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per unit and noise type, and whether all drawn parameters lie in the ranges of their kind."""
+    """A data set with as many units, spikes and noise rows as the table: rows per unit and noise type, and whether all drawn parameters lie in the ranges of their kind."""
+    spikes = F.col("class_label") == 1
+    c = snippets(spark, sf_dir).agg(F.count_distinct(F.when(spikes, F.col("unit_id"))).alias("units"), F.count_if(spikes).alias("spikes"), F.count_if(~spikes).alias("noise")).first()
     inside = F.lit(True)
     for name, ranges in synth.CELL_TYPES.items():
         for parameter, (low, high) in ranges.items():
             inside = inside & F.when(F.col("kind") == name, F.col(parameter).between(low, high)).otherwise(F.lit(True))
     inside = inside & F.coalesce(F.col("amplitude").between(*synth.NOISE_AMPLITUDE), F.lit(True)) & F.coalesce(F.col("noise_std").between(0, 10), F.lit(True)) & (F.size("w") == 64)
-    return synth.generate(spark).groupBy("unit_id", "class_label", "kind").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"))
+    made = synth.generate(spark, n_units=c["units"], per_unit=c["spikes"] // max(1, c["units"]), n_noise=c["noise"])
+    return made.groupBy("unit_id", "class_label", "kind").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"))
 
 
 # --- alignment and generation -----------------------------------------------------------------------------
@@ -398,33 +419,41 @@ _KERNEL0 = "20 - 3.0 * fall / (fall - 3.0) * ln(fall / 3.0)"
 _PULSE = "list_transform(range(64), lambda t: CASE WHEN t >= t0 THEN exp(-(t - t0) / fall) - exp(-(t - t0) / 3.0) ELSE 0.0 END)"
 
 
-@register("g04_double_exponential", f"WITH k AS (SELECT fall, {_PULSE} AS r FROM (SELECT fall, {_KERNEL0} AS t0 FROM (SELECT unnest([9.0, 12.0, 18.0]::DOUBLE[]) AS fall))) SELECT fall, CAST(i - 1 AS INTEGER) AS pos, round(r[i] / list_max(r), 6) AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM k)")
+@register("g04_double_exponential", f"""WITH {_S}, p AS (SELECT *, CAST(6.0 + 1.5 * (unit_id % 9) AS DOUBLE) AS fall FROM s), k AS (SELECT *, {_PULSE} AS r FROM (SELECT *, {_KERNEL0} AS t0 FROM p))
+SELECT snippet_id, fall, round(list_sum(list_transform(range(1, 65), lambda i: r[i] / list_max(r) * w[i])), 6) + 0.0 AS overlap FROM k""")
 def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(9.0,), (12.0,), (18.0,)], "fall double")
+    """Every snippet against the kernel of its unit's decay."""
+    p = snippets(spark, sf_dir).withColumn("fall", 6.0 + 1.5 * (F.col("unit_id") % 9))
     fall, rise = F.col("fall"), F.lit(3.0)
     series = synth.double_exponential(synth.time_axis(64), F.lit(20.0) - synth.peak_offset(rise, fall), rise, fall)
-    return f.select("fall", F.posexplode(series).alias("pos", "v")).select("fall", "pos", r6("v").alias("value"))
+    product = F.aggregate(F.zip_with(series, "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return p.select("snippet_id", "fall", (r6(product) + 0.0).alias("overlap"))
 
 
 def _shape_sql(amp: str, delay_pos: int, width_pos: float, amp_pre: float, pre_offset: int, width_pre: float) -> str:
     def bell(a: str, mu: float, s: float) -> str:
         return f"{a} * exp(-0.5 * pow((i - 1 - {mu}) / {s}, 2))"
 
-    return f"""WITH k AS (SELECT amp, {_PULSE} AS r FROM (SELECT *, {_KERNEL0} AS t0 FROM (SELECT 12.0 AS fall, unnest([-60.0, -100.0, -140.0]::DOUBLE[]) AS amp)))
-SELECT amp, CAST(i - 1 AS INTEGER) AS pos, round({amp} * r[i] / list_max(r) + {bell('40.0', 20 + delay_pos, width_pos)} + {bell('8.0', 48, 10.0)} + {bell(str(amp_pre), 20 + pre_offset, width_pre)}, 6) + 0.0 AS value
-FROM (SELECT *, unnest(range(1, 65)) AS i FROM k)"""
+    sample = f"amp * r[i] / list_max(r) + {bell('40.0', 20 + delay_pos, width_pos)} + {bell('8.0', 48, 10.0)} + {bell(str(amp_pre), 20 + pre_offset, width_pre)}"
+    return f"""WITH {_S}, k AS (SELECT *, {_PULSE} AS r FROM (SELECT *, {_KERNEL0} AS t0 FROM (SELECT snippet_id, w, 12.0 AS fall, 100 * list_min(w) AS amp FROM s)))
+SELECT snippet_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(100 * w[i] - ({sample}), 2))) / 64, 4) AS mean_square FROM k"""
+
+
+def _misfit(spark: SparkSession, sf_dir: str, shape: Column) -> DataFrame:
+    """Mean squared difference of every snippet (in hundredths) from the shape of its own trough."""
+    s = snippets(spark, sf_dir).withColumn("w", F.transform("w", lambda x: 100 * x)).withColumn("amp", F.array_min("w"))
+    squares = F.aggregate(F.zip_with("w", shape, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return s.select("snippet_id", F.round(squares / 64, 4).alias("mean_square"))
 
 
 @register("g05_realistic_waveform", _shape_sql("amp", 14, 7.0, 5.0, -6, 3.0))
 def realistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([(-60.0,), (-100.0,), (-140.0,)], "amp double")
-    return a.select("amp", F.posexplode(synth.waveform(amp_neg=F.col("amp"))).alias("pos", "v")).select("amp", "pos", (r6("v") + 0.0).alias("value"))
+    return _misfit(spark, sf_dir, synth.waveform(amp_neg=F.col("amp")))
 
 
 @register("g06_biphasic_waveform", _shape_sql("amp", 12, 8.0, 10.0, -8, 4.0))
 def biphasic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.createDataFrame([(-60.0,), (-100.0,), (-140.0,)], "amp double")
-    return a.select("amp", F.posexplode(synth.biphasic(amp_neg=F.col("amp"))).alias("pos", "v")).select("amp", "pos", (r6("v") + 0.0).alias("value"))
+    return _misfit(spark, sf_dir, synth.biphasic(amp_neg=F.col("amp")))
 
 
 def _u(*keys: object) -> str:
@@ -435,7 +464,7 @@ def _n(*keys: object) -> str:
     return f"sqrt(-2 * ln(1 - {_u(1, *keys)})) * cos(2 * pi() * {_u(2, *keys)})"
 
 
-_NOISE_SQL = f"""WITH i AS (SELECT unnest(range(50)) AS id), x AS (SELECT id, CAST(unnest(range(64)) AS DOUBLE) AS t FROM i),
+_NOISE_SQL = f"""WITH {_S}, i AS (SELECT snippet_id AS id FROM s WHERE class_label = 0), x AS (SELECT id, CAST(unnest(range(64)) AS DOUBLE) AS t FROM i),
 ga AS (SELECT id, max(({_n('id', 't')}) * 50 / 3) AS peak FROM x GROUP BY id),
 st AS (SELECT id, (({_n('id', 't + 1')}) - ({_n('id', 't')})) * 50 / 3 AS v FROM x),
 co AS (SELECT id, max(v) * 50 / (stddev_pop(v) + 1e-12) AS peak FROM st GROUP BY id),
@@ -448,7 +477,8 @@ SELECT kind, id, round(peak, 6) + 0.0 AS peak FROM (SELECT 'gaussian' AS kind, *
 
 @register("g07_noise_types", _NOISE_SQL)
 def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [spark.range(50).select(F.lit(n).alias("kind"), "id", (r6(F.array_max(synth.noise(n, F.col("id")))) + 0.0).alias("peak")) for n in synth.NOISE_TYPES]
+    rows = snippets(spark, sf_dir).where("class_label = 0").select(F.col("snippet_id").alias("id"))  # noise of every type for each noise row
+    parts = [rows.select(F.lit(n).alias("kind"), "id", (r6(F.array_max(synth.noise(n, F.col("id")))) + 0.0).alias("peak")) for n in synth.NOISE_TYPES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -484,14 +514,33 @@ def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.evaluate(df, bank)["per_unit"].select("unit_id", r6("recall").alias("recall"), r6("mean_score").alias("mean_score"), "n")
 
 
-@register("v16_catalog", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(*r) for r in [("feature", n, t) for n, t in catalog.FEATURES.items()] + [("feature", f"mad_wta_bin_{i:02d}", "largest distance from the window''s median") for i in range(8)] + [("metric", n, t) for n, t in catalog.METRICS.items()]) + ") v(kind, name, meaning)")
+_MEANINGS = ", ".join("('{}', '{}', '{}')".format(*r) for r in [("feature", n, t) for n, t in catalog.FEATURES.items()] + [("feature", f"mad_wta_bin_{i:02d}", "largest distance from the window''s median") for i in range(8)] + [("metric", n, t) for n, t in catalog.METRICS.items()])
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, n, low, high) of every column of the table's feature matrix."""
+    stats = long(spark, sf_dir).groupBy(F.col("feature").alias("name"))
+    return stats.agg(F.count("value").alias("n"), r6(F.min("value")).alias("low"), r6(F.max("value")).alias("high"))
+
+
+_RANGES = f"{_LONG}, rg AS (SELECT feature AS name, count(value) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM l GROUP BY feature)"
+
+
+@register("v16_catalog", f"WITH {_RANGES} SELECT kind, name, meaning, n, low, high FROM (VALUES {_MEANINGS}) v(kind, name, meaning) LEFT JOIN rg USING (name)")
 def meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.catalog(spark)
+    """Meanings of features and metrics, with the range that each feature has in the table."""
+    return catalog.catalog(spark).join(_ranges(spark, sf_dir), "name", "left").select("kind", "name", "meaning", "n", "low", "high")
+
+
+_GUIDE = ", ".join("('{}', {}, '{}', '{}', '{}', '{}')".format(*[str(x).replace("'", "''") for x in (n, *g)]) for n, g in catalog.GUIDE.items()) + ", " + ", ".join(
+    f"('mad_wta_bin_{i:02d}', 2, 'max |x - median| in the window', 'uV', 'largest distance from the window''s median', 'where in time an event stands out from its surroundings')" for i in range(8)
+)
 
 
-@register("v16_feature_guide", "SELECT * FROM (VALUES " + ", ".join("('{}', {}, '{}', '{}', '{}', '{}')".format(*[str(x).replace("'", "''") for x in (n, *g)]) for n, g in catalog.GUIDE.items()) + ", " + ", ".join(f"('mad_wta_bin_{i:02d}', 2, 'max |x - median| in the window', 'uV', 'largest distance from the window''s median', 'where in time an event stands out from its surroundings')" for i in range(8)) + ") v(name, tier, formula, unit, meaning, reason)")
+@register("v16_feature_guide", f"WITH {_RANGES} SELECT name, tier, formula, unit, meaning, reason, n, low, high FROM (VALUES {_GUIDE}) v(name, tier, formula, unit, meaning, reason) JOIN rg USING (name)")
 def feature_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.guide(spark)
+    """One row per feature of the table's matrix, with its range there."""
+    return catalog.guide(spark).join(_ranges(spark, sf_dir), "name").select("name", "tier", "formula", "unit", "meaning", "reason", "n", "low", "high")
 
 
 @register("v18_top_features", f"""WITH {_LONG}, fi AS (SELECT feature, pow(avg(value) FILTER (class_label = 1) - avg(value) FILTER (class_label = 0), 2) / (var_pop(value) FILTER (class_label = 1) + var_pop(value) FILTER (class_label = 0) + 1e-12) AS fs FROM l GROUP BY feature)
@@ -550,7 +599,14 @@ def column_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-@register("s17_run_listing", "SELECT DISTINCT strftime(ts, '%Y%m%d_%H%M%S') AS run FROM events ORDER BY run DESC")
+@register("s17_run_listing", "SELECT strftime(min(ts), '%Y%m%d_%H%M%S') || '_' || event_type AS run, CAST(row_number() OVER (ORDER BY strftime(min(ts), '%Y%m%d_%H%M%S') || '_' || event_type DESC) AS INTEGER) AS place, event_type, count(*) AS n_events, round(sum(value), 2) AS total, CAST(2 AS BIGINT) AS n_files FROM events GROUP BY event_type")
 def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMdd_HHmmss").alias("run"))
-    return runs.distinct().orderBy(F.desc("run"))
+    """A run per event type: folders and results are written, then listed newest first and read back."""
+    base = work_dir(spark)
+    per = table(spark, sf_dir, "events").groupBy("event_type").agg(F.date_format(F.min("ts"), "yyyyMMdd_HHmmss").alias("at"), F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 2).alias("total"))
+    for r in per.collect():  # a row per type
+        run = f"{base}/{r['at']}_{r['event_type']}"
+        storage.write_json(spark, f"{run}/run_summary.json", {"event_type": r["event_type"], "n_events": r["n_events"], "total": r["total"]})
+        storage.save_config(spark, run, {"source": "events", "event_type": r["event_type"]})
+    told = storage.runs(spark, base, "event_type string, n_events long, total double")
+    return told.select("run", "place", "event_type", "n_events", F.round("total", 2).alias("total"), "n_files")
