@@ -102,3 +102,48 @@ def test_texts_with_a_common_passage_stay(spark):
     rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + passage) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.keep_first(docs, width=5, similarity=0.8).count() == 400
+
+
+def _copies(rng, n, words, changes):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, changes)):
+            own[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def _classes(texts, similarity, width=5):
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_tight_and_loose_groups_lose_no_link_and_compare_few_pairs(spark):
+    import random
+
+    from wavemill.llm import similar, simhash
+
+    rng = random.Random(3)
+    tight, loose = _copies(rng, 300, 200, 2), _copies(rng, 60, 100, 6)
+    for texts, most in ((tight, 5 * 300), (tight + loose, None)):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in simhash._similar_components(df, "doc_id", "text", 5, 0.8)[0].join(simhash._similar_components(df, "doc_id", "text", 5, 0.8)[1], "fingerprint").collect()}
+        assert [got[i] for i in range(len(texts))] == _classes(texts, 0.8)
+        if most:
+            report: list = []
+            rows = df.withColumn("text_hash", F.xxhash64("text"))
+            similar.similar_links(rows, similar.sketches(rows, width=5, similarity=0.8), width=5, similarity=0.8, report=report)
+            assert sum(report) < most, report
