@@ -163,7 +163,9 @@ def test_single_feature_models_against_numpy(spark):
     y = np.arange(90) % 2
     x = np.stack([rng.normal(y * 1.2, 1.0), np.round(rng.normal(0, 1, 90), 1)], 1)
     df = table(spark, x, y)
-    got = {r["feature"]: r for r in models.single_feature_models(df, ["x0", "x1"], k=3).collect()}
+    got = {r["feature"]: r for r in models.single_feature_models(df, ["x0", "x1"], models=("lda", "logistic", "knn", "svm", "unheard_of"), k=3).collect()}
+    assert got["x0"]["unheard_of_error"] == "unknown model unheard_of" and got["x0"]["lda_error"] is None and got["x0"]["unheard_of_balanced_acc_mean"] is None
+    assert 0.5 < got["x0"]["linear_svm_balanced_acc_mean"] <= 1
     fold = np.empty(90, int)
     for c in (0, 1):
         fold[np.flatnonzero(y == c)] = np.arange((y == c).sum()) % 3

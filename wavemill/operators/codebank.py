@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import exact_quantiles
@@ -112,9 +114,32 @@ def score(bank: CodeBank) -> Column:
     return sum(parts[1:], parts[0]) / total
 
 
-def apply(df: DataFrame, bank: CodeBank, *, score_col: str = "score", gate_col: str = "is_spike") -> DataFrame:
-    """``df`` with score and gate (score at or over the threshold)."""
-    return df.withColumn(score_col, score(bank)).withColumn(gate_col, F.col(score_col) >= bank.threshold)
+def block_score(bank: CodeBank) -> Column:
+    """``score`` as a numpy pass over Arrow batches; a row with a null feature has no score."""
+    weights, total = np.array(bank.weights, float), sum(bank.weights)
+    if total <= 0:
+        return F.lit(0.0)
+    centers, widths = np.array(bank.centers), np.array(bank.widths) + 1e-10
+
+    @F.arrow_udf("double")
+    def scores(values: pa.Array) -> pa.Array:
+        flat, n = values.flatten(), len(bank.features)
+        x = flat.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, n)
+        out = np.zeros(len(x))
+        for j in range(n):
+            out += weights[j] * np.exp(-0.5 * (((x[:, [j]] - centers[j]) / widths[j]) ** 2).min(axis=1))
+        gone = ~flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n).all(axis=1)
+        return pa.array(out / total, pa.float64(), mask=gone)
+
+    return scores(F.array(*[F.col(f).cast("double") for f in bank.features]))
+
+
+def apply(df: DataFrame, bank: CodeBank, *, score_col: str = "score", gate_col: str = "is_spike", engine: str = "blocks") -> DataFrame:
+    """``df`` with score and gate (score at or over the threshold), by numpy blocks or by column expressions."""
+    if engine not in ("blocks", "expressions"):
+        raise ValueError(f"unknown engine {engine!r}")
+    made = block_score(bank) if engine == "blocks" else score(bank)
+    return df.withColumn(score_col, made).withColumn(gate_col, F.col(score_col) >= bank.threshold)
 
 
 def project(df: DataFrame, bank: CodeBank, features: list[str] | None = None, *, out_col: str = "activations") -> DataFrame:

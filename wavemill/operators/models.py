@@ -300,73 +300,30 @@ def single_feature_ranks(long: DataFrame, *, label_col: str = "class_label") ->
     return f.join(m, "feature").join(a, "feature").withColumn("key", F.round("fisher_score", 12)).withColumn("rank", F.row_number().over(order)).drop("key")
 
 
-def _single_lda(df: DataFrame, names: list[str], label: str, k: int) -> DataFrame:
-    """(id, fold, label, feature, score) by one-dimensional Gaussians with pooled variance: one aggregate for all features and folds."""
-    long = df.unpivot(["id", "fold", label], names, "feature", "value")
-    held = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold")))
-    a, b = F.col(label) == 0, F.col(label) == 1
-    x0, x1 = F.when(a, F.col("value")), F.when(b, F.col("value"))
-    m = long.withColumn(HELD, held).groupBy("feature", HELD).agg(
-        F.count(x0).alias("n0"), F.count(x1).alias("n1"), F.avg(x0).alias("m0"), F.avg(x1).alias("m1"), F.var_pop(x0).alias("v0"), F.var_pop(x1).alias("v1")
-    )
-    pooled = (F.col("n0") * F.col("v0") + F.col("n1") * F.col("v1")) / (F.col("n0") + F.col("n1") - 2)
-    m = m.select(F.col("feature").alias("f"), F.col(HELD).alias("h"), "n0", "n1", "m0", "m1", pooled.alias("v"))  # a row per feature and fold
-    z = F.when(F.col("v") > 0, (F.col("value") - (F.col("m0") + F.col("m1")) / 2) * (F.col("m1") - F.col("m0")) / F.col("v")).otherwise(F.lit(0.0)) + F.log(F.col("n1") / F.col("n0"))
-    joined = long.join(F.broadcast(m), (F.col("feature") == F.col("f")) & (F.col("fold") == F.col("h")))
-    return joined.select("id", "fold", label, "feature", (1 / (1 + F.exp(-z))).alias("score"))
-
-
-def _single_logistic(df: DataFrame, names: list[str], label: str, k: int, *, c: float = 1.0, max_iter: int = 25) -> DataFrame:
-    """As ``_single_lda`` by one-dimensional logistic regressions: Newton steps for all features and folds in one pass each."""
-    n = len(names)
-    w = np.zeros((k, n, 2))  # slope, intercept
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, n, 5))
-        for pdf in batches:
-            x, y, fold = pdf[names].to_numpy(float), pdf[label].to_numpy(float)[:, None], pdf["fold"].to_numpy()
-            for f in range(k):
-                xf, yf = x[fold != f], y[fold != f]
-                z = xf * w[f, :, 0] + w[f, :, 1]
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                q = np.maximum(p * (1 - p), 1e-9)
-                r = yf - p
-                total[f] += np.stack([(q * xf * xf).sum(0), (q * xf).sum(0), q.sum(0), (r * xf).sum(0), r.sum(0)], 1)
-        yield pd.DataFrame({"sums": [total.ravel()]})
-
-    rows = df.select(*names, label, "fold")
-    for _ in range(max_iter):
-        total = rows.mapInPandas(sums, "sums array<double>").select(F.posexplode("sums").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()  # features x folds x 5
-        t = np.zeros(k * n * 5)
-        for r in total:
-            t[r["pos"]] = r["v"]
-        xx, x1, one, gx, g1 = np.moveaxis(t.reshape(k, n, 5), 2, 0)
-        a, b, d = c * xx + 1, c * x1, np.maximum(c * one, 1e-12)
-        gx, g1 = c * gx - w[:, :, 0], c * g1
-        det = a * d - b * b
-        step = np.stack([(d * gx - b * g1) / det, (a * g1 - b * gx) / det], 2)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
-            break
-    long = df.unpivot(["id", "fold", label], names, "feature", "value")
-    model = df.sparkSession.createDataFrame([(name, f, float(w[f, j, 0]), float(w[f, j, 1])) for f in range(k) for j, name in enumerate(names)], "f string, h int, slope double, bias double")
-    joined = long.join(F.broadcast(model), (F.col("feature") == F.col("f")) & (F.col("fold") == F.col("h")))  # a row per feature and fold
-    return joined.select("id", "fold", label, "feature", (1 / (1 + F.exp(-(F.col("value") * F.col("slope") + F.col("bias"))))).alias("score"))
-
-
-def single_feature_models(df: DataFrame, names: list[str], *, k: int = 5, label: str = "class_label", id_col: str = "snippet_id") -> DataFrame:
-    """Per feature: mean and deviation of the folds' balanced accuracy of lda, logistic_regression and knn_k5, and the AUC of
-    the out-of-fold logistic scores. Folds are stratified in id order."""
-    folds = stratified_folds(df.select(id_col, label, *names), k, id_col=id_col, label_col=label, seed=None).withColumnRenamed(id_col, "id")
-    logit = materialize(_single_logistic(folds, names, label, k))
-    votes = neighbors.fold_votes(folds.withColumn("__v", _vector(names)), 5, id_col="id", vector_col="__v", label_col=label, per_dimension=True)
-    order = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("dimension") + 1)
-    knn = votes.join(folds.select("id", "fold", label), "id").select("id", "fold", label, order.alias("feature"), F.col("share").alias("score"))
-    out = metrics.roc_auc(logit, label=label, by=["feature"])
-    for name, scored in (("lda", _single_lda(folds, names, label, k)), ("logistic_regression", logit), (KNN, knn)):
-        per = metrics.balanced_accuracy(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), actual=label, by=["feature", "fold"])
-        out = out.join(per.groupBy("feature").agg(F.avg("balanced_accuracy").alias(f"{name}_balanced_acc_mean"), F.stddev_pop("balanced_accuracy").alias(f"{name}_balanced_acc_std")), "feature")
-    return out
+def single_feature_models(df: DataFrame, names: list[str], *, models: tuple[str, ...] = ("lda", "logistic_regression", KNN), k: int = 5, label: str = "class_label", id_col: str = "snippet_id") -> DataFrame:
+    """Per feature: mean and deviation of the folds' balanced accuracy of each model asked for, with its error if it has one,
+    and the AUC of the out-of-fold logistic scores. Folds are stratified in id order; all features share their passes."""
+
+    def known(name: str) -> str:
+        try:
+            return model_name(name)
+        except ValueError:
+            return name  # gets its error in the rows
+
+    wanted = list(dict.fromkeys(map(known, models)))
+    folds = stratified_folds(df.select(id_col, label, *names), k, id_col=id_col, label_col=label, seed=None)
+    listed = [candidates.Candidate(n, [n]) for n in names]
+    long, fitted = candidates.scores(folds, listed, [*wanted, "logistic_regression"], label=label, id_col=id_col, scaled=False)
+    long = materialize(long)
+    per = metrics.balanced_accuracy(long.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), actual="label", by=["candidate", "model", "fold"])
+    columns = []
+    for m in wanted:
+        own = F.when(F.col("model") == m, F.col("balanced_accuracy"))
+        columns += [F.avg(own).alias(f"{m}_balanced_acc_mean"), F.stddev_pop(own).alias(f"{m}_balanced_acc_std")]
+    area = metrics.roc_auc(long.where(F.col("model") == "logistic_regression").withColumnRenamed("label", "class_label"), by=["candidate"])
+    told = [(i, n, *[fitted.errors.get((i, m)) for m in wanted]) for i, n in enumerate(names)]
+    table = df.sparkSession.createDataFrame(told, "candidate int, feature string, " + ", ".join(f"`{m}_error` string" for m in wanted))
+    return table.join(area, "candidate", "left").join(per.groupBy("candidate").agg(*columns), "candidate", "left").drop("candidate")
 
 
 def feature_set_ranks(df: DataFrame, sets: dict[str, list[str]], models: list[str], *, label: str = "class_label", id_col: str = "snippet_id") -> list[dict]:

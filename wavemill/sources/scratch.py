@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -33,6 +34,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def few_rows(df: DataFrame, max_rows: int) -> list | None:
+    """The rows of a small table in one run of its plan, None if there are more than ``max_rows``."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, lengthened until no column of ``df`` is called so (case does not count)."""
     taken = {c.lower() for c in df.columns}
@@ -54,22 +61,26 @@ def running_sums(df: DataFrame, sums: dict[str, Column], *, by: list[str], order
     values = {fresh(f"add_{n}", df): c for n, c in sums.items()}
     ranged = materialize(df.withColumns(values).repartitionByRange(parts, *by, *order).withColumn(place, F.spark_partition_id()))
     totals = ranged.groupBy(*by, place).agg(*[F.sum(v).alias(v) for v in values])
-    before = W.partitionBy(*by).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
     starts = {v: f"{v}_start" for v in values}
-    if by:
+    rows = few_rows(totals, 100_000)
+    if rows is not None:  # a row per range and group, few enough to send
+        at, out = {}, []
+        for r in sorted(rows, key=lambda r: r[place]):
+            own = at.setdefault(tuple(r[k] for k in by), dict.fromkeys(values, 0))
+            out.append((*[r[k] for k in by], r[place], *[own[v] for v in values]))
+            for v in values:
+                own[v] += r[v] or 0
+        fields = [*[totals.schema[k] for k in (*by, place)], *[StructField(x, totals.schema[v].dataType) for v, x in starts.items()]]
+        offsets = F.broadcast(spark.createDataFrame(out, StructType(fields)))
+    else:
+        before = W.partitionBy(*by).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
         offsets = totals.select(*by, place, *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(s) for v, s in starts.items()])
-    else:  # one row per range
-        rows, at, out = sorted(totals.collect(), key=lambda r: r[place]), {v: 0 for v in values}, []
-        for r in rows:
-            out.append((r[place], *[at[v] for v in values]))
-            at = {v: at[v] + (r[v] or 0) for v in values}
-        offsets = spark.createDataFrame(out, f"`{place}` int, " + ", ".join(f"`{s}` long" for s in starts.values()))
     inside = W.partitionBy(*by, place).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = ranged.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in zip(sums, values)})
     keys = [place, *by]
     right = offsets.withColumnsRenamed({k: f"{k}__k" for k in keys})
     meet = [F.col(k).eqNullSafe(F.col(f"{k}__k")) for k in keys]
-    joined = summed.join(broadcast_if_small(right, 100_000), meet)
+    joined = summed.join(right, meet)
     return joined.withColumns({n: F.col(n) + F.col(starts[v]) for n, v in zip(sums, values)}).select(*df.columns, *sums)
 
 
@@ -87,13 +98,16 @@ def exact_quantiles(df: DataFrame, levels: list[float], *, by: list[str], value:
     steps = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     ranked = materialize(running_sums(steps, {"upto": F.col("c")}, by=by, order=["v"]))
     sizes = ranked.groupBy(*by).agg(F.max("upto").alias("total"))
+    rows = few_rows(sizes, 50_000)  # a row per group
+    if rows is not None:
+        sizes = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rows], sizes.schema))
     wanted = sizes.select(*by, F.posexplode(F.array(*[F.lit(float(q)) for q in levels])).alias("level", "q"), "total")
     at = (F.col("total") - 1) * F.col("q")
-    # a row per group and level
-    wanted = wanted.select(*by, "level", (at - F.floor(at)).alias("share"), F.explode(F.array(F.struct(F.floor(at).alias("rank"), F.lit(0).alias("side")), F.struct(F.ceil(at).alias("rank"), F.lit(1).alias("side")))).alias("x"))
+    side = F.explode(F.array(F.struct(F.floor(at).alias("rank"), F.lit(0).alias("side")), F.struct(F.ceil(at).alias("rank"), F.lit(1).alias("side"))))
+    wanted = wanted.select(*by, "level", (at - F.floor(at)).alias("share"), side.alias("x"))
     right = wanted.withColumnsRenamed({k: f"{k}__k" for k in by})
     meet = [F.col(k).eqNullSafe(F.col(f"{k}__k")) for k in by]
-    hits = ranked.join(broadcast_if_small(right, 100_000), meet).where((F.col("x.rank") < F.col("upto")) & (F.col("x.rank") >= F.col("upto") - F.col("c")))
+    hits = ranked.join(F.broadcast(right) if rows is not None and len(rows) * len(levels) <= 500_000 else right, meet).where((F.col("x.rank") < F.col("upto")) & (F.col("x.rank") >= F.col("upto") - F.col("c")))
     each = hits.groupBy(*by, "level", "share").agg(F.max(F.when(F.col("x.side") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("x.side") == 1, F.col("v"))).alias("high"))
     told = each.select(*by, "level", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("value"))
     rows = told.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("level", "value"))).alias("x"))  # one entry per level
