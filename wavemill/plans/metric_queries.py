@@ -466,3 +466,25 @@ def sweep_candidates() -> list[candidates.Candidate]:
         own = [f"bins{n:02d}_{b}" for b in k.temporal_bin_names(n)]
         out += [candidates.Candidate(f"bins_{n:02d}", own, "temporal", n), candidates.Candidate(f"scalar_bins_{n:02d}", SCALARS + own, "scalar_temporal", n)]
     return out
+
+
+def _sweep_sql() -> str:
+    """The sweep's centroid rows: every feature adds its part to the difference of squared distances."""
+    columns = dict(sql.SCALARS) | {f"bins{n:02d}_{b}": e for n in _BINS for b, e in sql.temporal(n).items()}
+    long_rows = " UNION ALL ".join(f"SELECT snippet_id, class_label, '{n}' AS feature, {e} AS value FROM d" for n, e in columns.items())
+    members = ", ".join(f"('{c.name}', {c.n_time_bins}, {len(c.features)}, '{f}')" for c in sweep_candidates() for f in c.features)
+    return f"""WITH {sql.SNIPPETS}, {sql.STAGED}, {_FOLDS.replace('FROM f)', 'FROM s)')}, x AS ({long_rows}), l AS (SELECT x.*, fold FROM x JOIN (SELECT snippet_id, fold FROM fo) USING (snippet_id)),
+mu AS (SELECT feature, k, avg(value) FILTER (class_label = 0) AS m0, avg(value) FILTER (class_label = 1) AS m1 FROM l, (SELECT unnest(range(5)) AS k) WHERE fold <> k GROUP BY feature, k),
+mem AS (SELECT * FROM (VALUES {members}) t(candidate, n_time_bins, n_features, feature)),
+z AS (SELECT candidate, fold, class_label, round(1 / (1 + exp(-sum(2 * value * (m1 - m0) + m0 * m0 - m1 * m1))), 9) AS score FROM l JOIN mu ON l.feature = mu.feature AND fold = k JOIN mem ON mem.feature = l.feature GROUP BY candidate, snippet_id, fold, class_label),
+ba AS (SELECT candidate, fold, avg(h) AS b FROM (SELECT candidate, fold, class_label, avg(CAST(class_label = CAST(score >= 0.5 AS INTEGER) AS DOUBLE)) AS h FROM z GROUP BY ALL) GROUP BY ALL),
+au AS ({_auc('z', 'candidate, fold')})
+SELECT candidate, CAST(any_value(n_time_bins) AS INTEGER) AS n_time_bins, CAST(any_value(n_features) AS INTEGER) AS n_features, round(avg(b), 6) AS balanced_acc_mean, round(stddev_pop(b), 6) AS balanced_acc_std, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std
+FROM ba JOIN au USING (candidate, fold) JOIN (SELECT DISTINCT candidate, n_time_bins, n_features FROM mem) USING (candidate) GROUP BY candidate"""
+
+
+@register("m25_sweep_centroids", _sweep_sql())
+def sweep_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temporal sweep for the model that SQL can repeat at any number of features."""
+    told = candidates.board(models.stratified_folds(sweep_matrix(spark, sf_dir)), sweep_candidates(), ["nearest_centroid"], silhouettes=False, digits=9)
+    return told.select("candidate", "n_time_bins", "n_features", *[r6(c).alias(c) for c in ("balanced_acc_mean", "balanced_acc_std", "auc_mean", "auc_std")])
