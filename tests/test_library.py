@@ -224,7 +224,7 @@ def test_detector_does_not_depend_on_batches():
 
 
 #: Run in the SQL comparison of the driver; here those that are quick.
-SLOW = ("m1", "m20", "m22", "m07", "a30")
+SLOW = ("m1", "m20", "m22", "m24", "m25", "m07", "a30", "v18_set")
 
 
 @pytest.mark.parametrize("name", [n for n in registry.ORACLES if not n.startswith(SLOW)])

@@ -424,7 +424,10 @@ SELECT candidate, model, CAST(any_value(n_features) AS INTEGER) AS n_features, r
 FROM ba JOIN au USING (candidate, model, fold) JOIN (SELECT DISTINCT candidate, n_features FROM r) USING (candidate) GROUP BY candidate, model"""
 
 
-@register("m24_closed_form_board", _closed_board_sql())
+CLOSED_BOARD = _closed_board_sql()
+
+
+@register("m24_closed_form_board", CLOSED_BOARD)
 def closed_form_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoreboard's rows for which SQL has closed forms: one and two scalar features, three models, five folds."""
     df = models.stratified_folds(scalar_matrix(spark, sf_dir))

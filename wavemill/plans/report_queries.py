@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import catalog
-from ..operators import align, models, profiling, spikes, synth, validate
+from ..operators import align, candidates, models, profiling, spikes, synth, validate
 from ..sources import sorted_units, storage
 from ..sources.scratch import work_dir
 from ..sources.snippets import snippets, table, trains
 from ..streaming import streams
 from . import sql
-from .metric_queries import NAMES, SCALARS, long, scalar_matrix, scored
+from .metric_queries import CLOSED_BOARD, NAMES, SCALARS, closed_form_board, long, scalar_matrix, scored
 from .metric_queries import _LONG, _SCALAR, _SCORED
 from .registry import register
 
@@ -599,6 +599,21 @@ def column_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
+@register("v18_set_model_pivot", f"SELECT candidate, " + ", ".join(f"max(balanced_acc_mean) FILTER (model = '{m}') AS {m}" for m in candidates.CLOSED) + f" FROM ({CLOSED_BOARD}) GROUP BY candidate")
+def set_model_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The board as the dashboard groups it: a row per set, a column per model."""
+    rows = closed_form_board(spark, sf_dir)
+    return rows.groupBy("candidate").agg(*[F.max(F.when(F.col("model") == m, F.col("balanced_acc_mean"))).alias(m) for m in candidates.CLOSED])
+
+
+@register("v18_gallery", f"WITH {_S}, g AS (SELECT *, row_number() OVER (PARTITION BY class_label ORDER BY {_KEY}) AS place FROM s) SELECT class_label, CAST(place AS INTEGER) AS place, snippet_id, unit_id, round(list_min(w), 6) AS trough, round(list_max(w), 6) AS peak FROM g WHERE place <= 12")
+def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve snippets of each class in shuffled order, with their extremes."""
+    place = F.row_number().over(W.partitionBy("class_label").orderBy(models.shuffle_key("snippet_id", 42), "snippet_id"))
+    told = models.balanced_sample(snippets(spark, sf_dir), 12).withColumn("place", place)
+    return told.select("class_label", "place", "snippet_id", "unit_id", r6(F.array_min("w")).alias("trough"), r6(F.array_max("w")).alias("peak"))
+
+
 @register("s17_run_listing", "SELECT strftime(min(ts), '%Y%m%d_%H%M%S') || '_' || event_type AS run, CAST(row_number() OVER (ORDER BY strftime(min(ts), '%Y%m%d_%H%M%S') || '_' || event_type DESC) AS INTEGER) AS place, event_type, count(*) AS n_events, round(sum(value), 2) AS total, CAST(2 AS BIGINT) AS n_files FROM events GROUP BY event_type")
 def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run per event type: folders and results are written, then listed newest first and read back."""
