@@ -30,7 +30,7 @@ from .common import fresh
 _SPACE = np.frombuffer("▁".encode(), np.uint8)
 #: Kinds of pieces in the model file.
 _UNKNOWN, _CONTROL, _USER, _BYTE = 2, 3, 4, 6
-_SLICE_CHARS = 4_000_000
+_SLICE_CHARS = 1_000_000
 
 
 class CharacterMap:
@@ -197,7 +197,7 @@ class PieceModel:
             ids, begins, ends = np.append(ids, np.int32(self.end)), np.append(begins, len(raw)), np.append(ends, len(raw))
         return ids, begins.astype(np.int32), ends.astype(np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         return self.whole.decode(ids)
 
 
@@ -262,7 +262,10 @@ def decode_pieces(df: DataFrame, model: str | bytes, *, ids_col: str = "ids", na
             at = batch.schema.get_field_index(ids_col)
             sizes = [0 if n is None else 4 * n for n in pa.compute.list_value_length(batch.column(at)).to_pylist()]
             for part in _slices(batch, sizes, _SLICE_CHARS):
-                texts = pa.array([codec.decode(ids or []) for ids in part.column(at).to_pylist()], pa.string())
+                lists = part.column(at)
+                sizes_of = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                rows = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32, copy=False), np.cumsum(sizes_of)[:-1])
+                texts = pa.array([codec.decode(ids) if len(ids) else "" for ids in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*batch.schema.names, new])
 
     import pyarrow.compute  # noqa: F401  makes pa.compute known
