@@ -139,3 +139,28 @@ def test_tight_and_loose_groups_lose_no_link(spark):
     prints, component = simhash._similar_components(df, "doc_id", "text", 5, 0.8)
     got = {r["doc_id"]: r["component_id"] for r in prints.join(component, "fingerprint").collect()}
     assert [got[i] for i in range(len(texts))] == _classes(texts, 0.8)
+
+
+def test_crowd_pairs_lose_no_pair(spark):
+    """Pairs by rarest shingles and bit maps hold all similar pairs of different groups, for sets of many sizes."""
+    rng, sets = random.Random(5), {}
+    for base in range(4):
+        words = rng.sample(range(1, 10**6), 60)
+        for _ in range(60):
+            own = set(rng.sample(words, rng.randint(40, 60)))
+            own |= {rng.randrange(-2000, 0) for _ in range(rng.randint(0, 12))}
+            sets[len(sets)] = sorted(own)
+    sets[len(sets)] = [7]
+    roots = {i: i if i % 3 else i - i % 60 for i in sets}
+    crowd = spark.createDataFrame([(i, len(x), roots[i]) for i, x in sets.items()], "fingerprint long, size int, root long")
+    made = similar._crowd_pairs(crowd, spark.createDataFrame(list(sets.items()), "fingerprint long, shingles array<long>"), 0.8)
+    got = [(r["a"], r["b"]) for r in made.collect()]
+    want = {
+        (a, b)
+        for a, x in sets.items()
+        for b, y in sets.items()
+        if a < b and roots[a] != roots[b] and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    }
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 100
+    assert len(got) < 4 * len(want)
+    assert similar._crowd_pairs(crowd.limit(0), spark.createDataFrame([], "fingerprint long, shingles array<long>"), 0.8).isEmpty()
