@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.scratch import materialize
@@ -109,57 +110,78 @@ def seed_centers(rows: DataFrame, k: int, starts: int, *, rounds: int = 4, seed:
     return np.stack([_weighted_seeds(c, weights[s, : len(c)], k, np.random.default_rng(seed + s)) for s, c in enumerate(chosen)])
 
 
-def kmeans(df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str = "activations", out_col: str = "cluster_id", n_init: int = 10, max_iter: int = 300, seed: int = 42, rounds: int = 4) -> tuple[DataFrame, float]:
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def _nearest_udf(centers: np.ndarray):
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_squares(np.stack(vectors.to_numpy()).astype(float), centers).argmin(1), dtype="int32")
+
+    return nearest
+
+
+def kmeans(
+    df: DataFrame, k: int, *, id_col: str = "snippet_id", vector_col: str | list[str] = "activations", out_col: str | list[str] = "cluster_id", n_init: int = 10, max_iter: int = 300, seed: int = 42, rounds: int = 4
+) -> tuple[DataFrame, float | list[float]]:
     """``df`` with a cluster number, and the inertia of the best of ``n_init`` starts.
 
     Starting centers come from all rows (``seed_centers``). All starts move in the
-    same passes: a task adds up its rows per start and cluster, and what is moved
-    is one vector per task, start and cluster. Starts that stand still take no
-    further part.
+    same passes: a task adds up its rows per start and cluster, and a pass has no
+    more tasks than cores, so few vectors are moved. Starts that stand still take
+    no further part. Several vector columns are clustered each by itself in the
+    same passes; inertias then come as a list.
     """
-    rows = df.select(F.xxhash64(id_col).alias("h"), F.col(vector_col).cast("array<double>").alias("v"))
-    centers, squares = seed_centers(rows, k, n_init, rounds=rounds, seed=seed), _squares
-    d = centers.shape[2]
-
-    def passed(moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums (start, cluster, [rows, vector]) and inertia by start of all rows at the present centers."""
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, cost = np.zeros((len(moving), k, d + 1)), np.zeros(len(moving))
-            for pdf in batches:
-                x = np.stack(pdf[vector_col].to_numpy()).astype(float)
-                for i, s in enumerate(moving):
-                    q = squares(x, centers[s])
-                    at = q.argmin(1)
-                    cost[i] += q[np.arange(len(x)), at].sum()
-                    total[i] += np.eye(k)[at].T @ np.column_stack([np.ones(len(x)), x])
-            yield pd.DataFrame({"v": [np.concatenate([total.ravel(), cost])]})
-
-        rows = df.select(vector_col).mapInPandas(sums, "v array<double>").select(F.posexplode("v").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()  # starts x clusters x dimensions
-        v = np.zeros(len(rows))
-        for r in rows:
-            v[r["pos"]] = r["v"]
-        return v[: -len(moving)].reshape(len(moving), k, d + 1), v[-len(moving) :]
-
-    moving, inertia = np.arange(n_init), np.full(n_init, np.inf)
+    columns, outs = ([vector_col], [out_col]) if isinstance(vector_col, str) else (list(vector_col), list(out_col))
+    centers = [seed_centers(df.select(F.xxhash64(id_col).alias("h"), F.col(c).cast("array<double>").alias("v")), k, n_init, rounds=rounds, seed=seed) for c in columns]
+    vectors = df.select(*[F.col(c).cast("array<double>").alias(f"v{i}") for i, c in enumerate(columns)]).coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+    def passed(moving: dict[int, list[int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Sums (start, cluster, [rows, vector]) and inertia by start, of each column, of all rows at the present centers."""
+        shapes = {i: (len(s), k, centers[i].shape[2] + 1) for i, s in moving.items()}
+        at = np.cumsum([0, *[int(np.prod(x)) + x[0] for x in shapes.values()]])
+        places = {i: slice(a, b) for i, a, b in zip(shapes, at, at[1:])}
+        now = {i: centers[i][s].reshape(-1, centers[i].shape[2]) for i, s in moving.items()}
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(at[-1])
+            for batch in (b.slice(j, 4096) for b in batches for j in range(0, b.num_rows, 4096)):
+                for n, (i, c) in enumerate(now.items()):
+                    x = _rows_of(batch.column(n))
+                    q = _squares(x, c).reshape(len(x), -1, k)
+                    near = q.argmin(2)
+                    member = np.zeros((len(x), len(c)))
+                    member[np.arange(len(x))[:, None], near + k * np.arange(near.shape[1])] = 1
+                    own = total[places[i]]
+                    own[: -near.shape[1]] += (member.T @ np.column_stack([np.ones(len(x)), x])).ravel()
+                    own[-near.shape[1] :] += np.take_along_axis(q, near[:, :, None], 2).sum(axis=(0, 2))
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+
+        told = vectors.select(*[f"v{i}" for i in moving]).mapInArrow(sums, "v binary").collect()  # a vector per core
+        v = sum((np.frombuffer(r["v"]) for r in told), np.zeros(at[-1]))
+        return {i: (v[places[i]][: -x[0]].reshape(x), v[places[i]][-x[0] :]) for i, x in shapes.items()}
+
+    inertia = [np.full(n_init, np.inf) for _ in columns]
+    moving = {i: list(range(n_init)) for i in range(len(columns))}
     for _ in range(max_iter):
-        total, inertia[moving] = passed(moving)
-        n = total[:, :, :1]
-        new = np.where(n > 0, total[:, :, 1:] / np.maximum(n, 1), centers[moving])  # an empty cluster stays where it is
-        still = np.abs(new - centers[moving]).max(axis=(1, 2)) < 1e-9
-        centers[moving] = new
-        moving = moving[~still]
-        if not len(moving):
+        for i, (total, cost) in passed(moving).items():
+            inertia[i][moving[i]] = cost
+            n, old = total[:, :, :1], centers[i][moving[i]]
+            new = np.where(n > 0, total[:, :, 1:] / np.maximum(n, 1), old)  # an empty cluster stays where it is
+            centers[i][moving[i]] = new
+            moving[i] = [s for s, moved in zip(moving[i], np.abs(new - old).max(axis=(1, 2)) >= 1e-9) if moved]
+        moving = {i: s for i, s in moving.items() if s}
+        if not moving:
             break
-    if len(moving):
-        _, inertia[moving] = passed(moving)
-    best = centers[int(np.argmin(inertia))]
-
-    @F.pandas_udf("int")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series(squares(np.stack(vectors.to_numpy()).astype(float), best).argmin(1), dtype="int32")
-
-    return df.withColumn(out_col, nearest(F.col(vector_col))), float(inertia.min())
+    if moving:
+        for i, (_, cost) in passed(moving).items():
+            inertia[i][moving[i]] = cost
+    out = df
+    for c, name, own, cost in zip(columns, outs, centers, inertia):
+        out = out.withColumn(name, _nearest_udf(own[int(np.argmin(cost))])(F.col(c)))
+    least = [float(c.min()) for c in inertia]
+    return out, least[0] if isinstance(vector_col, str) else least
 
 
 def lloyd_step(df: DataFrame, centers: DataFrame, *, id_col: str = "snippet_id", vector_col: str = "w") -> DataFrame:
@@ -182,11 +204,16 @@ def benchmark(features: DataFrame, names: list[str], *, id_col: str = "snippet_i
     units = known.select(F.countDistinct(unit_col)).first()[0]
     if units < 2:
         return [], {"status": "skipped", "reason": "fewer than two units"}
-    bank, rows = codebank.fit(known, names, n_bins=n_bins), []
-    for family, members in feats.families(names).items():
-        encoded = materialize(codebank.project(known, bank, members).select(id_col, unit_col, "activations"))
-        clustered, inertia = kmeans(encoded, units, id_col=id_col, n_init=n_init, max_iter=max_iter, seed=seed)
-        clustered = materialize(clustered)
+    bank, rows, found = codebank.fit(known, names, n_bins=n_bins), [], feats.families(names)
+    encoded = known.select(id_col, unit_col, *names)
+    for i, members in enumerate(found.values()):
+        encoded = codebank.project(encoded, bank, members, out_col=f"activations_{i}")
+    encoded = materialize(encoded.drop(*names))
+    activations, clusters = ([f"{c}_{i}" for i in range(len(found))] for c in ("activations", "cluster"))
+    everything, inertias = kmeans(encoded, units, id_col=id_col, vector_col=activations, out_col=clusters, n_init=n_init, max_iter=max_iter, seed=seed)
+    everything = materialize(everything)
+    for i, ((family, members), inertia) in enumerate(zip(found.items(), inertias)):
+        clustered = everything.select(id_col, unit_col, F.col(activations[i]).alias("activations"), F.col(clusters[i]).alias("cluster_id"))
         table = materialize(metrics.contingency(clustered, truth=unit_col))
         accuracy, mapping = metrics.matched_accuracy(table)
         sweep = neighbors.knn_purity_sweep(clustered, list(ks), id_col=id_col, vector_col="activations", label_col=unit_col).first().asDict()
