@@ -234,3 +234,12 @@ def test_a_hot_source_and_a_very_long_text(spark):
     assert got == _plain_audit([tuple(r) for r in df.collect()], 3, 200)
     out = phrases.collocations(df, min_count=100).where(F.col("phrase") == "beta alpha beta alpha beta").first()
     assert (out["a"], out["n"]) == (3 * 49_998, 300_006)
+
+
+def test_counting_task_holds_one_array_and_stops_at_the_cap(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "_OVERFLOW", 50)  # cut to the cap again and again
+    df = spark.range(0, 4000, 1, 3)
+    for cap in (None, 7):
+        sums = phrases.tree_sum(df, lambda batch: iter(batch["id"].to_numpy().reshape(-1, 1) % 900 // 300), 900, cap, 2)
+        want = [sum(i % 900 // 300 == p for i in range(4000)) for p in range(3)]
+        assert phrases._array(sums, 900, np.dtype(np.int64 if cap is None else np.uint8))[:4].tolist() == [*(min(w, cap or w) for w in want), 0]
