@@ -308,16 +308,16 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius:
 
 
 def _similar_components(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """As ``_components``, with links at an exact Jaccard similarity of the shingle sets; equal sets share a fingerprint."""
-    from . import similar
+    """As ``_components``, with candidates from tiles of wider SimHashes and links at an exact Jaccard similarity of the shingle sets; equal sets share a fingerprint."""
+    from . import near_copies
 
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be over 0 and at most 1")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints = similar.sketches(rows, width=width, similarity=similarity)
+    prints = near_copies.sketches(rows, width=width)
     distinct = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    labels = connected(similar.similar_links(rows, prints, width=width, similarity=similarity))
-    return prints.drop("size", "bands"), _rooted(distinct, labels)
+    labels = connected(near_copies.similar_links(rows, prints, width=width, similarity=similarity))
+    return prints.drop("size", "bits"), _rooted(distinct, labels)
 
 
 def _rooted(distinct: DataFrame, labels: DataFrame) -> DataFrame:
@@ -346,7 +346,8 @@ def keep_first(
     """One document of every near-duplicate group, all its columns kept: that of the smallest id.
 
     With ``similarity``, links are pairs of texts whose sets of word shingles
-    have at least that Jaccard similarity; ``radius`` is then not read. Rows
+    have at least that Jaccard similarity, found among the pairs whose SimHashes
+    of 512 bits are near enough; ``radius`` is then not read. Rows
     without an id come after all others; of rows with equal ids that with the
     smallest text hash stays, and of wholly repeated rows one. Texts without
     words, null ones too, are one group; texts of any length are read whole; an

@@ -8,6 +8,9 @@ pairs that their known distances from the pivot leave open: the Jaccard distance
 is a metric. Where a band still holds many groups, its sets meet by their rarest
 shingles instead. So a tight group of near copies makes some 30 pairs a set, and
 a loose one, whose sets were each changed in places of their own, not many more.
+
+The pipeline and ``simhash.keep_first`` do not go this way but by SimHash tiles
+(``near_copies``); a test compares the two.
 """
 
 from __future__ import annotations
